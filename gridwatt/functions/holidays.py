@@ -68,15 +68,17 @@ def is_common_holiday(day: Column) -> Column:
     return month_day(day).isin(COMMON_DATES) | gap.isin(COMMON_EASTER)
 
 
+def _listed(table: dict[str, list[int]], area: Column, number: Column) -> Column:
+    lists = F.create_map(*[x for code, days in table.items() for x in (F.lit(code), F.lit(days))])
+    return F.coalesce(F.array_contains(F.try_element_at(lists, area), number), F.lit(False))
+
+
 def is_holiday(day: Column, area: Column) -> Column:
     """Holiday of an area, read off the day itself: no calendar has to be joined."""
     md, gap = month_day(day), F.datediff(day, easter(F.year(day)))
-    out = is_common_holiday(day) | md.isin(YEAR_END_DATES)
-    for code, days in FIXED_DATES.items():
-        out = out | ((area == code) & md.isin(days))
-    for code, offsets in EASTER_OFFSETS.items():
-        out = out | ((area == code) & gap.isin(offsets))
-    return out | ((area == "UK") & _bank_monday(day))
+    return (md.isin(COMMON_DATES + YEAR_END_DATES) | gap.isin(COMMON_EASTER)
+            | _listed(FIXED_DATES, area, md) | _listed(EASTER_OFFSETS, area, gap)
+            | ((area == "UK") & _bank_monday(day)))
 
 
 def holiday_calendar(areas_years: DataFrame) -> DataFrame:

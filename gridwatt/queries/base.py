@@ -14,7 +14,7 @@ from ..sources.views import LABELS, PATTERNS, REGIMES, Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ["scalars"]
+_MODULES = ["tables", "scalars", "aggregates"]
 
 
 def _list(names: list[str]) -> str:
