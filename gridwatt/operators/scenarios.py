@@ -220,7 +220,8 @@ def name_scenario(maps: DataFrame, correlations: DataFrame, keys: Sequence[str],
     trough = geo.named_region(F.col("min_latitude"), F.col("min_longitude"))
     parts = F.concat_ws(", ", F.when(F.col("max_value") >= min_amplitude, F.concat(F.lit("ridge over "), ridge)),
                         F.when(-F.col("min_value") >= min_amplitude, F.concat(F.lit("trough over "), trough)))
-    text = F.when(parts == "", "Close to the ensemble mean").otherwise(F.concat(F.upper(F.substring(parts, 1, 1)), F.expr("substring(_parts, 2)")))
+    text = F.when(F.col("_parts") == "", "Close to the ensemble mean").otherwise(
+        F.expr("concat(upper(substring(_parts, 1, 1)), substring(_parts, 2))"))
     e = e.withColumn("_parts", parts).withColumn("name", text).withColumn(
         "amplitude", F.greatest(F.col("max_value"), -F.col("min_value")))
     best = correlations.filter("r IS NOT NULL").groupBy(*keys).agg(F.max("r").alias("r"), F.max_by("regime", "r").alias("_regime"))
