@@ -14,7 +14,8 @@ from ..sources.views import LABELS, PATTERNS, REGIMES, Tables
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_MODULES = ["tables", "scalars", "joins", "aggregates", "windows", "picks", "regimes", "scenarios"]
+_MODULES = ["tables", "scalars", "joins", "aggregates", "windows", "picks", "regimes", "scenarios", "compare",
+            "demand"]
 
 
 def _list(names: list[str]) -> str:
@@ -114,7 +115,7 @@ def finish_sql(body: str, f: str = "", i: str = "", digits: int = 6) -> str:
     parts = [f"ROUND(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in f.split()]
     parts += [f"CAST({c} AS BIGINT) AS {c}" for c in i.split()]
     if not parts:
-        return body
+        return f"SELECT * FROM (\n{body}\n)" if body.lstrip().upper().startswith("WITH") else body
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM (\n{body}\n)"
 
 
