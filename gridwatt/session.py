@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+# Grouped functions travel to the executors by value: no executor needs this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__package__])
+
 # Runtime settings every query needs for right results or safe plans. None of
 # them depends on the size of the cluster, so they are safe to set on any session.
 RUNTIME = {
