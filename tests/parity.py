@@ -65,9 +65,8 @@ def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     b = sorted(tuple(map(_norm, r)) for r in other)
     if a == b:
         return True, f"{len(rows)} rows"
-    extra = [x for x in a if x not in set(b)][:2]
-    lack = [x for x in b if x not in set(a)][:2]
-    n = len(set(a) - set(b))
+    sa, sb = set(a), set(b)
+    extra, lack, n = sorted(sa - sb)[:2], sorted(sb - sa)[:2], len(sa - sb)
     return False, f"{len(a)} vs {len(b)} rows, {n} differ; {cols}\n   spark {extra}\n   duck  {lack}"
 
 
