@@ -15,7 +15,7 @@ from ..sources.views import LABELS, PATTERNS, REGIMES, Tables
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = ["tables", "scalars", "joins", "aggregates", "windows", "picks", "regimes", "scenarios", "compare",
-            "demand", "hydro", "tele"]
+            "demand", "hydro", "tele", "streams"]
 
 
 def _list(names: list[str]) -> str:

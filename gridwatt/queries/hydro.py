@@ -183,7 +183,7 @@ def l10_issue_change(t):
 
 # -- reservoir outlook --------------------------------------------------------------------
 
-K_GRID = [("DJF", [0.9, 0.7, 0.4]), ("MAM", [0.8, 0.6, 0.5]), ("JJA", [0.6, 0.5, 0.2]), ("SON", [1.0, 0.8, 0.3])]
+K_GRID = [("DJF", [0.90737, 0.71347, 0.41131]), ("MAM", [0.79723, 0.61751, 0.50929]), ("JJA", [0.61339, 0.50341, 0.21117]), ("SON", [1.00913, 0.81157, 0.30763])]
 KNOTS, WEEKS = [3, 7, 12], [1, 2, 4]
 _SEASON = "CASE WHEN month({d}) IN (12, 1, 2) THEN 'DJF' WHEN month({d}) <= 5 THEN 'MAM' WHEN month({d}) <= 8 THEN 'JJA' ELSE 'SON' END"
 
@@ -266,7 +266,7 @@ def paths(t):
     return M.outlook_paths(issues(t), t.hist().withColumnRenamed("actual", "normal"), term(t), state(t), provider)
 
 
-@query("SELECT area, issue, member, h, day, cum, term FROM v_term", f="cum term", i="member h", digits=5, views=VOUT)
+@query("SELECT area, issue, member, h, day, cum, term FROM v_term", f="cum term", i="member h", views=VOUT)
 def m1_weather_term(t):
     return term(t)
 

@@ -11,7 +11,7 @@ from ..sources import readers, tables
 from .base import query
 
 
-def _scratch(t, name: str) -> str:
+def scratch(t, name: str) -> str:
     """A fresh folder under the session's shared checkpoint folder."""
     return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -53,7 +53,7 @@ def a5_curve_models(t):
 
 @query("SELECT area, day, actual FROM v_hist", f="actual")
 def a6_replace_table(t):
-    path = _scratch(t, "replace")
+    path = scratch(t, "replace")
     tables.replace_table(t.hist(), path, ["area"])
     return t.spark.read.parquet(path).select("area", "day", "actual")
 
@@ -228,7 +228,7 @@ def a24_station_dimension(t):
 
 @query("SELECT area, strftime(day, '%Y-%m-%d') AS day, SUM(actual) AS total FROM v_hist GROUP BY 1, 2", f="total", digits=4)
 def a25_tidy_export(t):
-    path = _scratch(t, "export")
+    path = scratch(t, "export")
     tables.tidy_export(t.hist().groupBy("area", "day").agg(F.sum("actual").alias("total")), path)
     return t.spark.read.csv(path, header=True, schema="area string, day string, total double")
 

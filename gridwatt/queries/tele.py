@@ -163,8 +163,8 @@ def n10_usability(t):
 
 @query(f"""WITH c AS (SELECT index_name, arg_max(year, year * 12 + month) AS year, arg_max(month, year * 12 + month) AS month, arg_max(value, year * 12 + month) AS month_value FROM v_im GROUP BY 1),
   l AS (SELECT index_name, MAX(day) AS last_day, arg_max(value, day) AS latest FROM v_index GROUP BY 1)
-  SELECT l.*, c.year, c.month, month_value, COUNT(m.value) AS n_years, CASE WHEN COUNT(m.value) >= {YEARS} THEN (month_value - AVG(m.value)) / stddev_samp(m.value) END AS z
-  FROM l JOIN c ON c.index_name = l.index_name LEFT JOIN v_im m ON m.index_name = c.index_name AND m.month = c.month AND m.year < c.year AND m.year >= 1979 GROUP BY ALL""",
+  SELECT l.index_name, last_day, latest, c.year, c.month, month_value, COUNT(m.value) AS n_years, CASE WHEN COUNT(m.value) >= {YEARS} THEN (month_value - AVG(m.value)) / stddev_samp(m.value) END AS z
+  FROM l JOIN c ON c.index_name = l.index_name LEFT JOIN v_im m ON m.index_name = c.index_name AND m.month = c.month AND m.year < c.year AND m.year >= 1979 GROUP BY 1, 2, 3, 4, 5, 6""",
        f="latest month_value z", i="year month n_years", views=VIEWS)
 def n11_index_now(t):
     return N.index_now(t.index_daily(), D.monthly_mean(t.index_daily(), ["index_name"]), YEARS)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,14 +16,24 @@ from pyspark.sql import types as T
 from ..common import first_row, ratio, require
 
 
+def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The parquet table at a path, None when nothing has been written there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def load_dimension_once(spark: SparkSession, table: str, path: str, required: Sequence[str]) -> DataFrame | None:
     """The stored table; else load it from the file and store it; None when neither is there."""
     if spark.catalog.tableExists(table):
         return require(spark.table(table), *required)
     try:
         df = require(spark.read.csv(path, header=True, inferSchema=True), *required)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
     df.write.mode("overwrite").saveAsTable(table)
