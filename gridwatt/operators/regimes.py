@@ -112,10 +112,14 @@ def ensemble_index(long_iwr: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def regime_climatology(days: DataFrame, keys: Sequence[str], window: int = 7) -> DataFrame:
-    """Share of each regime around each day of year, with the span of the record."""
+    """Share of each regime around each day of year."""
     c = W.clean_singles(days, keys, "day", "regime").withColumn("doy", time.doy365(F.col("day")))
-    span = c.groupBy(*keys).agg(F.countDistinct(F.year("day")).alias("years"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
-    return W.circular_doy_frequency(c, keys, "doy", "regime", window).join(span, list(keys))
+    return W.circular_doy_frequency(c, keys, "doy", "regime", window)
+
+
+def record_span(days: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Years, first and last day of the record behind a climatology."""
+    return days.groupBy(*keys).agg(F.countDistinct(F.year("day")).alias("years"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
 
 
 def persistence(ep: DataFrame, keys: Sequence[str], min_days: int = 5) -> DataFrame:
@@ -171,5 +175,5 @@ def episode_histogram(ep: DataFrame, keys: Sequence[str], min_episodes: int = 3)
 
 
 __all__ = ["LABELS", "NO_REGIME", "REGIMES", "assign_regime", "cell_table", "classify_reanalysis", "ensemble_index",
-           "episode_histogram", "member_shares", "persistence", "project_field", "regime_climatology", "share_departure",
+           "episode_histogram", "member_shares", "persistence", "project_field", "record_span", "regime_climatology", "share_departure",
            "standardise_index", "to_long", "transitions", "window_climatology"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import time
 from ..operators import demand as G
 from ..operators.runs import asof_run
+from ..session import stored
 
 RUN = ["pattern", "init_time"]
 
@@ -49,7 +50,7 @@ def role_delta(days: DataFrame, value: str) -> DataFrame:
 
 def heating_leg(temps: DataFrame, actuals: DataFrame, curves: DataFrame, pairs: DataFrame) -> DataFrame:
     """``temps``: pattern, init_time, area, day, temp."""
-    x = both_roles(temps, pairs)
+    x = stored(both_roles(temps, pairs), "roles")
     d = G.heating_demand(x, actuals, curves, [*RUN, "role"])
     return G.with_totals(role_delta(d.join(pairs, RUN), "demand"), "LDZ", True)
 
@@ -61,6 +62,6 @@ def renewables_leg(wind: DataFrame, solar: DataFrame, pairs: DataFrame) -> DataF
 
 
 def gas_snapshot(temps: DataFrame, wind: DataFrame, solar: DataFrame, actuals: DataFrame, curves: DataFrame) -> DataFrame:
-    """Both legs of all runs."""
-    pairs = gas_pairs(temps)
+    """Both legs of all runs, from stored daily tables."""
+    pairs = stored(gas_pairs(temps), "pairs")
     return heating_leg(temps, actuals, curves, pairs).unionByName(renewables_leg(wind, solar, pairs))

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..functions import measures
 from ..operators import regimes as H
 from ..operators.daily import gridded_doy_climatology
+from ..session import stored
 from ..sources.views import Tables, amplitude, patterns, projection_norm
 
 RUN = ["run", "reference_date"]
 
 
 def cells(t: Tables) -> DataFrame:
-    # bounded by the grid, and read twice: once for the size check, once for the join
-    return H.cell_table(patterns(t.spark), gridded_doy_climatology(t.grid())).persist()
+    """Patterns and climatology by cell: bounded by the grid, read by the size check and by the join."""
+    return stored(H.cell_table(patterns(t.spark), gridded_doy_climatology(t.grid())), "cells")
 
 
 def projected(t: Tables) -> DataFrame:
@@ -29,3 +30,8 @@ def indexed(t: Tables) -> DataFrame:
 def classified(t: Tables) -> DataFrame:
     """One row per run, member and day with its regime."""
     return H.assign_regime(indexed(t), measures.regime_threshold(F.col("lead_day")))
+
+
+def member_table(t: Tables) -> DataFrame:
+    """The classified members as a stored table, for readers that go over it more than once."""
+    return stored(classified(t), "members")

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import picks, scenarios as S
+from ..operators import picks
+from ..operators import scenarios as S
+from ..session import stored
 
 
 def departure_field(field: DataFrame, run: Sequence[str]) -> DataFrame:
@@ -17,11 +19,14 @@ def departure_field(field: DataFrame, run: Sequence[str]) -> DataFrame:
 
 
 def cluster_run(field: DataFrame, run: Sequence[str], n_weeks: int = 2, k: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(weekly field, assignment) of every run over its first usable weeks."""
+    """(weekly field, assignment) of every run over its first usable weeks.
+
+    Both are stored: the maps, the names and the readings each start from them again.
+    """
     weeks = picks.usable_weeks(field, run, n=n_weeks)
-    weekly = S.weekly_field(departure_field(field, run), run, weeks)
+    weekly = stored(S.weekly_field(departure_field(field, run), run, weeks), "weekly")
     scores = S.principal_components(S.member_features(weekly, run), run)
-    return weekly, S.cluster_members(scores, run, k)
+    return weekly, stored(S.cluster_members(scores, run, k), "assignment")
 
 
 def scenario_run(field: DataFrame, land: DataFrame, patterns: DataFrame, run: Sequence[str], k: int = 2) -> DataFrame:

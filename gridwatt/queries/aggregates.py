@@ -59,7 +59,7 @@ def d4_spread_climatology(t):
     USING (family, region) WHERE mo = month(day)
     AND reference_date IN (SELECT reference_date FROM (SELECT pattern AS p, reference_date, dense_rank() OVER (PARTITION BY pattern ORDER BY reference_date DESC) AS r
       FROM (SELECT DISTINCT pattern, reference_date FROM v_morning)) WHERE r <= 2 AND p = pattern)""",
-       f="value normal anomaly", i="lead_day")
+       f="value normal anomaly", i="lead_day", keep="morning")
 def d5_member_daily(t):
     m = t.morning()
     normal = m.groupBy("family", "region", F.month("day").alias("mo")).agg(F.avg("value").alias("normal"))
@@ -119,7 +119,7 @@ def _kinds(t):
     (actual / nullif(COALESCE(dated, dn), 0) - 1) * 100 AS anomaly_pct, year(day) AS year, month(day) AS month, weekofyear(day) AS iso_week,
     CAST(date_trunc('week', day) AS DATE) AS week_start
   FROM p LEFT JOIN d ON d.area = p.area AND d.doy = dayofyear(p.day) WHERE actual IS NOT NULL""",
-       f="actual normal anomaly anomaly_pct", i="year month iso_week", digits=5)
+       f="actual normal anomaly anomaly_pct", i="year month iso_week", digits=5, keep="hist")
 def d9_history_daily(t):
     return D.history_daily(_kinds(t), ["area"])
 
@@ -149,7 +149,7 @@ def d10_vintage_daily(t):
 @query("""WITH m AS (SELECT area, dayofyear(day) AS doy, AVG(actual) AS m FROM v_hist WHERE year(day) BETWEEN 1995 AND 1999 GROUP BY 1, 2),
   s AS (SELECT area, doy, AVG(m) OVER (PARTITION BY area ORDER BY doy ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS normal FROM m)
   SELECT h.area, h.day, actual, normal, actual - normal AS anomaly, (actual / nullif(normal, 0) - 1) * 100 AS anomaly_pct
-  FROM v_hist h JOIN s ON s.area = h.area AND s.doy = dayofyear(h.day)""", f="actual normal anomaly anomaly_pct", digits=5)
+  FROM v_hist h JOIN s ON s.area = h.area AND s.doy = dayofyear(h.day)""", f="actual normal anomaly anomaly_pct", digits=5, keep="hist")
 def d11_smoothed_doy_normal(t):
     return D.smoothed_doy_normal(t.hist(), ["area"], (1995, 1999))
 
@@ -201,7 +201,7 @@ def d14_combine_regions_weighted(t):
 
 
 @query("""SELECT reference_date, day, member, CASE WHEN area IN ('AFRICA', 'ASIA') THEN 'EAST' ELSE 'WEST' END AS region, AVG(value) AS value FROM v_member
-  GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = CASE WHEN any_value(area) IN ('AFRICA', 'ASIA') THEN 2 ELSE 3 END""", f="value", i="member")
+  GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = CASE WHEN any_value(area) IN ('AFRICA', 'ASIA') THEN 2 ELSE 3 END""", f="value", i="member", keep="member")
 def d15_aggregate_members(t):
     m = t.nation_area().select(F.col("region").alias("area")).distinct().withColumn(
         "region", F.when(F.col("area").isin("AFRICA", "ASIA"), "EAST").otherwise("WEST"))
@@ -209,7 +209,7 @@ def d15_aggregate_members(t):
 
 
 @query("""SELECT family, region, day, AVG(value) AS value, COUNT(value) AS n_runs FROM v_morning WHERE pattern IN ('ec00ens', 'ec12ens') GROUP BY 1, 2, 3""",
-       f="value", i="n_runs")
+       f="value", i="n_runs", keep="morning")
 def d16_average_runs(t):
     chosen = t.morning().filter(F.col("pattern").isin("ec00ens", "ec12ens")).select("pattern", "reference_date").distinct()
     return R.average_runs(t.morning(), chosen, ["pattern", "reference_date"], ["family", "region", "day"])
@@ -228,7 +228,7 @@ _GRAN = """SELECT area, '{g}' AS granularity, year, period, actual, normal, n_da
 
 @query(" UNION ALL ".join([_GRAN.format(g="month", y="year(day)", p="month(day)"),
                            _GRAN.format(g="week", y="year(date_trunc('week', day))", p="weekofyear(day)"),
-                           _GRAN.format(g="year", y="year(day)", p="0")]), f="actual normal anomaly_pct", i="year period n_days", digits=5)
+                           _GRAN.format(g="year", y="year(day)", p="0")]), f="actual normal anomaly_pct", i="year period n_days", digits=5, keep="hist")
 def d18_history_aggregate(t):
     d = t.load().select("area", "day", F.col("load").alias("actual"), F.col("temp").alias("normal"))
     parts = [D.history_aggregate(d, ["area"], g).withColumn("granularity", F.lit(g)) for g in ("month", "week", "year")]

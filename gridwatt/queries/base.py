@@ -120,13 +120,17 @@ def finish_sql(body: str, f: str = "", i: str = "", digits: int = 6) -> str:
 
 
 def query(sql: str | None = None, f: str = "", i: str = "", digits: int = 6,
-          views: dict[str, str] | None = None):
-    """Register a plan under its function name; ``f``/``i`` name float and integer result columns."""
+          views: dict[str, str] | None = None, keep: str = ""):
+    """Register a plan under its function name.
+
+    ``f``/``i`` name float and integer result columns; ``keep`` the daily views the plan reads
+    more than once.
+    """
     def wrap(fn: Callable[[Tables], DataFrame]):
         name = fn.__name__
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return round_doubles(fn(Tables(prepare(spark), folder)), digits)
+            return round_doubles(fn(Tables(prepare(spark), folder, keep.split())), digits)
 
         run.__name__, run.__doc__ = name, fn.__doc__
         if name in _QUERIES:

@@ -62,14 +62,14 @@ VIEWS = {
 _BV = 'pattern, init_time, prev_init, win AS "window", w_start, w_end, block, label, family, agg, heat_scale, value, d_run, d_norm, n_days'
 
 
-@query(f"SELECT {_BV} FROM v_bv WHERE win <> 'w3'", f="heat_scale value d_run d_norm", i="n_days", views=VIEWS)
+@query(f"SELECT {_BV} FROM v_bv WHERE win <> 'w3'", f="heat_scale value d_run d_norm", i="n_days", views=VIEWS, keep="morning")
 def k1_block_values(t):
     return C.block_values(rows(t), pairs(t), blocks(t))
 
 
 @query("""SELECT CAST(init_time AS DATE) AS issue, pattern, win AS "window", block, label, value, n_days, CASE WHEN COUNT(value) OVER w >= 2 THEN MAX(value) OVER w - MIN(value) OVER w END AS spread,
   CASE WHEN pattern <> 'ec00ens' THEN value - MAX(CASE WHEN pattern = 'ec00ens' THEN value END) OVER w END AS d_ref FROM v_bv WHERE win <> 'w3'
-  WINDOW w AS (PARTITION BY CAST(init_time AS DATE), win, block, label)""", f="value spread d_ref", i="n_days", views=VIEWS)
+  WINDOW w AS (PARTITION BY CAST(init_time AS DATE), win, block, label)""", f="value spread d_ref", i="n_days", views=VIEWS, keep="morning")
 def k2_comparison_grid(t):
     v = C.block_values(rows(t), pairs(t), blocks(t))
     return C.comparison_grid(v, F.to_date("init_time"), "ec00ens").select("issue", "pattern", "window", "block", "label", "value", "n_days", "spread", "d_ref")
@@ -84,7 +84,7 @@ _WORDS = """WITH c AS (SELECT *, abs(d_norm) / heat_scale AS score, list_positio
     ELSE ws[1] || ' & ' || lower(ws[2]) END AS outlook FROM k LEFT JOIN s USING (pattern, init_time, win, label)"""
 
 
-@query(_WORDS, views=VIEWS)
+@query(_WORDS, views=VIEWS, keep="morning")
 def k3_outlook_words(t):
     v = C.block_values(rows(t), pairs(t), blocks(t)).filter(F.col("label").isin("ASIA", "EUROPE"))
     return C.outlook_words(v, ["pattern", "init_time", "window", "label"])
@@ -92,7 +92,7 @@ def k3_outlook_words(t):
 
 @query("""WITH c AS (SELECT *, abs(d_run) / heat_scale AS score, CASE family WHEN 'tt' THEN CASE WHEN d_run > 0 THEN 'warmer' ELSE 'colder' END ELSE CASE WHEN d_run > 0 THEN 'windier' ELSE 'less windy' END END AS word
     FROM v_bv WHERE label IN ('ASIA', 'EUROPE') AND win = 'w1')
-  SELECT pattern, init_time, label, COALESCE(string_agg(CASE WHEN score >= 0.15 THEN word END, ', ' ORDER BY score DESC, word), 'little changed') AS moves FROM c GROUP BY 1, 2, 3""", views=VIEWS)
+  SELECT pattern, init_time, label, COALESCE(string_agg(CASE WHEN score >= 0.15 THEN word END, ', ' ORDER BY score DESC, word), 'little changed') AS moves FROM c GROUP BY 1, 2, 3""", views=VIEWS, keep="morning")
 def k3_move_words(t):
     v = C.block_values(rows(t), pairs(t), blocks(t)).filter("window = 'w1'").filter(F.col("label").isin("ASIA", "EUROPE"))
     return C.move_words(v, ["pattern", "init_time", "label"])
@@ -101,7 +101,7 @@ def k3_move_words(t):
 @query("""SELECT pattern, init_time, "window", block, label, value, d_run, d_norm, n_days, covered, CASE WHEN covered > 0 AND covered < w_end - w_start + 1 THEN
   'the run covers only ' || CAST(covered AS VARCHAR) || ' of these ' || CAST(w_end - w_start + 1 AS VARCHAR) || ' days' ELSE '' END AS coverage FROM (
   SELECT *, win AS "window", COALESCE(MAX(CASE WHEN agg = 'mean' THEN n_days END) OVER (PARTITION BY pattern, init_time, win), 0) AS covered FROM v_bv) WHERE win <> 'w3' OR covered >= 2""",
-       f="value d_run d_norm", i="n_days covered", views=VIEWS)
+       f="value d_run d_norm", i="n_days covered", views=VIEWS, keep="morning")
 def k4_brief_context(t):
     v = C.block_values(rows(t), pairs(t), blocks(t), with_third=True)
     return C.brief_context(v, min_third_days=2).select("pattern", "init_time", "window", "block", "label", "value", "d_run", "d_norm", "n_days", "covered", "coverage")
@@ -125,7 +125,7 @@ def k5_country_blocks(t):
     SELECT reference_date, area, lead_day, stddev_samp(value) AS spread_std FROM v_member WHERE member <> 0 GROUP BY 1, 2, 3))
   SELECT reference_date, x.area, x.lead_day, spread_std, mean AS spread_std_mean, n AS n_runs, spread_std / mean AS ratio, CASE rm WHEN 0 THEN 'all months' ELSE 'same month' END AS baseline,
     CASE WHEN spread_std / mean >= 1.3 THEN 'high uncertainty' WHEN spread_std / mean <= 0.7 THEN 'unusually confident' ELSE 'normal' END AS verdict
-  FROM x JOIN c ON c.area = x.area AND c.lead_day = x.lead_day AND c.run_month = rm AND (rm = 0 OR n >= 7)""", f="spread_std spread_std_mean ratio", i="lead_day n_runs")
+  FROM x JOIN c ON c.area = x.area AND c.lead_day = x.lead_day AND c.run_month = rm AND (rm = 0 OR n >= 7)""", f="spread_std spread_std_mean ratio", i="lead_day n_runs", keep="member")
 def k6_spread_ratio(t):
     m = t.member().filter("member <> 0")
     s = m.groupBy("reference_date", "area", "lead_day").agg(F.stddev("value").alias("spread_std"))

@@ -81,7 +81,7 @@ VIEWS = {
 
 
 @query(f"""SELECT area, day, b_intercept + {_GASDAY} + {_RESP.format(t='temp')} + bias AS demand, {_SLOPE.format(t='temp')} AS slope
-  FROM v_load JOIN v_curve USING (area) JOIN v_easter ON y = year(day)""", f="demand slope", views=VIEWS)
+  FROM v_load JOIN v_curve USING (area) JOIN v_easter ON y = year(day)""", f="demand slope", views=VIEWS, keep="hist")
 def k7_predict_curve(t):
     x = t.load().join(curves(t), "area")
     return x.select("area", "day", G.predict_curve(F.col("temp"), holidays.daytype_gas(F.col("day"))).alias("demand"), G.local_slope(F.col("temp")).alias("slope"))
@@ -102,7 +102,7 @@ def k8_describe_shape(t):
     return curves(t).withColumn("b_t", F.col("b_t") + 0.03).select("area", G.describe_shape().alias("shape"))
 
 
-@query("SELECT pattern, init_time, area, day, temp, teff, demand, filled FROM v_heat WHERE role = 'cur'", f="temp teff demand", views=VIEWS)
+@query("SELECT pattern, init_time, area, day, temp, teff, demand, filled FROM v_heat WHERE role = 'cur'", f="temp teff demand", views=VIEWS, keep="morning hist")
 def k9_heating_demand(t):
     x = G.within_horizon(temps(t), "init_time").withColumn("cutoff", F.date_sub(F.to_date("init_time"), 1))
     return G.heating_demand(x, t.load(), curves(t), RUN)
@@ -110,7 +110,7 @@ def k9_heating_demand(t):
 
 @query("""SELECT COALESCE(w.pattern, s.pattern) AS pattern, COALESCE(w.init_time, s.init_time) AS init_time, COALESCE(w.area, s.area) AS area, COALESCE(w.day, s.day) AS day,
   (COALESCE(w.value, 0) + COALESCE(s.value, 0)) * 24 / 0.5 * 0.8 AS gas FROM v_wind w FULL JOIN v_solar s ON s.pattern = w.pattern AND s.init_time = w.init_time AND s.area = w.area AND s.day = w.day""",
-       f="gas", views=VIEWS)
+       f="gas", views=VIEWS, keep="morning")
 def k10_displaced_gas(t):
     return G.displaced_gas(wind(t), solar(t), [*RUN, "area", "day"])
 
@@ -120,7 +120,7 @@ _PAIR = "pattern, init_time, prev_pattern, prev_init, d_in, d_out"
 
 @query(f"""SELECT c.pattern, c.init_time, g.prev_init, c.area, SUM(c.value - p.value) AS delta, SUM(c.value) AS total, COUNT(p.value) AS n_days FROM v_wind c
   JOIN v_gp g ON g.pattern = c.pattern AND g.init_time = c.init_time LEFT JOIN v_wind p ON p.pattern = g.prev_pattern AND p.init_time = g.prev_init AND p.area = c.area AND p.day = c.day
-  WHERE c.day BETWEEN d_in AND d_out GROUP BY 1, 2, 3, 4""", f="delta total", i="n_days", views=VIEWS)
+  WHERE c.day BETWEEN d_in AND d_out GROUP BY 1, 2, 3, 4""", f="delta total", i="n_days", views=VIEWS, keep="morning")
 def k11_run_delta(t):
     w = wind(t)
     return G.run_delta(w, w, P.gas_pairs(temps(t)), ["area"], "value")
@@ -148,12 +148,12 @@ _RDL = _role_delta(f"SELECT r.*, area, day, gas FROM v_role r JOIN ({_GAS}) x ON
 _LDZ = _role_delta("SELECT h.*, prev_init, d_in, d_out FROM v_heat h JOIN v_gp g USING (pattern, init_time)", "demand")
 
 
-@query(_legs(_RDL, "Wind & Solar", "<"), f="delta total", i="n_days", digits=5, views=VIEWS)
+@query(_legs(_RDL, "Wind & Solar", "<"), f="delta total", i="n_days", digits=5, views=VIEWS, keep="morning")
 def k12_trade_signal(t):
     return P.renewables_leg(wind(t), solar(t), P.gas_pairs(temps(t)))
 
 
-@query(_legs(_LDZ, "LDZ", ">") + " UNION ALL " + _legs(_RDL, "Wind & Solar", "<"), f="delta total", i="n_days", digits=5, views=VIEWS)
+@query(_legs(_LDZ, "LDZ", ">") + " UNION ALL " + _legs(_RDL, "Wind & Solar", "<"), f="delta total", i="n_days", digits=5, views=VIEWS, keep="morning hist")
 def k13_gas_snapshot(t):
     return P.gas_snapshot(temps(t), wind(t), solar(t), t.load(), curves(t))
 
@@ -197,7 +197,7 @@ VIEWS17 = {**VIEWS,
 _SF = "temp temp_p10 temp_p90 teff slope d_cold d_warm d_p10 d_p90 model_load"
 
 
-@query("SELECT * FROM v_sens", f=_SF, views=VIEWS17)
+@query("SELECT * FROM v_sens", f=_SF, views=VIEWS17, keep="morning hist")
 def k17_temperature_sensitivity(t):
     return sensitivity(t)
 
@@ -208,7 +208,7 @@ def k17_temperature_sensitivity(t):
   AVG(d_cold) * COUNT(*) * 24 / 1000 AS gwh_cold, AVG(d_warm) * COUNT(*) * 24 / 1000 AS gwh_warm,
   SUM(CASE WHEN mem_r2 >= 0.3 THEN slope / (mem_se * mem_se) END) / SUM(CASE WHEN mem_r2 >= 0.3 THEN 1 / (mem_se * mem_se) END) AS implied, COUNT(CASE WHEN mem_r2 >= 0.3 THEN 1 END) AS n_implied
   FROM (SELECT *, CASE WHEN length(area) > 6 THEN model_load * 1.1 END AS load, 0.5 + abs(slope) AS mem_se, (day(day) % 10) / 10.0 AS mem_r2 FROM v_sens) GROUP BY 1, 2, 3""",
-       f="temp load slope d_cold d_warm d_p10 d_p90 spread gwh_cold gwh_warm implied", i="n_days n_implied", views=VIEWS17)
+       f="temp load slope d_cold d_warm d_p10 d_p90 spread gwh_cold gwh_warm implied", i="n_days n_implied", views=VIEWS17, keep="morning hist")
 def k18_summarise_sensitivity(t):
     d = (sensitivity(t).withColumn("load", F.when(F.length("area") > 6, F.col("model_load") * 1.1)).withColumn("mem_slope", F.col("slope"))
          .withColumn("mem_se", F.lit(0.5) + F.abs("slope")).withColumn("mem_r2", F.dayofmonth("day") % 10 / 10.0))
@@ -216,7 +216,7 @@ def k18_summarise_sensitivity(t):
 
 
 @query(f"""SELECT area, day, temp AS teff, load - ({_LOADDAY}) + 0.7 * (sin(2 * pi() * 20 / 365.25) - sin(2 * pi() * dayofyear(day) / 365.25)) AS moved
-  FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY day DESC) AS r FROM v_load) JOIN v_curve USING (area) JOIN v_easter ON y = year(day) WHERE r <= 60""", f="teff moved", views=VIEWS)
+  FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY day DESC) AS r FROM v_load) JOIN v_curve USING (area) JOIN v_easter ON y = year(day) WHERE r <= 60""", f="teff moved", views=VIEWS, keep="hist")
 def k19_partial_residuals(t):
     from ..operators.picks import recent_n
     h = recent_n(t.load(), ["area"], "day", 60).withColumnRenamed("temp", "teff")

@@ -41,7 +41,7 @@ def normal(t):
     return mean.unionByName(eu.withColumn("value", F.col("value") + 1)).unionByName(eu.withColumn("area", F.lit("NEW")))
 
 
-@query("SELECT area, doy, norm, norm_source FROM v_clim", f="norm", i="doy", views=VIEWS)
+@query("SELECT area, doy, norm, norm_source FROM v_clim", f="norm", i="doy", views=VIEWS, keep="hist")
 def l1_year_pivot_climatology(t):
     return H.year_pivot_climatology(actual(t), normal(t), ["area"], YEAR)
 
@@ -61,7 +61,7 @@ def quantified(t):
     return H.quantify_anomaly(a, H.year_pivot_climatology(a, normal(t), ["area"], YEAR), ["area"], YEAR)
 
 
-@query(_Q, f=_QF, i="n_hist_years", views=VIEWS)
+@query(_Q, f=_QF, i="n_hist_years", views=VIEWS, keep="hist")
 def l2_quantify_anomaly(t):
     return quantified(t)
 
@@ -78,7 +78,7 @@ def l3_percentile_of_score(t):
 
 
 @query(f"""SELECT 'level' AS layer, *, 'anomaly ' || COALESCE(CAST(CAST(anomaly AS BIGINT) AS VARCHAR), 'n/a') || ' GWh at ' || COALESCE(CAST(CAST(anomaly_percent AS BIGINT) AS VARCHAR), 'n/a') || '% of normal; ' ||
-  COALESCE(printf('%.1f', anomaly_quantile), 'n/a') || 'th percentile' AS text FROM ({_Q})""", f=_QF, i="n_hist_years", views=VIEWS)
+  COALESCE(printf('%.1f', anomaly_quantile), 'n/a') || 'th percentile' AS text FROM ({_Q})""", f=_QF, i="n_hist_years", views=VIEWS, keep="hist")
 def l4_layer_metrics(t):
     lay = F.lit("level")
     return H.layer_metrics(actual(t).withColumn("layer", lay), normal(t).withColumn("layer", lay), YEAR)
@@ -92,7 +92,7 @@ def l4_split_recent(t):
 @query(f"""SELECT area, CASE WHEN q <= 15 THEN 'critical' WHEN q <= 30 THEN 'low' WHEN q >= 85 THEN 'high' END AS status,
   concat_ws(',', CASE WHEN q <= 15 THEN 'critical: percentile' WHEN q <= 30 THEN 'warning: low percentile' WHEN q >= 85 THEN 'high: percentile' END,
     CASE WHEN area <> 'ASIA' AND abs(w) >= 5 THEN CASE WHEN w < 0 THEN 'warning: fast drawdown' ELSE 'high: fast refill' END END) AS flags
-  FROM (SELECT area, anomaly_quantile AS q, week_change_pct_points AS w FROM ({_Q}))""", views=VIEWS)
+  FROM (SELECT area, anomaly_quantile AS q, week_change_pct_points AS w FROM ({_Q}))""", views=VIEWS, keep="hist")
 def l5_hydro_flags(t):
     return H.hydro_flags(quantified(t), F.col("area") != "ASIA").select("area", "status", F.array_join("flags", ",").alias("flags"))
 
@@ -110,7 +110,7 @@ def l6_river_flags(t):
 
 @query("""SELECT station_key, data_type, day, value FROM v_river WHERE data_type <> 'forecast' AND day BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
   UNION ALL SELECT station_key, 'normal', day, AVG(value) FROM v_river WHERE data_type <> 'forecast' AND day BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1, 3
-  UNION ALL SELECT station_key, data_type, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top""", f="value")
+  UNION ALL SELECT station_key, data_type, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top""", f="value", keep="river")
 def l7_station_series(t):
     from .joins import _river_normal
     a, b = (F.lit(x).cast("date") for x in ("2000-01-01", "2000-12-31"))
@@ -142,7 +142,7 @@ VPROD = {"v_prod": _PROD, "v_ps": """SELECT area, data_type, day, MAX(CASE varia
     WHERE x.area = p.area AND x.variable = p.variable AND x.data_type = 'f') GROUP BY 1, 2, 3"""}
 
 
-@query("SELECT area, data_type, day, ror, tot, rre, res FROM v_ps", f="ror tot rre res", views=VPROD)
+@query("SELECT area, data_type, day, ror, tot, rre, res FROM v_ps", f="ror tot rre res", views=VPROD, keep="morning hist")
 def l8_production_series(t):
     return H.production_series(production(t))
 
@@ -163,7 +163,7 @@ _SUMF = " ".join(f"{s}_{c}{n}" for s in ("obs", "fwd") for c in ("ror", "res", "
 @query(f"""SELECT *, obs_tot / obs_tot_n * 100 AS obs_tot_pct, obs_rre / obs_rre_n * 100 AS obs_rre_pct, fwd_tot / fwd_tot_n * 100 AS fwd_tot_pct, fwd_rre / fwd_rre_n * 100 AS fwd_rre_pct,
   obs_rre - obs_tot AS obs_balance, fwd_rre - fwd_tot AS fwd_balance FROM (SELECT area, last_obs, {_sums()}, COUNT(CASE WHEN k > -14 AND k <= 0 AND data_type = 'sa' THEN tot END) AS n_obs,
   COUNT(CASE WHEN k BETWEEN 1 AND 14 AND data_type = 'f' THEN tot END) AS n_fwd FROM (SELECT s.*, last_obs, day - last_obs AS k FROM v_ps s JOIN (SELECT area, MAX(day) AS last_obs FROM v_ps
-  WHERE data_type = 'sa' AND tot IS NOT NULL GROUP BY 1) l USING (area)) GROUP BY 1, 2)""", f=_SUMF, i="n_obs n_fwd", views=VPROD)
+  WHERE data_type = 'sa' AND tot IS NOT NULL GROUP BY 1) l USING (area)) GROUP BY 1, 2)""", f=_SUMF, i="n_obs n_fwd", views=VPROD, keep="morning hist")
 def l9_production_summary(t):
     return H.production_summary(H.production_series(production(t)))
 
@@ -174,7 +174,7 @@ def l9_production_summary(t):
   d AS (SELECT p.family, p.region, latest_issue, prev_issue, day, MAX(CASE WHEN m.init_time = latest_issue THEN value END) AS a, MAX(CASE WHEN m.init_time = prev_issue THEN value END) AS b
     FROM p JOIN v m ON m.family = p.family AND m.region = p.region WHERE day BETWEEN DATE '2001-07-02' AND DATE '2001-07-20' GROUP BY 1, 2, 3, 4, 5)
   SELECT family, region, latest_issue, prev_issue, SUM(a) AS latest, SUM(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b END) AS prev, SUM(a - b) AS delta, COUNT(a - b) AS n_days FROM d GROUP BY 1, 2, 3, 4 HAVING COUNT(a - b) > 0""",
-       f="latest prev delta", i="n_days")
+       f="latest prev delta", i="n_days", keep="morning")
 def l10_issue_change(t):
     m = t.morning().filter("reference_date < DATE'2001-07-15'")
     m = m.withColumn("a", F.lit("2001-07-02").cast("date")).withColumn("b", F.lit("2001-07-20").cast("date"))
@@ -266,22 +266,22 @@ def paths(t):
     return M.outlook_paths(issues(t), t.hist().withColumnRenamed("actual", "normal"), term(t), state(t), provider)
 
 
-@query("SELECT area, issue, member, h, day, cum, term FROM v_term", f="cum term", i="member h", views=VOUT)
+@query("SELECT area, issue, member, h, day, cum, term FROM v_term", f="cum term", i="member h", views=VOUT, keep="member hist")
 def m1_weather_term(t):
     return term(t)
 
 
-@query("""SELECT area, issue, AVG(CASE WHEN h = 4 THEN cum END) AS anom_ens, AVG(CASE WHEN h = 6 THEN cum END) AS anom_ext FROM v_term GROUP BY 1, 2""", f="anom_ens anom_ext", views=VOUT)
+@query("""SELECT area, issue, AVG(CASE WHEN h = 4 THEN cum END) AS anom_ens, AVG(CASE WHEN h = 6 THEN cum END) AS anom_ext FROM v_term GROUP BY 1, 2""", f="anom_ens anom_ext", views=VOUT, keep="member hist")
 def m1_precipitation_anomalies(t):
     return M.precipitation_anomalies(term(t), 4, 6)
 
 
-@query("SELECT area, issue, h, day, state, sigma FROM v_state", f="state sigma", i="h", views=VOUT)
+@query("SELECT area, issue, h, day, state, sigma FROM v_state", f="state sigma", i="h", views=VOUT, keep="member")
 def m2_state_term(t):
     return state(t)
 
 
-@query("SELECT area, issue, day, series, value FROM v_paths", f="value", digits=5, views=VOUT)
+@query("SELECT area, issue, day, series, value FROM v_paths", f="value", digits=5, views=VOUT, keep="member hist")
 def m3_outlook_paths(t):
     return paths(t)
 
@@ -292,7 +292,7 @@ def m3_outlook_paths(t):
   k AS (SELECT * FROM (SELECT area, t0, year, row_number() OVER (PARTITION BY area, t0 ORDER BY MIN(d), year) AS rank FROM d GROUP BY 1, 2, 3) WHERE rank <= 2),
   s AS (SELECT k.area, t0 AS issue, year, rank, s0, CAST(h AS INTEGER) AS h, make_date(year, month(t0), day(t0)) AS f, t0 FROM k JOIN i USING (area, t0), (SELECT unnest(range(0, 20)) AS h))
   SELECT area, issue, year, rank, t0 + h AS day, s0 + (SELECT arg_max(actual, x.day) FROM v_hist x WHERE x.area = s.area AND x.day <= f + h) - (SELECT arg_max(actual, x.day) FROM v_hist x WHERE x.area = s.area AND x.day <= f) AS value FROM s""",
-       f="value", i="year rank")
+       f="value", i="year rank", keep="hist")
 def m3_analogue_paths(t):
     j = t.hist().join(t.load(), ["area", "day"])
     lib = D.week_last(j, ["area"], ["actual", "temp"]).withColumnsRenamed({"actual": "level", "temp": "snow"})
@@ -320,7 +320,7 @@ _SAMP = "SELECT area, reference_date + member AS issue, lead_day + 1 AS h, AVG(v
     FROM s JOIN o ON o.area = s.area AND o.h = s.h AND o.season = s.season AND o.yr = s.yr GROUP BY 1, 2),
   a AS (SELECT area, h, regr_slope(y, x) AS k_all FROM s GROUP BY 1, 2), b AS (SELECT area, h, season, COUNT(*) AS n, regr_slope(y, x) AS k FROM s GROUP BY 1, 2, 3)
   SELECT b.area, b.h, season, CASE WHEN b.n > 12 THEN k ELSE k_all END AS k, rmse_model, rmse_normal, e.n, k_all FROM b JOIN a ON a.area = b.area AND a.h = b.h JOIN e ON e.area = b.area AND e.h = b.h""",
-       f="k rmse_model rmse_normal k_all", i="h n", digits=5)
+       f="k rmse_model rmse_normal k_all", i="h n", digits=5, keep="member")
 def m4_fit_weather(t):
     return M.fit_weather(samples(t))
 
@@ -331,13 +331,13 @@ def weekly(t):
     return w.join(s, ["area", "week"], "left")
 
 
-@query()
+@query(keep="hist")
 def m5_fit_state(t):
     return M.decide_state(M.fit_state(weekly(t), [4, 8, 13, 26]))
 
 
 @query(f"""SELECT area, h, SQRT(AVG(y * y)) AS rmse_normal, SQRT(AVG(power(y - 0.5 * x, 2))) AS rmse_model, (SQRT(AVG(power(y - 0.5 * x, 2))) / SQRT(AVG(y * y)) - 1) * 100 AS gain_pct FROM ({_SAMP}) GROUP BY 1, 2""",
-       f="rmse_normal rmse_model gain_pct", i="h")
+       f="rmse_normal rmse_model gain_pct", i="h", keep="member")
 def m6_skill_table(t):
     e = F.col("y") - F.col("x") * 0.5
     g = samples(t).groupBy("area", "h").agg(F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rmse_normal"), F.sqrt(F.avg(e * e)).alias("rmse_model"))
@@ -345,13 +345,13 @@ def m6_skill_table(t):
 
 
 @query("""SELECT p.area, series, day - issue + 1 AS h, sqrt(AVG(power(value - actual, 2))) AS rmse, AVG(value - actual) AS bias, COUNT(*) AS n FROM v_paths p JOIN v_hist h USING (area, day)
-  WHERE day - issue + 1 IN (2, 5, 9, 14) GROUP BY 1, 2, 3""", f="rmse bias", i="h n", digits=5, views=VOUT)
+  WHERE day - issue + 1 IN (2, 5, 9, 14) GROUP BY 1, 2, 3""", f="rmse bias", i="h n", digits=5, views=VOUT, keep="member hist")
 def m6_verification(t):
     return M.verification(paths(t), t.hist().withColumnRenamed("actual", "value"), [2, 5, 9, 14])
 
 
 @query("""SELECT area, issue, day - issue + 1 AS h, day, normal, baseline, model, model - sqrt(power(q[1] - weather, 2) + power(sigma * 1.2816, 2)) AS model_p10,
   model + sqrt(power(q[4] - weather, 2) + power(sigma * 1.2816, 2)) AS model_p90, model - normal AS anomaly, model / normal * 100 AS pct_of_normal, model - baseline AS vs_baseline
-  FROM v_path_rows WHERE h IN (5, 14) AND model IS NOT NULL""", f="normal baseline model model_p10 model_p90 anomaly pct_of_normal vs_baseline", i="h", digits=5, views=VOUT)
+  FROM v_path_rows WHERE h IN (5, 14) AND model IS NOT NULL""", f="normal baseline model model_p10 model_p90 anomaly pct_of_normal vs_baseline", i="h", digits=5, views=VOUT, keep="member hist")
 def m6_horizon_readings(t):
     return M.horizon_readings(paths(t), [5, 14])

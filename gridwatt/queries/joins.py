@@ -41,7 +41,7 @@ def c3_join_weights(t):
         "run", "day", "member", "latitude", "longitude", "area", "value", "population")
 
 
-@query("SELECT family, region, pattern, day, value FROM v_morning WHERE reference_date = (SELECT MAX(reference_date) FROM v_morning)", f="value")
+@query("SELECT family, region, pattern, day, value FROM v_morning WHERE reference_date = (SELECT MAX(reference_date) FROM v_morning)", f="value", keep="morning")
 def c4_join_latest_scalar(t):
     return J.at_latest(t.morning(), "reference_date").select("family", "region", "pattern", "day", "value")
 
@@ -65,7 +65,7 @@ _WANT = "SELECT DISTINCT pattern, init_time, init_time - INTERVAL 1 DAY AS wante
 
 @query(f"""SELECT pattern, init_time, wanted, (SELECT MAX(init_time) FROM v_morning m WHERE m.pattern = w.pattern AND m.init_time <= w.wanted) AS found,
   (SELECT MAX(init_time) FROM v_morning m WHERE m.pattern = w.pattern AND m.init_time < w.init_time) AS earlier,
-  COALESCE((SELECT MAX(init_time) FROM v_morning m WHERE m.pattern = w.pattern AND m.init_time <= w.wanted) = wanted, FALSE) AS exact FROM ({_WANT}) w""")
+  COALESCE((SELECT MAX(init_time) FROM v_morning m WHERE m.pattern = w.pattern AND m.init_time <= w.wanted) = wanted, FALSE) AS exact FROM ({_WANT}) w""", keep="morning")
 def c7_asof_run(t):
     runs = t.morning().select("pattern", "init_time").distinct()
     want = runs.withColumn("wanted", F.col("init_time") - F.expr("INTERVAL 1 DAY"))
@@ -75,7 +75,7 @@ def c7_asof_run(t):
 
 
 @query("""SELECT area, day, (SELECT arg_max(actual, h.day) FROM v_hist h WHERE h.area = d.area AND h.day <= d.day) AS value
-  FROM (SELECT DISTINCT area, CAST(date_trunc('week', day) AS DATE) AS day FROM v_hist) d""", f="value")
+  FROM (SELECT DISTINCT area, CAST(date_trunc('week', day) AS DATE) AS day FROM v_hist) d""", f="value", keep="hist")
 def c8_asof_value(t):
     from ..functions.time import week_start
     points = t.hist().select("area", week_start(F.col("day")).alias("day")).distinct()
@@ -83,7 +83,7 @@ def c8_asof_value(t):
 
 
 @query("""SELECT r.station_key, r.day, r.value, l.day AS from_day FROM v_river r JOIN (SELECT station_key, MAX(day) AS day FROM v_river WHERE data_type = 'actual' AND year(day) < 2000 GROUP BY 1) l
-  ON l.station_key = r.station_key AND r.day > l.day AND r.day <= l.day + 7 WHERE data_type = 'forecast'""", f="value")
+  ON l.station_key = r.station_key AND r.day > l.day AND r.day <= l.day + 7 WHERE data_type = 'forecast'""", f="value", keep="river")
 def c9_forward_window_join(t):
     r = t.river()
     latest = r.filter("data_type = 'actual' AND year(day) < 2000").groupBy("station_key").agg(F.max("day").alias("day"))
@@ -97,7 +97,7 @@ def c10_expand_regions(t):
 
 
 @query("""SELECT 'in' AS side, COUNT(*) AS n FROM v_river r WHERE EXISTS (SELECT 1 FROM v_station s WHERE s.station_key = r.station_key AND latitude > 50)
-  UNION ALL SELECT 'out', COUNT(*) FROM v_river r WHERE NOT EXISTS (SELECT 1 FROM v_station s WHERE s.station_key = r.station_key AND latitude > 50)""", i="n")
+  UNION ALL SELECT 'out', COUNT(*) FROM v_river r WHERE NOT EXISTS (SELECT 1 FROM v_station s WHERE s.station_key = r.station_key AND latitude > 50)""", i="n", keep="river")
 def c11_semi_anti(t):
     north = t.stations().filter("latitude > 50")
     parts = [t.river().join(north, "station_key", how).agg(F.count("*").alias("n")).select(F.lit(side).alias("side"), "n")
@@ -107,7 +107,7 @@ def c11_semi_anti(t):
 
 @query("""SELECT COALESCE(a.station_key, f.station_key) AS station_key, COALESCE(a.day, f.day) AS day, COALESCE(a.value, f.value) AS value
   FROM (SELECT * FROM v_river WHERE data_type = 'actual') a FULL JOIN (SELECT * FROM v_river WHERE data_type = 'forecast') f
-  ON a.station_key = f.station_key AND a.day = f.day""", f="value")
+  ON a.station_key = f.station_key AND a.day = f.day""", f="value", keep="river")
 def c12_combine_first(t):
     r = t.river()
     return J.combine_first(r.filter("data_type = 'actual'"), r.filter("data_type = 'forecast'"), ["station_key", "day"], "value")
@@ -115,7 +115,7 @@ def c12_combine_first(t):
 
 @query("""SELECT m.reference_date, m.area, m.day, m.member, value, label AS scenario FROM v_member m
   JOIN (SELECT member, reference_date, ntile(2) OVER (PARTITION BY reference_date ORDER BY AVG(value), member) AS label FROM v_member WHERE area = 'ASIA' GROUP BY 1, 2) a
-  ON a.reference_date = m.reference_date AND a.member = m.member""", f="value", i="member scenario")
+  ON a.reference_date = m.reference_date AND a.member = m.member""", f="value", i="member scenario", keep="member")
 def c13_join_members(t):
     from pyspark.sql import Window
     m = t.member().withColumn("init_time", F.col("reference_date").cast("timestamp"))
@@ -131,7 +131,7 @@ def c14_pair_series(t):
 
 
 @query("""WITH a AS (SELECT data_type, issued, COUNT(*) AS n FROM v_river GROUP BY 1, 2) SELECT a.data_type, a.issued, a.n, b.m FROM a
-  JOIN (SELECT issued, SUM(n) AS m FROM a GROUP BY 1) b ON a.issued IS NOT DISTINCT FROM b.issued""", i="n m")
+  JOIN (SELECT issued, SUM(n) AS m FROM a GROUP BY 1) b ON a.issued IS NOT DISTINCT FROM b.issued""", i="n m", keep="river")
 def c15_null_safe_join(t):
     a = t.river().groupBy("data_type", "issued").agg(F.count("*").alias("n"))
     return J.null_safe_join(a, a.groupBy("issued").agg(F.sum("n").alias("m")), ["issued"])
@@ -152,7 +152,7 @@ def _river_normal(t):
   fn AS (SELECT l.station_key, AVG(normal) AS fc_normal7 FROM l JOIN n ON n.station_key = l.station_key AND n.day > l.day AND n.day <= l.day + 7 GROUP BY 1)
   SELECT l.station_key, l.day, l.value, l.data_type, n.normal, l.value - n.normal AS anomaly, fc_issued, fc_max7, fc_min7, fc_last_day, fc_normal7, station, area, latitude, longitude
   FROM l LEFT JOIN n ON n.station_key = l.station_key AND n.day = l.day LEFT JOIN f7 ON f7.station_key = l.station_key LEFT JOIN fn ON fn.station_key = l.station_key
-  LEFT JOIN v_station s ON s.station_key = l.station_key""", f="value normal anomaly fc_max7 fc_min7 fc_normal7 latitude longitude")
+  LEFT JOIN v_station s ON s.station_key = l.station_key""", f="value normal anomaly fc_max7 fc_min7 fc_normal7 latitude longitude", keep="river")
 def c16_latest_observation_report(t):
     r = t.river().filter("(data_type <> 'forecast' AND year(day) < 2000) OR (data_type = 'forecast' AND issued < DATE'2000-01-15')")
     return J.latest_observation_report(r, t.stations(), _river_normal(t))
@@ -161,13 +161,13 @@ def c16_latest_observation_report(t):
 @query(f"""WITH n AS ({_NORMAL}), l AS (SELECT station_key, day, value FROM (SELECT *, row_number() OVER (PARTITION BY station_key ORDER BY day DESC, data_type) AS rn
   FROM v_river WHERE data_type IN ('backcast', 'actual')) WHERE rn = 1)
   SELECT l.station_key, l.day AS flow_day, l.value AS flow, normal AS flow_normal, CASE WHEN normal > 0 THEN l.value / normal * 100 END AS flow_pct
-  FROM l LEFT JOIN n ON n.station_key = l.station_key AND n.day = l.day""", f="flow flow_normal flow_pct")
+  FROM l LEFT JOIN n ON n.station_key = l.station_key AND n.day = l.day""", f="flow flow_normal flow_pct", keep="river")
 def c16_latest_flow_report(t):
     return J.latest_flow_report(t.river(), _river_normal(t))
 
 
 @query("""SELECT 'both' AS side, COUNT(*) AS n FROM (SELECT day FROM v_hist WHERE area = 'ASIA' INTERSECT SELECT day FROM v_hist WHERE area = 'EUROPE')
-  UNION ALL SELECT 'only', COUNT(*) FROM (SELECT day FROM v_hist WHERE area = 'ASIA' EXCEPT SELECT day FROM v_hist WHERE area = 'EUROPE')""", i="n")
+  UNION ALL SELECT 'only', COUNT(*) FROM (SELECT day FROM v_hist WHERE area = 'ASIA' EXCEPT SELECT day FROM v_hist WHERE area = 'EUROPE')""", i="n", keep="hist")
 def g3_g4_set_operations(t):
     h = t.hist()
     a, b = h.filter("area = 'ASIA'"), h.filter("area = 'EUROPE'")

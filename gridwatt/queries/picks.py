@@ -11,7 +11,7 @@ from ..sources.views import LABELS
 from .base import query
 
 
-@query("""SELECT pattern, reference_date, family, region, day, value FROM (SELECT *, dense_rank() OVER (PARTITION BY pattern ORDER BY reference_date DESC) AS r FROM v_morning) WHERE r <= 5""", f="value")
+@query("""SELECT pattern, reference_date, family, region, day, value FROM (SELECT *, dense_rank() OVER (PARTITION BY pattern ORDER BY reference_date DESC) AS r FROM v_morning) WHERE r <= 5""", f="value", keep="morning")
 def f1_last_n_issues(t):
     return R.last_n_issues(t.morning(), ["pattern"], "reference_date", 5).select("pattern", "reference_date", "family", "region", "day", "value")
 
@@ -39,7 +39,7 @@ def f3_tail_members(t):
     AND abs(weekofyear(week) - weekofyear(t0)) <= 1 AND year(week) < year(t0)),
   d AS (SELECT area, t0, year, MIN(dist) AS distance FROM (SELECT *, dl + CASE WHEN snow0 IS NULL THEN 0 ELSE COALESCE(ds, AVG(ds) OVER (PARTITION BY area, t0), 0) END AS dist FROM c) GROUP BY 1, 2, 3)
   SELECT area, t0, year, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY area, t0 ORDER BY distance, year) AS rank FROM d) WHERE rank <= 3""",
-       f="distance", i="year rank")
+       f="distance", i="year rank", keep="hist")
 def f4_nearest_analogues(t):
     j = t.hist().join(t.load(), ["area", "day"]).withColumn("snow", F.when(F.month("day") < 7, F.col("temp")))
     lib = D.week_last(j, ["area"], ["actual", "snow"]).withColumnRenamed("actual", "level")

@@ -56,7 +56,7 @@ _SHARES = f"""SELECT run, reference_date, day, regime, COUNT(*) AS n, ANY_VALUE(
 
 @query(_SHARES, f="share", i="n n_members")
 def h5_member_shares(t):
-    return H.member_shares(P.classified(t), P.RUN)
+    return H.member_shares(P.member_table(t), P.RUN)
 
 
 @query("""SELECT *, MAX(mean) OVER (PARTITION BY run, day) < 1.0 + lead_day * -0.018774217528098960 AS no_regime FROM (
@@ -66,12 +66,16 @@ def h6_ensemble_index(t):
     return H.ensemble_index(H.to_long(P.indexed(t), "iwr"), P.RUN)
 
 
-@query(f"""SELECT f.*, years, first_day, last_day FROM ({_FREQ.format(src=_CLEAN)}) f,
-  (SELECT COUNT(DISTINCT year(day)) AS years, MIN(day) AS first_day, MAX(day) AS last_day FROM v_regday)""", f="share", i="doy n years")
+@query(_FREQ.format(src=_CLEAN), f="share", i="doy n")
 def h7_regime_climatology(t):
     return H.regime_climatology(one_series(t.regime_days()), ["series"]).drop("series")
 
 
+@query("SELECT COUNT(DISTINCT year(day)) AS years, MIN(day) AS first_day, MAX(day) AS last_day FROM v_regday", i="years")
+def h7_record_span(t):
+    return H.record_span(one_series(t.regime_days()), ["series"]).drop("series")
+
+
 def _episodes(t):
     return W.episodes(W.clean_singles(one_series(t.regime_days()), ["series"], "day", "regime"), ["series"], "day", "regime")
 
@@ -121,7 +125,7 @@ def h9_member_transitions(t):
   FROM s FULL JOIN cl USING (run, regime)""", f="share clim_share departure")
 def h10_window_climatology(t):
     clim = H.regime_climatology(one_series(t.regime_days()), ["series"])
-    m = P.classified(t)
+    m = P.member_table(t)
     days = m.select("run", "day").distinct()
     cl = H.window_climatology(clim, days, ["run"])
     return H.share_departure(H.member_shares(m, ["run"]), cl, ["run"], days.groupBy("run").agg(F.count("*").alias("n_days")))

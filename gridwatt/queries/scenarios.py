@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import picks as K
 from ..operators import scenarios as S
 from ..plans import scenarios as P
+from ..session import stored
 from ..sources import views as V
 from .base import query
 
@@ -19,7 +20,7 @@ _WK = f"""SELECT run, CAST(date_trunc('week', day) AS DATE) AS week_start, membe
 
 def weekly(t):
     g = t.grid()
-    return S.weekly_field(P.departure_field(g, RUN), RUN, K.usable_weeks(g, RUN, n=2))
+    return stored(S.weekly_field(P.departure_field(g, RUN), RUN, K.usable_weeks(g, RUN, n=2)), "weekly")
 
 
 def thirds(df):
@@ -145,7 +146,7 @@ def _dep_sql(prefix: str, how: str, expr: str) -> str:
     concat_ws(' and ', CASE WHEN temp <> 'flat' THEN temp END, CASE WHEN wind <> 'flat' THEN wind END) AS said FROM k)
   SELECT * EXCLUDE (said, x), upper(substr(x, 1, 1)) || substr(x, 2) AS line FROM (SELECT *, CASE WHEN said = '' THEN 'Flat in NWE' ELSE CASE WHEN lean THEN 'leans ' ELSE '' END || said || ' in NWE' ||
     CASE WHEN temp = 'flat' THEN ', temperature flat' WHEN wind = 'flat' THEN ', wind flat' ELSE '' END END AS x FROM l)""",
-       f="d_temp ens_temp sd_temp d_wind ens_wind sd_wind d_wind_pct sd_wind_pct eff_temp eff_wind", i="scenario")
+       f="d_temp ens_temp sd_temp d_wind ens_wind sd_wind d_wind_pct sd_wind_pct eff_temp eff_wind", i="scenario", keep="member")
 def j9_region_read(t):
     x = tagged(t)
     wind = x.withColumn("value", F.col("value") * (F.lit(1.0) + F.col("scenario") * 0.3))
@@ -186,7 +187,7 @@ _TAILS = """SELECT reference_date, member, CASE WHEN r <= k THEN 1 WHEN r > n -
 
 
 @query(_WEEKLY.format(src=f"SELECT m.*, s.scenario, h.actual AS normal FROM v_member m JOIN ({_TAILS}) s USING (reference_date, member) LEFT JOIN v_hist h ON h.area = m.area AND h.day = m.day"),
-       f=_WF, i="scenario n")
+       f=_WF, i="scenario n", keep="member hist")
 def j13_tail_scenarios(t):
     return P.tail_scenarios(tagged(t).drop("scenario"), ["reference_date"], "ASIA")
 

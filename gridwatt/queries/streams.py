@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources import tables
 from ..streaming import curves as S
 from .base import query
-from .tables import scratch
 
 
 def _stream(t, name: str):
@@ -27,7 +27,7 @@ _LOCAL = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'CET'"
 @query(f"""SELECT event_type, CAST({_LOCAL} AS DATE) AS day, AVG(value / 9.97) AS value, COUNT(*) AS n_points FROM events
   WHERE CAST({_LOCAL} AS DATE) + 1 <= (SELECT MAX({_LOCAL}) - INTERVAL 2 DAYS FROM events) GROUP BY 1, 2 HAVING COUNT(*) >= 3""", f="value", i="n_points")
 def s1_stream_daily_curve(t):
-    out = scratch(t, "s1")
+    out = scratch_path(t.spark, "s1")
     e = _stream(t, "events").withColumn("value", F.col("value") / 9.97)
     days = S.daily_curve(e, ["event_type"], "2 days", ts="ts", min_points=3)
     _finish(days.writeStream.outputMode("append").option("checkpointLocation", out + "-state").format("parquet").option("path", out))
@@ -36,7 +36,7 @@ def s1_stream_daily_curve(t):
 
 @query("""SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS year, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders""", f="price")
 def s2_stream_upsert(t):
-    path = scratch(t, "s2")
+    path = scratch_path(t.spark, "s2")
     tables.replace_table(t.raw("orders").select("o_orderkey", F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price")), path, ["year"])
     revised = _stream(t, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.year("o_orderdate").alias("year"), (F.col("o_totalprice") * 2).alias("price"))
     q = S.stream_upsert(revised, path, ["o_orderkey", "year"], "year", ["price"], path + "-state").start()
@@ -46,7 +46,7 @@ def s2_stream_upsert(t):
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def s3_stream_dedupe(t):
-    out = scratch(t, "s3")
+    out = scratch_path(t.spark, "s3")
     e = _stream(t, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     d = S.stream_dedupe(e, ["user_id", "event_type"], "ts", S.revision_delay("indices")).select("user_id", "event_type")
     _finish(d.writeStream.outputMode("append").option("checkpointLocation", out + "-state").format("parquet").option("path", out))
@@ -57,7 +57,7 @@ def s3_stream_dedupe(t):
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS run, l_suppkey % 20 AS member, l_extendedprice FROM lineitem)
   WHERE run IN (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) FROM lineitem GROUP BY 1 HAVING COUNT(DISTINCT l_suppkey % 20) >= 20) OR run < DATE '1998-01-01' GROUP BY 1, 2, 3""", f="value")
 def s4_stream_new_runs(t):
-    path = scratch(t, "s4")
+    path = scratch_path(t.spark, "s4")
 
     def rows(li):
         return li.select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("run"), (F.col("l_suppkey") % 20).alias("member"),

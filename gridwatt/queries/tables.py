@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import scratch_path, stored
 from ..sources import readers, tables
 from .base import query
 
 
-def scratch(t, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint folder."""
-    return f"{checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("""SELECT index_name, day AS date, value, 'panel' AS source FROM (
   SELECT CAST(o_orderdate AS DATE) AS day, MAX(o_totalprice) / 997 AS "TOP_VALUE", MIN(o_totalprice) / 997 AS "LOW" FROM orders
   WHERE year(o_orderdate) >= 1996 AND o_orderstatus = 'F' GROUP BY 1) UNPIVOT (value FOR index_name IN ("TOP_VALUE", "LOW"))""", f="value")
@@ -53,13 +46,13 @@ def a5_curve_models(t):
 
 @query("SELECT area, day, actual FROM v_hist", f="actual")
 def a6_replace_table(t):
-    path = scratch(t, "replace")
+    path = scratch_path(t.spark, "replace")
     tables.replace_table(t.hist(), path, ["area"])
     return t.spark.read.parquet(path).select("area", "day", "actual")
 
 
 @query("""SELECT 'A' AS provider, area, day, actual, NULL::DOUBLE AS temp FROM v_hist
-  UNION ALL SELECT 'B', area, day, NULL, temp FROM v_load""", f="actual temp")
+  UNION ALL SELECT 'B', area, day, NULL, temp FROM v_load""", f="actual temp", keep="hist")
 def a7_append_rows(t):
     b = t.load().select(F.lit("B").alias("provider"), "area", "day", "temp")
     return tables.append_rows(t.hist().select(F.lit("A").alias("provider"), "area", "day", "actual"), b)
@@ -77,7 +70,7 @@ def a8_upsert(t):
     o = t.raw("orders")
     new = o.filter(F.year("o_orderdate") >= 1998).groupBy(k, d).agg((F.sum("o_totalprice") / 99700).alias("v")).withColumn("origin", F.lit("new"))
     old = o.filter(F.year("o_orderdate") <= 1999).groupBy(k, d).agg((F.avg("o_totalprice") / 99700).alias("v")).withColumn("origin", F.lit("old"))
-    return tables.upsert(old, new, ["k", "d"])
+    return tables.upsert(old, stored(new, "batch"), ["k", "d"])
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM (SELECT *, row_number() OVER (
@@ -98,7 +91,7 @@ def a10_inline_table(t):
   UNION ALL SELECT 'latest', pattern, reference_date, day, COUNT(*) FROM v_morning m WHERE reference_date = (
     SELECT MAX(reference_date) FROM v_morning x WHERE x.pattern = m.pattern) GROUP BY ALL
   UNION ALL SELECT 'last 3', pattern, reference_date, day, COUNT(*) FROM (SELECT *, dense_rank() OVER (
-    PARTITION BY pattern ORDER BY reference_date DESC) AS r FROM v_morning) WHERE r <= 3 GROUP BY ALL""", i="n")
+    PARTITION BY pattern ORDER BY reference_date DESC) AS r FROM v_morning) WHERE r <= 3 GROUP BY ALL""", i="n", keep="morning")
 def a11_prune(t):
     m = t.morning()
     parts = {"age": tables.prune_age(m, "day", F.lit("1999-12-01").cast("date"), 30),
@@ -111,14 +104,14 @@ def a11_prune(t):
     return out
 
 
-@query("""SELECT area, day, actual FROM v_hist WHERE day > (SELECT MAX(day) FROM v_hist WHERE year(day) < 2000)""", f="actual")
+@query("""SELECT area, day, actual FROM v_hist WHERE day > (SELECT MAX(day) FROM v_hist WHERE year(day) < 2000)""", f="actual", keep="hist")
 def a12_after_watermark(t):
     h = t.hist()
     return tables.after_watermark(h, h.filter(F.year("day") < 2000), "day")
 
 
 @query("""SELECT pattern, reference_date, family, region, day, value FROM v_morning m WHERE NOT EXISTS (
-  SELECT 1 FROM v_morning x WHERE x.pattern = m.pattern AND x.reference_date = m.reference_date AND year(x.reference_date) < 2000 AND x.pattern <> 'ec00')""", f="value")
+  SELECT 1 FROM v_morning x WHERE x.pattern = m.pattern AND x.reference_date = m.reference_date AND year(x.reference_date) < 2000 AND x.pattern <> 'ec00')""", f="value", keep="morning")
 def a13_skip_loaded_runs(t):
     m = t.morning().select("pattern", "reference_date", "family", "region", "day", "value")
     stored = m.filter((F.year("reference_date") < 2000) & (F.col("pattern") != "ec00"))
@@ -126,13 +119,13 @@ def a13_skip_loaded_runs(t):
 
 
 @query("""SELECT reference_date, area, member, lead_day, value FROM v_member m WHERE (SELECT COUNT(DISTINCT member) FROM v_member x
-  WHERE x.reference_date = m.reference_date AND x.area = m.area AND x.lead_day = m.lead_day) >= 19""", f="value", i="member lead_day")
+  WHERE x.reference_date = m.reference_date AND x.area = m.area AND x.lead_day = m.lead_day) >= 19""", f="value", i="member lead_day", keep="member")
 def a14_require_min_members(t):
     m = t.member().select("reference_date", "area", "member", "lead_day", "value")
     return tables.require_min_members(m, ["reference_date", "area", "lead_day"], 19)
 
 
-@query("""SELECT 'V' AS source, area, day, actual FROM v_hist UNION ALL SELECT 'R', area, day, temp FROM v_load""", f="actual")
+@query("""SELECT 'V' AS source, area, day, actual FROM v_hist UNION ALL SELECT 'R', area, day, temp FROM v_load""", f="actual", keep="hist")
 def a15_replace_slice(t):
     h = t.hist().select(F.explode(F.array(F.lit("V"), F.lit("R"))).alias("source"), "area", "day", "actual")
     new = t.load().select(F.lit("R").alias("source"), "area", "day", F.col("temp").alias("actual"))
@@ -162,7 +155,7 @@ def a18_freshness(t):
 
 
 @query("""SELECT area, reference_date, COUNT(DISTINCT member) AS n_members, COUNT(DISTINCT area) AS n_areas, MIN(day) AS first_day, MAX(day) AS last_day
-  FROM v_member m WHERE reference_date = (SELECT MAX(reference_date) FROM v_member x WHERE x.area = m.area) GROUP BY 1, 2""", i="n_members n_areas")
+  FROM v_member m WHERE reference_date = (SELECT MAX(reference_date) FROM v_member x WHERE x.area = m.area) GROUP BY 1, 2""", i="n_members n_areas", keep="member")
 def a19_member_catalogue(t):
     return tables.member_catalogue(t.member(), ["area"])
 
@@ -174,7 +167,7 @@ def a19_field_catalogue(t):
 
 
 @query("""SELECT station_key, day, value FROM v_river WHERE data_type = 'actual' AND station_key % 3 <> 0
-  UNION ALL SELECT station_key, day, value FROM v_river WHERE data_type = 'backcast' AND station_key % 3 = 0""", f="value")
+  UNION ALL SELECT station_key, day, value FROM v_river WHERE data_type = 'backcast' AND station_key % 3 = 0""", f="value", keep="river")
 def a20_union_with_precedence(t):
     r = t.river().select("station_key", "day", "value", "data_type")
     primary = r.filter("data_type = 'actual' AND station_key % 3 <> 0").drop("data_type")
@@ -184,7 +177,7 @@ def a20_union_with_precedence(t):
 @query("""WITH a AS (SELECT * FROM v_hist WHERE area IN ('AFRICA', 'ASIA') OR year(day) < 2000)
   SELECT area, day, actual, 'actual' AS source FROM a UNION ALL SELECT area, day, temp, 'synthetic' FROM v_load l
   WHERE (SELECT MAX(day) FROM a WHERE a.area = l.area) < DATE '2001-08-01' - 10
-    AND NOT EXISTS (SELECT 1 FROM a WHERE a.area = l.area AND a.day = l.day)""", f="actual")
+    AND NOT EXISTS (SELECT 1 FROM a WHERE a.area = l.area AND a.day = l.day)""", f="actual", keep="hist")
 def a21_continue_stale_series(t):
     a = t.hist().filter(F.col("area").isin("AFRICA", "ASIA") | (F.year("day") < 2000))
     syn = t.load().select("area", "day", F.col("temp").alias("actual"))
@@ -193,7 +186,7 @@ def a21_continue_stale_series(t):
 
 @query("""SELECT station_key, data_type, day, value FROM v_river r WHERE data_type = (SELECT CASE WHEN MIN(k) = 1 THEN 'backcast' ELSE 'actual' END FROM (
   SELECT station_key, CASE data_type WHEN 'backcast' THEN 1 WHEN 'actual' THEN 2 END AS k FROM v_river
-  WHERE data_type = 'actual' OR (data_type = 'backcast' AND station_key % 4 = 0)) x WHERE x.station_key = r.station_key)""", f="value")
+  WHERE data_type = 'actual' OR (data_type = 'backcast' AND station_key % 4 = 0)) x WHERE x.station_key = r.station_key)""", f="value", keep="river")
 def a22_first_available(t):
     r = t.river().select("station_key", "data_type", "day", "value").filter(
         "data_type <> 'backcast' OR station_key % 4 = 0")
@@ -228,7 +221,7 @@ def a24_station_dimension(t):
 
 @query("SELECT area, strftime(day, '%Y-%m-%d') AS day, SUM(actual) AS total FROM v_hist GROUP BY 1, 2", f="total", digits=4)
 def a25_tidy_export(t):
-    path = scratch(t, "export")
+    path = scratch_path(t.spark, "export")
     tables.tidy_export(t.hist().groupBy("area", "day").agg(F.sum("actual").alias("total")), path)
     return t.spark.read.csv(path, header=True, schema="area string, day string, total double")
 

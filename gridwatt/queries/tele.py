@@ -51,7 +51,7 @@ def n1_index_months(t):
 
 
 @query("""SELECT index_name, 'month' AS res, year, period, value FROM v_is UNION ALL SELECT index_name, 'quarter', (t + 2) // 12, ((t + 2) % 12) // 3 + 1, AVG(value) FROM v_it GROUP BY 1, 3, 4 HAVING COUNT(*) = 3""",
-       f="value", i="year period", views=VIEWS)
+       f="value", i="year period", views=VIEWS, keep="index_daily")
 def n2_at_resolution(t):
     m = N.at_resolution(months(t), ["index_name"], "month", 1).withColumn("res", F.lit("month"))
     return m.unionByName(N.at_resolution(months(t), ["index_name"], "quarter", 2).withColumn("res", F.lit("quarter")))
@@ -131,7 +131,7 @@ def fits(t):
 
 
 @query(f"""SELECT area, source, period, COUNT(*) AS n, corr(x, y) * corr(x, y) AS r2, 1 - (1 - corr(x, y) * corr(x, y)) * (COUNT(*) - 1) / (COUNT(*) - 2) AS adj_r2, corr(x, y) AS beta FROM v_dt
-  WHERE index_name = 'IDX_F' GROUP BY 1, 2, 3 HAVING COUNT(*) >= {YEARS}""", f="r2 adj_r2 beta", i="period n", digits=5, views=VIEWS)
+  WHERE index_name = 'IDX_F' GROUP BY 1, 2, 3 HAVING COUNT(*) >= {YEARS}""", f="r2 adj_r2 beta", i="period n", digits=5, views=VIEWS, keep="hist index_daily")
 def n9_single_regression(t):
     """With one predictor the standardised beta is the correlation, which SQL can check."""
     f = N.loo_regression(z(t), targets(t), ["IDX_F"], min_years=YEARS)
@@ -141,13 +141,13 @@ def n9_single_regression(t):
 @query(f"""WITH g AS (SELECT *, COUNT(*) OVER w AS n, AVG(x) OVER w AS mx, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a, regr_sxx(y, x) OVER w AS sxx FROM v_dt WHERE index_name = 'IDX_F'
     WINDOW w AS (PARTITION BY area, source, period)), e AS (SELECT *, (y - a - b * x) / (1 - 1.0 / n - (x - mx) * (x - mx) / sxx) AS loo FROM g WHERE n >= {YEARS})
   SELECT area, source, period, sqrt(AVG(loo * loo)) AS rmse_loo, 1 - SUM(loo * loo) / regr_syy(y, x) AS loo_r2, SUM(CASE WHEN sign(y - loo) = sign(y) THEN 1 ELSE 0 END) AS n_hit, COUNT(*) AS n_eval FROM e GROUP BY 1, 2, 3""",
-       f="rmse_loo loo_r2", i="period n_hit n_eval", digits=4, views=VIEWS)
+       f="rmse_loo loo_r2", i="period n_hit n_eval", digits=4, views=VIEWS, keep="hist index_daily")
 def n9_leave_one_out(t):
     f = N.loo_regression(z(t), targets(t), ["IDX_F"], min_years=YEARS)
     return f.select("area", "source", "period", "rmse_loo", "loo_r2", "n_hit", "n_eval")
 
 
-@query()
+@query(keep="hist index_daily")
 def n9_loo_regression(t):
     return fits(t).drop("now")
 
@@ -165,12 +165,12 @@ def n10_usability(t):
   l AS (SELECT index_name, MAX(day) AS last_day, arg_max(value, day) AS latest FROM v_index GROUP BY 1)
   SELECT l.index_name, last_day, latest, c.year, c.month, month_value, COUNT(m.value) AS n_years, CASE WHEN COUNT(m.value) >= {YEARS} THEN (month_value - AVG(m.value)) / stddev_samp(m.value) END AS z
   FROM l JOIN c ON c.index_name = l.index_name LEFT JOIN v_im m ON m.index_name = c.index_name AND m.month = c.month AND m.year < c.year AND m.year >= 1979 GROUP BY 1, 2, 3, 4, 5, 6""",
-       f="latest month_value z", i="year month n_years", views=VIEWS)
+       f="latest month_value z", i="year month n_years", views=VIEWS, keep="index_daily")
 def n11_index_now(t):
     return N.index_now(t.index_daily(), D.monthly_mean(t.index_daily(), ["index_name"]), YEARS)
 
 
-@query()
+@query(keep="hist index_daily")
 def n12_model_screen(t):
     return N.model_screen(fits(t), ["period"])
 

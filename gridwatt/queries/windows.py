@@ -28,7 +28,7 @@ def e2_latest_row(t):
         "station_key", "day", "data_type", "value")
 
 
-@query("""SELECT station_key, issued, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top""", f="value")
+@query("""SELECT station_key, issued, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top""", f="value", keep="river")
 def e3_latest_issue(t):
     return R.latest_issue(t.river().filter("data_type = 'forecast'"), ["station_key"], "issued").select("station_key", "issued", "day", "value")
 
@@ -50,7 +50,7 @@ _CAL = """cal AS (SELECT area, CAST(unnest(generate_series(CAST(a AS TIMESTAMP),
 
 @query(f"""WITH {_CAL} SELECT area, day, CASE WHEN COUNT(*) OVER (PARTITION BY area ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7 THEN ("""
        + " + ".join(f"lag(temp, {i}) OVER w * power(0.5, {i} / 1.5)" for i in range(7))
-       + ") / (" + " + ".join(f"power(0.5, {i} / 1.5)" for i in range(7)) + ") END AS teff FROM filled WINDOW w AS (PARTITION BY area ORDER BY day)", f="teff")
+       + ") / (" + " + ".join(f"power(0.5, {i} / 1.5)" for i in range(7)) + ") END AS teff FROM filled WINDOW w AS (PARTITION BY area ORDER BY day)", f="teff", keep="hist")
 def e5_effective_temperature(t):
     g = W.gap_fill(t.load(), ["area"], "temp")
     return W.effective_temperature(g, ["area"], 1.5).select("area", "day", "teff")
@@ -120,12 +120,12 @@ def e11_zscore_by(t):
     return W.zscore_by(year_month(t), ["area", "month"], "value", min_n=5).drop("value")
 
 
-@query("""SELECT family, region, pattern, reference_date, day, n_points FROM v_morning m WHERE n_points >= 0.9 * (SELECT MAX(n_points) FROM v_morning x WHERE x.family = m.family)""", i="n_points")
+@query("""SELECT family, region, pattern, reference_date, day, n_points FROM v_morning m WHERE n_points >= 0.9 * (SELECT MAX(n_points) FROM v_morning x WHERE x.family = m.family)""", i="n_points", keep="morning")
 def e12_drop_partial_days(t):
     return W.drop_partial_days(t.morning()).select("family", "region", "pattern", "reference_date", "day", "n_points")
 
 
-@query(f"""WITH {_CAL} SELECT area, day, temp, was_gap AS filled, CASE WHEN NOT was_gap OR gap <= 1 THEN temp END AS limited FROM filled""", f="temp limited")
+@query(f"""WITH {_CAL} SELECT area, day, temp, was_gap AS filled, CASE WHEN NOT was_gap OR gap <= 1 THEN temp END AS limited FROM filled""", f="temp limited", keep="hist")
 def e13_gap_fill(t):
     a = W.gap_fill(t.load(), ["area"], "temp")
     b = W.gap_fill(t.load(), ["area"], "temp", both_ends=False, limit=1).select("area", "day", F.col("temp").alias("limited"))
@@ -138,7 +138,7 @@ def e15_season_filter(t):
 
 
 @query("""SELECT family, region, pattern, reference_date, day, value FROM (SELECT *, MAX(day) OVER w AS b, MIN(day) OVER w AS a FROM v_morning
-  WINDOW w AS (PARTITION BY pattern, reference_date, family, region)) WHERE day < b OR a = b""", f="value")
+  WINDOW w AS (PARTITION BY pattern, reference_date, family, region)) WHERE day < b OR a = b""", f="value", keep="morning")
 def e16_drop_last_day(t):
     return W.drop_last_day(t.morning(), ["pattern", "reference_date", "family", "region"]).select(
         "family", "region", "pattern", "reference_date", "day", "value")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Grouped functions travel to the executors by value: no executor needs this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__package__])
@@ -53,3 +54,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     own = tempfile.mkdtemp(prefix="gridwatt-checkpoint-")
     spark.sparkContext.setCheckpointDir(own)
     return own
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for this application under the shared folder."""
+    app = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/gridwatt-{app}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder once and read it from there.
+
+    For daily tables that one plan reads several times: without it every reading repeats the
+    scan and the shuffle of the facts below. The written table survives the loss of executors,
+    cuts the lineage, and has sizes the optimizer can see.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

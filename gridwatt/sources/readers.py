@@ -142,14 +142,13 @@ def block_sum_weights(fine: DataFrame, res: float = 0.5, min_persons: float = 0.
 def explode_scenarios(series: DataFrame, keys: Sequence[str], names_col: str = "names", values_col: str = "values",
                       mean_col: str | None = "mean", offset: int = 0) -> DataFrame:
     """Array of member values per day to (key, member, value) rows; the mean keeps member NULL."""
-    z = F.arrays_zip(F.col(names_col).alias("n"), F.col(values_col).alias("v"))
-    rows = series.select(*keys, F.explode(z).alias("z")).select(
-        *keys, (names.member_id(F.col("z.n")) + offset).alias("member"), F.col("z.v").cast("double").alias("value"))
-    rows = rows.filter("member IS NOT NULL AND value IS NOT NULL")
-    if mean_col is None:
-        return rows
-    mean = series.select(*keys, F.lit(None).cast("int").alias("member"), F.col(mean_col).cast("double").alias("value"))
-    return rows.unionByName(mean.filter("value IS NOT NULL"))
+    pairs = F.transform(F.arrays_zip(F.col(names_col).alias("n"), F.col(values_col).alias("v")), lambda z: F.struct(
+        (names.member_id(z["n"]) + offset).alias("member"), z["v"].cast("double").alias("value"), F.lit(False).alias("mean")))
+    if mean_col is not None:
+        mean = F.struct(F.lit(None).cast("int").alias("member"), F.col(mean_col).cast("double").alias("value"), F.lit(True).alias("mean"))
+        pairs = F.concat(pairs, F.array(mean))
+    rows = series.select(*keys, F.inline(pairs))
+    return rows.filter("value IS NOT NULL AND (mean OR member IS NOT NULL)").drop("mean")
 
 
 def station_dimension(curves: DataFrame, coordinates: DataFrame, name: str = "curve_name") -> DataFrame:

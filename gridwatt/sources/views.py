@@ -6,11 +6,14 @@ layout the operators expect. The divisors bring amounts to display size.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import require
 from ..functions import time
+from ..session import stored
 
 N_MEMBERS, N_LEADS, N_POINTS = 10, 10, 64
 PATTERNS = ["ec00ens", "ec12ens", "gfs00ens", "ec00", "gfs00"]
@@ -19,10 +22,27 @@ LABELS = [*REGIMES, "no"]
 
 
 class Tables:
-    """The tables of one data folder."""
+    """The tables of one data folder.
+
+    ``keep`` names daily views that the caller reads several times: they are computed once,
+    written to the shared folder and read from there, as the scheduled refresh of such tables
+    would do. Views read once stay part of the caller's plan.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, keep: Sequence[str] = ()):
         self.spark, self.folder = spark, folder.rstrip("/")
+        for name in keep:
+            setattr(self, name, self._kept(name))
+
+    def _kept(self, name: str):
+        build, found = getattr(self, name), []
+
+        def view() -> DataFrame:
+            if not found:
+                found.append(stored(build(), name))
+            return found[0]
+
+        return view
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
