@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Multiplier into the display unit, by variable family.
 UNIT_SCALE = {"tt": 1.0, "wnd": 0.001, "spv": 0.001, "rre": 1.0}
@@ -104,7 +105,7 @@ def _inc_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(swap, 1 - res, res)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a Student-t statistic; NULL where either input is."""
     ok = t.notna() & df.notna() & (df > 0)
@@ -115,7 +116,7 @@ def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(~np.isnan(out), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def binomial_upper(k: pd.Series, n: pd.Series) -> pd.Series:
     """P(X >= k) of n fair coin tosses."""
     ok = k.notna() & n.notna() & (n > 0)

@@ -93,11 +93,13 @@ def correlation_grid(z: DataFrame, targets: DataFrame, target_keys: Sequence[str
                      detrend: bool = True, min_years: int = MIN_YEARS) -> DataFrame:
     """r, p and n of every index against every target in every period."""
     keys = ["index_name", *target_keys, "period"]
-    g = paired(z, targets, target_keys, years, detrend).groupBy(*keys).agg(F.count("*").alias("n"), F.corr("x", "y").alias("_r"))
-    r = F.when((F.col("n") >= min_years) & ~F.isnan("_r"), F.col("_r"))
+    g = paired(z, targets, target_keys, years, detrend).groupBy(*keys).agg(
+        F.count("*").alias("n"), F.regr_sxy("y", "x").alias("_xy"), F.regr_sxx("y", "x").alias("_xx"), F.regr_syy("y", "x").alias("_yy"))
+    # from moments: Spark's corr() raises on a constant series, which here has no correlation
+    r = F.when(F.col("n") >= min_years, ratio(F.col("_xy"), F.nullif(F.sqrt(F.col("_xx") * F.col("_yy")), F.lit(0.0))))
     g = g.withColumn("r", r)
     t = F.col("r") * F.sqrt(ratio(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
-    return g.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double"))).drop("_r")
+    return g.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double"))).drop("_xy", "_xx", "_yy")
 
 
 def phase_groups(z: DataFrame, threshold: float) -> DataFrame:
