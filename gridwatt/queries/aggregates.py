@@ -125,7 +125,7 @@ def d9_history_daily(t):
 
 
 _RAW = """SELECT l_suppkey AS content_id, l_linenumber AS update_id, l_shipdate + INTERVAL 1 HOUR * CAST(l_partkey % 24 AS INTEGER) AS ts,
-  l_extendedprice / 997 AS mw, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(l_suppkey AS DOUBLE) + 0.5 END AS cap,
+  l_extendedprice / 997.131 AS mw, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(l_suppkey AS DOUBLE) + 0.5 END AS cap,
   CASE WHEN l_suppkey % 3 = 0 THEN 'wind' ELSE 'photovoltaic' END AS tech FROM lineitem WHERE l_suppkey % 11 <> 0"""
 
 
@@ -138,7 +138,7 @@ def d10_vintage_daily(t):
     tech = F.when(F.col("l_suppkey") % 3 == 0, "wind").otherwise("photovoltaic")
     raw = li.select(F.col("l_suppkey").alias("content_id"), F.col("l_linenumber").alias("update_id"),
                     (F.col("l_shipdate").cast("timestamp") + F.make_interval(hours=(F.col("l_partkey") % 24).cast("int"))).alias("delivery_start"),
-                    (F.col("l_extendedprice") / 997).cast("string").alias("forecast"),
+                    (F.col("l_extendedprice") / 997.131).cast("string").alias("forecast"),
                     F.when(F.col("l_suppkey") % 5 == 0, "unknown").otherwise(
                         F.concat((F.col("l_suppkey") + F.lit(0.5)).cast("string"), F.lit(" GW"))).alias("installed_capacity"),
                     F.concat(F.lit("C"), (F.col("l_suppkey") % 7).cast("string"), F.lit(" "), tech,
@@ -175,7 +175,7 @@ def d13_parameterised_daily(t):
     return P.parameterised_daily(t.obs(), params, ["area"], ts="ts")
 
 
-@query("""WITH v AS (SELECT n_name AS area, CAST(o_orderdate AS DATE) AS day, SUM(o_totalprice) / 99700 AS value
+@query("""WITH v AS (SELECT n_name AS area, CAST(o_orderdate AS DATE) AS day, SUM(o_totalprice) / 99713.1 AS value
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
   SELECT date_trunc('month', day) AS month, region, SUM(value) AS value FROM (SELECT area, date_trunc('month', day) AS day, SUM(value) AS value FROM v GROUP BY 1, 2)
   JOIN v_region USING (area) GROUP BY 1, 2 HAVING COUNT(*) = (SELECT COUNT(*) FROM v_region x WHERE x.region = v_region.region)""".replace("v_region.region)", "any_value(v_region.region))"), f="value", digits=4)
@@ -186,10 +186,10 @@ def d14_combine_regions_sum(t):
 def _nation_months(t):
     o, c = t.raw("orders"), t.raw("customer")
     j = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(t.nation_area(), F.col("c_nationkey") == F.col("n_nationkey"))
-    return j.groupBy("area", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg((F.sum("o_totalprice") / 99700).alias("value"))
+    return j.groupBy("area", F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("month")).agg((F.sum("o_totalprice") / 99713.1).alias("value"))
 
 
-@query("""WITH v AS (SELECT n_name AS area, date_trunc('month', o_orderdate) AS month, SUM(o_totalprice) / 99700 AS value
+@query("""WITH v AS (SELECT n_name AS area, date_trunc('month', o_orderdate) AS month, SUM(o_totalprice) / 99713.1 AS value
     FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
   m AS (SELECT r.area, r.region, SUM(population) AS pop FROM v_region r JOIN v_weights w ON w.area = r.area GROUP BY 1, 2),
   k AS (SELECT region, COUNT(*) AS size FROM m GROUP BY 1)
@@ -283,10 +283,10 @@ def d25_member_range(t):
 
 
 @query("""SELECT l_suppkey AS station_key, SUM(CASE WHEN g THEN b / (s * s) END) / SUM(CASE WHEN g THEN 1 / (s * s) END) AS mean, COUNT(CASE WHEN g THEN 1 END) AS n
-  FROM (SELECT l_suppkey, l_extendedprice / 997 AS b, l_quantity / 9.97 AS s, l_discount >= 0.05 AS g FROM lineitem) GROUP BY 1""", f="mean", i="n")
+  FROM (SELECT l_suppkey, l_extendedprice / 997.131 AS b, l_quantity / 9.97131 AS s, l_discount >= 0.05 AS g FROM lineitem) GROUP BY 1""", f="mean", i="n")
 def d26_precision_weighted_mean(t):
-    x = t.raw("lineitem").select(F.col("l_suppkey").alias("station_key"), (F.col("l_extendedprice") / 997).alias("b"),
-                                 (F.col("l_quantity") / 9.97).alias("s"), "l_discount")
+    x = t.raw("lineitem").select(F.col("l_suppkey").alias("station_key"), (F.col("l_extendedprice") / 997.131).alias("b"),
+                                 (F.col("l_quantity") / 9.97131).alias("s"), "l_discount")
     return D.precision_weighted_mean(x, ["station_key"], "b", "s", F.col("l_discount") >= 0.05)
 
 

@@ -31,18 +31,18 @@ SQL_VIEWS = {
     "v_station": """SELECT s_suppkey AS station_key, s_name AS station, area,
             CAST(36 + s_suppkey % 30 AS DOUBLE) AS latitude, CAST(-10 + s_suppkey % 37 AS DOUBLE) AS longitude
         FROM supplier JOIN v_na ON s_nationkey = n_nationkey""",
-    "v_obs": """SELECT event_type AS curve, area, region, ts, value / 9.97 AS value, user_id
+    "v_obs": """SELECT event_type AS curve, area, region, ts, value / 9.97131 AS value, user_id
         FROM events JOIN v_na ON user_id % 25 = n_nationkey""",
     "v_oa": """SELECT * FROM orders JOIN customer ON o_custkey = c_custkey JOIN v_na ON c_nationkey = n_nationkey""",
     "v_lines": """SELECT * FROM lineitem JOIN v_oa ON l_orderkey = o_orderkey""",
-    "v_hist": """SELECT region AS area, CAST(o_orderdate AS DATE) AS day, SUM(o_totalprice) / 99700 AS actual
+    "v_hist": """SELECT region AS area, CAST(o_orderdate AS DATE) AS day, SUM(o_totalprice) / 99713.1 AS actual
         FROM v_oa GROUP BY 1, 2""",
     "v_load": """SELECT area, day, actual AS load, 12.0 + cos((dayofyear(day) - 200) * 0.0172024) * 10
             + (day(day) % 5 + length(area) % 3) * 1.01 AS temp FROM v_hist""",
     "v_member": """SELECT *, reference_date + CAST(lead_day AS INTEGER) AS day FROM (
             SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS reference_date, region AS area,
               l_linenumber - 1 AS lead_day, CAST(l_suppkey % 20 AS INTEGER) AS member,
-              AVG(l_extendedprice) / 997 AS value, COUNT(*) AS n_points
+              AVG(l_extendedprice) / 997.131 AS value, COUNT(*) AS n_points
             FROM v_lines GROUP BY 1, 2, 3, 4)""",
     "v_morning": f"""SELECT family, region, pattern, reference_date,
             CAST(reference_date AS TIMESTAMP) + CASE WHEN pattern LIKE '%12%' THEN INTERVAL 12 HOURS ELSE INTERVAL 0 HOURS END AS init_time,
@@ -51,13 +51,13 @@ SQL_VIEWS = {
               {_list(PATTERNS)}[CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS pattern,
               CAST(date_trunc('month', o_orderdate) AS DATE) + CAST(o_custkey % 2 AS INTEGER) AS reference_date,
               CAST(l_linenumber - 1 + (l_suppkey % 2) * 7 AS INTEGER) AS lead,
-              AVG(l_extendedprice) / 997 AS value, COUNT(*) AS n_points
+              AVG(l_extendedprice) / 997.131 AS value, COUNT(*) AS n_points
             FROM v_lines GROUP BY 1, 2, 3, 4, 5)""",
     "v_river": """SELECT l_suppkey AS station_key,
             CASE l_returnflag WHEN 'A' THEN 'actual' WHEN 'R' THEN 'backcast' ELSE 'forecast' END AS data_type,
             CAST(l_shipdate AS DATE) AS day,
             CASE WHEN l_returnflag NOT IN ('A', 'R') THEN CAST(date_trunc('month', l_shipdate) AS DATE) END AS issued,
-            AVG(l_quantity) / 1.97 AS value
+            AVG(l_quantity) / 1.97131 AS value
         FROM lineitem GROUP BY 1, 2, 3, 4""",
     "v_grid": """SELECT vec_id // 100 AS run, DATE '2024-01-03' + CAST(7 * (vec_id // 100) AS INTEGER) AS reference_date,
             DATE '2024-01-03' + CAST(7 * (vec_id // 100) + (vec_id // 10) % 10 AS INTEGER) AS day,
@@ -66,7 +66,7 @@ SQL_VIEWS = {
             CAST(embedding[pos + 1] AS DOUBLE) * 300.3 AS value, label
         FROM embeddings, (SELECT unnest(range(64)) AS pos) WHERE pos < len(embedding)""",
     "v_index": """SELECT 'IDX_' || o_orderstatus AS index_name, CAST(o_orderdate AS DATE) AS day,
-            AVG(o_totalprice) / 99700 AS value FROM orders GROUP BY 1, 2""",
+            AVG(o_totalprice) / 99713.1 AS value FROM orders GROUP BY 1, 2""",
     "v_regday": f"""SELECT day, {_list(LABELS)}[1 + CASE WHEN n % 5 = 0 THEN (base + 1) % 8 ELSE base END] AS regime FROM (
             SELECT day, n, ((day - DATE '1995-01-01') // 9 * 5 + (day - DATE '1995-01-01') // 9 // 3) % 8 AS base FROM (
             SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM orders GROUP BY 1))""",

@@ -24,11 +24,11 @@ def _finish(writer) -> None:
 _LOCAL = "ts AT TIME ZONE 'UTC' AT TIME ZONE 'CET'"
 
 
-@query(f"""SELECT event_type, CAST({_LOCAL} AS DATE) AS day, AVG(value / 9.97) AS value, COUNT(*) AS n_points FROM events
+@query(f"""SELECT event_type, CAST({_LOCAL} AS DATE) AS day, AVG(value / 9.97131) AS value, COUNT(*) AS n_points FROM events
   WHERE CAST({_LOCAL} AS DATE) + 1 <= (SELECT MAX({_LOCAL}) - INTERVAL 2 DAYS FROM events) GROUP BY 1, 2 HAVING COUNT(*) >= 3""", f="value", i="n_points")
 def s1_stream_daily_curve(t):
     out = scratch_path(t.spark, "s1")
-    e = _stream(t, "events").withColumn("value", F.col("value") / 9.97)
+    e = _stream(t, "events").withColumn("value", F.col("value") / 9.97131)
     days = S.daily_curve(e, ["event_type"], "2 days", ts="ts", min_points=3)
     _finish(days.writeStream.outputMode("append").option("checkpointLocation", out + "-state").format("parquet").option("path", out))
     return t.spark.read.parquet(out)
@@ -53,7 +53,7 @@ def s3_stream_dedupe(t):
     return t.spark.read.parquet(out)
 
 
-@query("""SELECT run, member, CASE WHEN run < DATE '1998-01-01' THEN 'stored' ELSE 'new' END AS origin, AVG(l_extendedprice / 997) AS value FROM (
+@query("""SELECT run, member, CASE WHEN run < DATE '1998-01-01' THEN 'stored' ELSE 'new' END AS origin, AVG(l_extendedprice / 997.131) AS value FROM (
     SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS run, l_suppkey % 20 AS member, l_extendedprice FROM lineitem)
   WHERE run IN (SELECT CAST(date_trunc('month', l_shipdate) AS DATE) FROM lineitem GROUP BY 1 HAVING COUNT(DISTINCT l_suppkey % 20) >= 20) OR run < DATE '1998-01-01' GROUP BY 1, 2, 3""", f="value")
 def s4_stream_new_runs(t):
@@ -61,7 +61,7 @@ def s4_stream_new_runs(t):
 
     def rows(li):
         return li.select(F.to_date(F.date_trunc("month", "l_shipdate")).alias("run"), (F.col("l_suppkey") % 20).alias("member"),
-                         (F.col("l_extendedprice") / 997).alias("v"))
+                         (F.col("l_extendedprice") / 997.131).alias("v"))
 
     def mean(x, origin):
         return x.groupBy("run", "member").agg(F.avg("v").alias("value")).withColumn("origin", F.lit(origin))

@@ -10,13 +10,13 @@ from .base import query
 
 
 @query("""SELECT index_name, day AS date, value, 'panel' AS source FROM (
-  SELECT CAST(o_orderdate AS DATE) AS day, MAX(o_totalprice) / 997 AS "TOP_VALUE", MIN(o_totalprice) / 997 AS "LOW" FROM orders
+  SELECT CAST(o_orderdate AS DATE) AS day, MAX(o_totalprice) / 997.131 AS "TOP_VALUE", MIN(o_totalprice) / 997.131 AS "LOW" FROM orders
   WHERE year(o_orderdate) >= 1996 AND o_orderstatus = 'F' GROUP BY 1) UNPIVOT (value FOR index_name IN ("TOP_VALUE", "LOW"))""", f="value")
 def a1_wide_indices(t):
     d = F.to_date("o_orderdate")
     text = F.when(F.dayofmonth(d) % 2 == 0, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "MM/dd/yyyy"))
     wide = (t.raw("orders").filter("o_orderstatus = 'F'").groupBy(text.alias("Date"))
-            .agg((F.max("o_totalprice") / 997).alias("top value"), (F.min("o_totalprice") / 997).alias(" low")))
+            .agg((F.max("o_totalprice") / 997.131).alias("top value"), (F.min("o_totalprice") / 997.131).alias(" low")))
     return readers.wide_indices_to_long(wide, "Date", 1996, "panel")
 
 
@@ -58,9 +58,9 @@ def a7_append_rows(t):
     return tables.append_rows(t.hist().select(F.lit("A").alias("provider"), "area", "day", "actual"), b)
 
 
-@query("""WITH s AS (SELECT o_orderpriority AS k, CASE WHEN month(o_orderdate) <> 6 THEN CAST(o_orderdate AS DATE) END AS d, SUM(o_totalprice) / 99700 AS v
+@query("""WITH s AS (SELECT o_orderpriority AS k, CASE WHEN month(o_orderdate) <> 6 THEN CAST(o_orderdate AS DATE) END AS d, SUM(o_totalprice) / 99713.1 AS v
     FROM orders WHERE year(o_orderdate) >= 1998 GROUP BY 1, 2),
-  g AS (SELECT o_orderpriority AS k, CASE WHEN month(o_orderdate) <> 6 THEN CAST(o_orderdate AS DATE) END AS d, AVG(o_totalprice) / 99700 AS v
+  g AS (SELECT o_orderpriority AS k, CASE WHEN month(o_orderdate) <> 6 THEN CAST(o_orderdate AS DATE) END AS d, AVG(o_totalprice) / 99713.1 AS v
     FROM orders WHERE year(o_orderdate) <= 1999 GROUP BY 1, 2)
   SELECT k, d, v, 'new' AS origin FROM s UNION ALL
   SELECT k, d, v, 'old' FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = g.k AND s.d IS NOT DISTINCT FROM g.d)""", f="v")
@@ -68,8 +68,8 @@ def a8_upsert(t):
     d = F.when(F.month("o_orderdate") != 6, F.to_date("o_orderdate")).alias("d")
     k = F.col("o_orderpriority").alias("k")
     o = t.raw("orders")
-    new = o.filter(F.year("o_orderdate") >= 1998).groupBy(k, d).agg((F.sum("o_totalprice") / 99700).alias("v")).withColumn("origin", F.lit("new"))
-    old = o.filter(F.year("o_orderdate") <= 1999).groupBy(k, d).agg((F.avg("o_totalprice") / 99700).alias("v")).withColumn("origin", F.lit("old"))
+    new = o.filter(F.year("o_orderdate") >= 1998).groupBy(k, d).agg((F.sum("o_totalprice") / 99713.1).alias("v")).withColumn("origin", F.lit("new"))
+    old = o.filter(F.year("o_orderdate") <= 1999).groupBy(k, d).agg((F.avg("o_totalprice") / 99713.1).alias("v")).withColumn("origin", F.lit("old"))
     return tables.upsert(old, stored(new, "batch"), ["k", "d"])
 
 
@@ -195,12 +195,12 @@ def a22_first_available(t):
 
 @query("""SELECT area, latitude, longitude, CAST(round_even(persons, 0) AS BIGINT) AS population FROM (
   SELECT area, floor((36 + (c_custkey % 400) * 0.013) / 0.5 + 0.5) * 0.5 AS latitude, floor((-10 + (c_custkey % 300) * 0.017) / 0.5 + 0.5) * 0.5 AS longitude,
-   SUM(abs(c_acctbal) / 997) AS persons FROM customer JOIN v_na ON c_nationkey = n_nationkey GROUP BY 1, 2, 3) WHERE persons > 0.5""",
+   SUM(abs(c_acctbal) / 997.131) AS persons FROM customer JOIN v_na ON c_nationkey = n_nationkey GROUP BY 1, 2, 3) WHERE persons > 0.5""",
        f="latitude longitude")
 def a23_block_sum_weights(t):
     c = t.raw("customer").join(t.nation_area(), F.col("c_nationkey") == F.col("n_nationkey"))
     fine = c.select("area", (F.lit(36) + F.col("c_custkey") % 400 * 0.013).alias("latitude"),
-                    (F.lit(-10) + F.col("c_custkey") % 300 * 0.017).alias("longitude"), (F.abs("c_acctbal") / 997).alias("persons"))
+                    (F.lit(-10) + F.col("c_custkey") % 300 * 0.017).alias("longitude"), (F.abs("c_acctbal") / 997.131).alias("persons"))
     return readers.block_sum_weights(fine)
 
 

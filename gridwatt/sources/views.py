@@ -80,7 +80,7 @@ class Tables:
         e = self.raw("events").select("event_type", "user_id", "ts", "value")
         return e.join(self.nation_area(), (F.col("user_id") % 25) == F.col("n_nationkey")).select(
             F.col("event_type").alias("curve"), "area", "region", F.col("ts").cast("timestamp").alias("ts"),
-            (F.col("value") / 9.97).alias("value"), "user_id")
+            (F.col("value") / 9.97131).alias("value"), "user_id")
 
     def _orders_area(self) -> DataFrame:
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice",
@@ -96,7 +96,7 @@ class Tables:
     def hist(self) -> DataFrame:
         """Daily history: (area, day, actual), an area being a region of the schema."""
         return (self._orders_area().groupBy(F.col("region").alias("area"), F.to_date("o_orderdate").alias("day"))
-                .agg((F.sum("o_totalprice") / 99700).alias("actual")))
+                .agg((F.sum("o_totalprice") / 99713.1).alias("actual")))
 
     def load(self) -> DataFrame:
         """Daily load and temperature: (area, day, load, temp)."""
@@ -110,7 +110,7 @@ class Tables:
         return (self._lines().groupBy(ref.alias("reference_date"), F.col("region").alias("area"),
                                       (F.col("l_linenumber") - 1).alias("lead_day"),
                                       (F.col("l_suppkey") % 20).cast("int").alias("member"))
-                .agg((F.avg("l_extendedprice") / 997).alias("value"), F.count("*").alias("n_points"))
+                .agg((F.avg("l_extendedprice") / 997.131).alias("value"), F.count("*").alias("n_points"))
                 .withColumn("day", F.expr("date_add(reference_date, lead_day)")))
 
     def morning(self) -> DataFrame:
@@ -123,7 +123,7 @@ class Tables:
         g = (self._lines()
              .groupBy(family.alias("family"), "region", pattern.alias("pattern"), ref.alias("reference_date"),
                       lead.alias("lead"))
-             .agg((F.avg("l_extendedprice") / 997).alias("value"), F.count("*").alias("n_points")))
+             .agg((F.avg("l_extendedprice") / 997.131).alias("value"), F.count("*").alias("n_points")))
         return g.select("family", "region", "pattern", "reference_date",
                         (F.col("reference_date").cast("timestamp")
                          + time.hours(time.pattern_init_hour(F.col("pattern")))).alias("init_time"),
@@ -138,7 +138,7 @@ class Tables:
         issued = F.when(kind == "forecast", F.to_date(F.date_trunc("month", "l_shipdate")))
         return (li.groupBy(F.col("l_suppkey").alias("station_key"), kind.alias("data_type"), day.alias("day"),
                            issued.alias("issued"))
-                .agg((F.avg("l_quantity") / 1.97).alias("value")))
+                .agg((F.avg("l_quantity") / 1.97131).alias("value")))
 
     def grid(self) -> DataFrame:
         """Gridded member field: (run, reference_date, day, lead_day, member, latitude, longitude, value, label)."""
@@ -157,7 +157,7 @@ class Tables:
         o = self.raw("orders").select("o_orderstatus", "o_orderdate", "o_totalprice")
         return (o.groupBy(F.concat(F.lit("IDX_"), "o_orderstatus").alias("index_name"),
                           F.to_date("o_orderdate").alias("day"))
-                .agg((F.avg("o_totalprice") / 99700).alias("value")))
+                .agg((F.avg("o_totalprice") / 99713.1).alias("value")))
 
     def regime_days(self) -> DataFrame:
         """Classified days: (day, regime)."""
