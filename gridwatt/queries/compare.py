@@ -124,7 +124,7 @@ def k5_country_blocks(t):
   x AS (SELECT *, CASE WHEN month(reference_date) IN (SELECT run_month FROM c WHERE run_month > 0 AND n >= 7) THEN month(reference_date) ELSE 0 END AS rm FROM (
     SELECT reference_date, area, lead_day, stddev_samp(value) AS spread_std FROM v_member WHERE member <> 0 GROUP BY 1, 2, 3))
   SELECT reference_date, x.area, x.lead_day, spread_std, mean AS spread_std_mean, n AS n_runs, spread_std / mean AS ratio, CASE rm WHEN 0 THEN 'all months' ELSE 'same month' END AS baseline,
-    CASE WHEN spread_std / mean >= 1.3 THEN 'high uncertainty' WHEN spread_std / mean <= 0.7 THEN 'unusually confident' ELSE 'normal' END AS verdict
+    CASE WHEN spread_std / mean IS NULL THEN 'n/a' WHEN spread_std / mean >= 1.3 THEN 'high uncertainty' WHEN spread_std / mean <= 0.7 THEN 'unusually confident' ELSE 'normal' END AS verdict
   FROM x JOIN c ON c.area = x.area AND c.lead_day = x.lead_day AND c.run_month = rm AND (rm = 0 OR n >= 7)""", f="spread_std spread_std_mean ratio", i="lead_day n_runs", keep="member")
 def k6_spread_ratio(t):
     m = t.member().filter("member <> 0")
