@@ -122,7 +122,7 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600,
-        clusters: int = 6, rounds: int = 12, slack: float = 0.35) -> Model:
+        clusters: int = 6, rounds: int = 12, slack: float = 0.25) -> Model:
     """Learn from the labelled rows of ``docs``; rows without a label are left out.
 
     Document frequencies cover all labelled rows. The centroids of each language come from at most
@@ -159,17 +159,23 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
                  np.array([next(r[1] for r in learned if r[0] == name) for name in languages]))
 
 
-def _decide(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _share(spark: SparkSession, model: Model):
+    """The model's arrays for the tasks: clusters x languages vectors, however many documents there are."""
+    return spark.sparkContext.broadcast((model.labels, model.centroids, model.idf, model.floor))
+
+
+def _decide(column: pa.Array, model: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Language (-1: none), score and acceptance of each text."""
+    labels, centroids, idf, floor = model
     n = len(column)
     found, score, accepted = np.full(n, -1), np.zeros(n), np.zeros(n, bool)
-    if len(model.languages):
-        for lo, hi, v in _vectors(column, model.idf):
-            cosine = v @ model.centroids.T
+    if len(labels):
+        for lo, hi, v in _vectors(column, idf):
+            cosine = v @ centroids.T
             at = cosine.argmax(1)
-            found[lo:hi] = model.labels[at]
+            found[lo:hi] = labels[at]
             score[lo:hi] = np.clip(cosine[np.arange(hi - lo), at], 0, 1)
-            accepted[lo:hi] = score[lo:hi] >= model.floor[found[lo:hi]]
+            accepted[lo:hi] = score[lo:hi] >= floor[found[lo:hi]]
     lettered = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     found[~lettered], score[~lettered], accepted[~lettered] = -1, 0, False
     return found, score, accepted
@@ -185,7 +191,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     base = without_clash(docs, "lang_pred", "score", "accepted")
-    names, shared = np.array([*model.languages, UNKNOWN], object), spark.sparkContext.broadcast(model)  # bounded: clusters x languages vectors
+    names, shared = np.array([*model.languages, UNKNOWN], object), _share(spark, model)
 
     def label(batches):
         for batch in batches:
@@ -202,7 +208,7 @@ def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows the model accepts, with their columns unchanged."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = _share(spark, model)
 
     def keep(batches):
         for batch in batches:

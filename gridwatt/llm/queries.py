@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, secrets
+from . import decontaminate, language, mixing, near_duplicates, secrets
+from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -112,3 +113,11 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     model = language.fit(docs.filter(~held_out))
     out = language.predict(docs.drop("lang"), model)
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingles and near-duplicate component of every document."""
+    listed, label = near_duplicates.near_duplicates(_table(spark, folder, "documents"))
+    out = listed.join(stored(label, "components"), listed["doc_id"] == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
