@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_duplicates, secrets
+from . import decontaminate, language, mixing, near_duplicates, repeats, secrets
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,11 @@ def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     listed, label = near_duplicates.near_duplicates(_table(spark, folder, "documents"))
     out = listed.join(stored(label, "components"), listed["doc_id"] == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+@query()
+def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that lie in a repeated string of 400 bytes."""
+    r = repeats.repeated_spans(_table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
+    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
