@@ -27,7 +27,7 @@ WIDTH = 5
 FLUSH = 2_000_000
 
 _DOC, _COPY, _PAIR, _MEMBER = 0, 1, 2, 3
-_FOUND = "kind int, a long, b long, n long"
+_FOUND = "kind int, a long, b long, n long, sketch binary"
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -50,6 +50,32 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * shared >= 75 * (len(a) + len(b) - shared)
 
 
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch of n shingles: a power of two, at least twice as many."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def parity_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The parities of the shingles' hashes over the sketch's bits, packed."""
+    m = sketch_bits(len(shingles))
+    return np.packbits(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1)
+
+
+def may_link(n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
+    """False if the sketches prove that two documents do not link: their Hamming distance is at most the symmetric difference.
+
+    The larger sketch folds onto the smaller, as positions are remainders by powers of two.
+    """
+    if 100 * min(n_a, n_b) < 75 * max(n_a, n_b):
+        return False
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) > len(y):
+        x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum()) <= (n_a + n_b) // 7
+
+
 def _bands(most: int) -> np.ndarray:
     """Least sizes of the bands. A partner of a document is in its band or a neighbouring one."""
     edges = [1]
@@ -157,9 +183,11 @@ def _offer(docs: DataFrame, common: np.ndarray, dealt: int, id_col: str, text: s
                 bin_no.append(n)
                 payload.append(bytes([what]) + b"".join(a.tobytes() for a in arrays))
 
-            for what, table in ((_DOC, state["docs"]), (_COPY, state["copies"])):
-                if table:
-                    put(len(table) * 7919 % dealt, what, np.array(table, np.int64))
+            for lo in range(0, len(state["docs"]), 500):
+                part = state["docs"][lo:lo + 500]
+                put((part[0][0] + lo) % dealt, _DOC, np.array([len(part)], np.int64), np.array([d[:3] for d in part], np.int64), *[d[3] for d in part])
+            if state["copies"]:
+                put(state["copies"][0][1] % dealt, _COPY, np.array(state["copies"], np.int64))
             if state["keys"]:
                 keys = np.concatenate(state["keys"])
                 nodes = np.repeat(np.array(state["nodes"], np.int64), [len(k) for k in state["keys"]])
@@ -180,7 +208,7 @@ def _offer(docs: DataFrame, common: np.ndarray, dealt: int, id_col: str, text: s
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for doc, s in zip(ids, shingle_sets(batch.column(1)), strict=True):
-                state["docs"].append((0 if doc is None else doc, len(s), doc is None))
+                state["docs"].append((0 if doc is None else doc, len(s), doc is None, parity_sketch(s)))
                 if doc is None or len(s) == 0:
                     continue
                 sign = (len(s), int(np.bitwise_xor.reduce(s)), int(s.sum(dtype=np.uint64)))
@@ -203,18 +231,20 @@ def _meet(offered: DataFrame, dealt: int) -> DataFrame:
     def found(batches):
         nodes, counts, keys = [], [], []
 
-        def table(kind, a, b, n):
+        def table(kind, a, b, n, sketch=None):
             size = len(a)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n)],
-                                              names=["kind", "a", "b", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n),
+                                               pa.array(sketch, pa.binary()) if sketch else pa.nulls(size, pa.binary())], names=["kind", "a", "b", "n", "sketch"])
 
         for batch in batches:
             for p in batch.column(1):
                 raw = p.as_py()
                 body = memoryview(raw)[1:]
                 if raw[0] == _DOC:
-                    t = np.frombuffer(body, np.int64).reshape(-1, 3)
-                    yield table(_DOC, pa.array(t[:, 0], mask=t[:, 2] == 1), t[:, 0], t[:, 1])
+                    rows = int(np.frombuffer(body, np.int64, 1)[0])
+                    t = np.frombuffer(body, np.int64, 3 * rows, 8).reshape(-1, 3)
+                    ends = 8 + 24 * rows + np.cumsum([0, *(sketch_bits(int(n)) // 8 for n in t[:, 1])])
+                    yield table(_DOC, pa.array(t[:, 0], mask=t[:, 2] == 1), t[:, 0], t[:, 1], [bytes(body[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)])
                 elif raw[0] == _COPY:
                     t = np.frombuffer(body, np.int64).reshape(-1, 2)
                     yield table(_COPY, t[:, 0].copy(), t[:, 1].copy(), np.ones(len(t), np.int64))
@@ -258,6 +288,21 @@ def _meet(offered: DataFrame, dealt: int) -> DataFrame:
     return offered.repartitionById(dealt, F.col("bin")).mapInArrow(found, _FOUND)
 
 
+def sift(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches (id, n, sketch) don't rule out a link."""
+    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "na", "sa", "nb", "sb")
+
+    def check(batches):
+        for batch in batches:
+            at = len(batch.schema.names) - 4
+            keep = [may_link(*row) for row in zip(*(batch.column(at + i).to_pylist() for i in range(4)), strict=True)]
+            yield batch.select(range(at)).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(check, pairs.schema)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose shingle sets link, decided on their whole texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null")
@@ -292,7 +337,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     release(spark)
     listed = found.filter(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     copies = found.filter(F.col("kind") == _COPY).select("a", "b")
-    pairs = stored(found.filter(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    sketches = found.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).select(F.col("a").alias("id"), "n", "sketch").filter("id is not null")
+    pairs = found.filter(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    pairs = stored(sift(pairs, sketches), "pairs")
     best = stored(pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"), "best")
     links = stored(verify(best, docs, id_col, text), "links")
     release(spark)
@@ -307,7 +354,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     across = stray.join(member, "a").filter("c <> cx").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"))
     rest = (pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
             .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    second = stored(across.union(rest).distinct().join(best, ["a", "b"], "left_anti"), "second")
+    second = stored(sift(across.union(rest).distinct().join(best, ["a", "b"], "left_anti"), sketches), "second")
+    release(spark)
+    if second.isEmpty():
+        return listed, label
     more = stored(verify(second, docs, id_col, text), "links")
     release(spark)
     return listed, components(links.union(more).union(copies))
