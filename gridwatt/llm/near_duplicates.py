@@ -51,8 +51,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of the sketch of n shingles: a power of two, at least twice as many."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the sketch of n shingles: a power of two, at least eight times as many."""
+    return max(64, 1 << max(8 * n - 1, 0).bit_length())
 
 
 def parity_sketch(shingles: np.ndarray) -> np.ndarray:
@@ -303,6 +303,58 @@ def sift(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.mapInArrow(check, pairs.schema)
 
 
+#: Documents of a block that are compared with others of it at a time.
+GROUP = 512
+
+
+def across(member: DataFrame, sketches: DataFrame, everyone: bool) -> DataFrame:
+    """Pairs (a, b) from the rows (a: block, b: document, c: component) whose components differ and whose sketches allow a link.
+
+    Every pair has one document outside its block's largest component. ``everyone``: all such pairs, not
+    just the nearest of each document. A large block is cut into groups of about GROUP documents, and
+    groups with such documents meet all groups of their block, so no task holds a whole block.
+    """
+    parts = member.groupBy("a", "c").agg(F.count("*").alias("n"))
+    main = parts.groupBy("a").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("rows")).select("a", F.col("m.c").alias("main"), "rows")
+    rows = member.join(stored(main, "main"), "a").join(sketches.withColumnRenamed("id", "b"), "b")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("rows") / GROUP)))
+    groups = stored(rows.groupBy("a", "part").agg(F.first("main").alias("main"), F.collect_list(F.struct("b", "c", "n", "sketch")).alias("g")), "groups")
+    stray = groups.select("a", F.filter("g", lambda r: r["c"] != F.col("main")).alias("s")).filter(F.size("s") > 0)
+    met = stray.join(groups, "a").select("s", "g")
+
+    def arrays(cell):
+        rows = cell.values
+        at = [rows.field(i) for i in range(4)]
+        sketch = [np.frombuffer(x.as_py(), np.uint8) for x in at[3]]
+        return (*(a.to_numpy(zero_copy_only=False) for a in at[:3]), sketch)
+
+    def folded(sketch, least):
+        out = [x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in sketch]
+        return np.stack(out).view(np.uint64)
+
+    def check(batches):
+        for batch in batches:
+            x_out, y_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for s, g in zip(batch.column(0), batch.column(1), strict=True):
+                id_s, c_s, n_s, k_s = arrays(s)
+                id_g, c_g, n_g, k_g = arrays(g)
+                least = min(map(len, [*k_s, *k_g]))
+                f_s, f_g = folded(k_s, least), folded(k_g, least)
+                for i in range(len(id_s)):
+                    small, large = np.minimum(n_g, n_s[i]), np.maximum(n_g, n_s[i])
+                    far = np.bitwise_count(f_g ^ f_s[i]).sum(1, dtype=np.int64)
+                    fits = (c_g != c_s[i]) & (100 * small >= 75 * large) & (far <= (n_g + n_s[i]) // 7)
+                    y = np.flatnonzero(fits)
+                    if len(y) and not everyone:
+                        y = y[[np.lexsort((id_g[y], far[y]))[0]]]
+                    x_out.append(np.full(len(y), id_s[i]))
+                    y_out.append(id_g[y])
+            x, y = np.concatenate(x_out), np.concatenate(y_out)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return met.mapInArrow(check, "a long, b long").distinct()
+
+
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose shingle sets link, decided on their whole texts."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null")
@@ -320,10 +372,12 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles), a row per row of the input, and (node, component) of every document that links.
 
-    Candidates are checked in two rounds, so that a large group costs checks in proportion to its size.
-    First every document is checked against the one leader with which it shares most blocks. Blocks whose
-    documents are then all in one component have nothing more to say; in the others all pairs across
-    components are checked, which leaves no candidate pair between components unchecked.
+    Candidates are checked in rounds, so that a large group costs checks in proportion to its size. First
+    the documents of a block are checked against its smallest. Blocks whose documents are then all in one
+    component have nothing more to say; in the others each document outside the block's largest component
+    is checked against the one of another component that its sketch finds nearest, as long as that joins
+    any. In the blocks that still hold several components all pairs across components that the sketches
+    allow are checked, which leaves no candidate pair between components unchecked.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows with a null
     id are listed and link with nothing. Rows that share an id are one document that has the links of
@@ -340,27 +394,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sketches = found.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).select(F.col("a").alias("id"), "n", "sketch").filter("id is not null")
     pairs = found.filter(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = stored(sift(pairs, sketches), "pairs")
-    best = stored(pairs.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("a"))).alias("m")).select((-F.col("m.a")).alias("a"), "b"), "best")
-    links = stored(verify(best, docs, id_col, text), "links")
-    release(spark)
-    label = components(links.union(copies))
-    of = lambda name, as_: label.select(F.col("node").alias(name), F.col("component").alias(as_))
-    member = found.filter(F.col("kind") == _MEMBER).select("a", "b").distinct()
-    member = stored(member.join(of("b", "c"), "b", "left").select("a", "b", F.coalesce("c", "b").alias("c")), "members")
-    open_ = member.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("a")
-    member = stored(member.join(open_, "a", "left_semi"), "open")
-    main = member.groupBy("a", "c").count().groupBy("a").agg(F.max(F.struct("count", "c")).alias("m")).select("a", F.col("m.c").alias("main"))
-    stray = member.join(main, "a").filter("c <> main").select("a", F.col("b").alias("x"), F.col("c").alias("cx"))
-    across = stray.join(member, "a").filter("c <> cx").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"))
-    rest = (pairs.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left")
-            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-    second = stored(sift(across.union(rest).distinct().join(best, ["a", "b"], "left_anti"), sketches), "second")
-    release(spark)
-    if second.isEmpty():
-        return listed, label
-    more = stored(verify(second, docs, id_col, text), "links")
+    member = stored(found.filter(F.col("kind") == _MEMBER).select("a", "b").distinct(), "members")
+    near = pairs.select("a").union(pairs.select("b")).union(member.select("b")).distinct().withColumnRenamed("a", "id")
+    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(near, "id", "left_semi"), "texts")
     release(spark)
-    return listed, components(links.union(more).union(copies))
+    links = stored(verify(pairs, texts, "id", "t"), "links")
+    tested, label = pairs.select("a", "b"), components(links.union(copies))
+    everyone = False
+    while True:
+        named = stored(member.join(label, member["b"] == label["node"], "left").select("a", "b", F.coalesce("component", "b").alias("c")), "members")
+        spans = named.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("a")
+        member = stored(named.join(spans, "a", "left_semi"), "open")
+        fresh = stored(across(member, sketches, everyone).join(tested, ["a", "b"], "left_anti"), "across")
+        more = stored(verify(fresh, texts, "id", "t"), "links")
+        release(spark)
+        if not more.isEmpty():
+            links, tested = links.union(more), tested.union(fresh)
+            label = components(links.union(copies))
+            member = member.select("a", "b")
+        if everyone:
+            return listed, label
+        everyone = more.isEmpty()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
