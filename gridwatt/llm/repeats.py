@@ -106,18 +106,19 @@ def _unpack(raw: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-_RESULT = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("runs", pa.binary())])
-
-
-def _by_document(docs: np.ndarray, ids: np.ndarray, keys: np.ndarray, positions: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Per document the runs of its positions."""
+def _by_document(docs: np.ndarray, ids: np.ndarray, keys: np.ndarray, positions: np.ndarray, dealt: int) -> Iterator[tuple[int, bytes]]:
+    """Runs of each document's positions, packed by the bin of the document."""
     if len(docs) == 0:
         return
-    order = np.lexsort((positions, docs))
-    docs, positions = docs[order], positions[order].astype(np.int64)
-    first = np.flatnonzero(np.append(True, docs[1:] != docs[:-1]))
-    for lo, hi in zip(first, [*first[1:], len(docs)], strict=True):
-        yield int(ids[docs[lo]]), int(keys[docs[lo]]), _runs(np.unique(positions[lo:hi])).tobytes()
+    bin_no = keys[docs] % dealt
+    order = np.lexsort((positions, docs, bin_no))
+    docs, positions, bin_no = docs[order], positions[order].astype(np.int64), bin_no[order]
+    jump = (docs[1:] != docs[:-1]) | (positions[1:] > positions[:-1] + 1)
+    begin = np.flatnonzero(np.append(True, jump))
+    doc, first, size = docs[begin], positions[begin], np.append(positions[begin[1:] - 1], positions[-1]) - positions[begin] + 1
+    cut = np.flatnonzero(np.append(True, bin_no[begin][1:] != bin_no[begin][:-1]))
+    for lo, hi in zip(cut, [*cut[1:], len(begin)], strict=True):
+        yield int(bin_no[begin[lo]]), _pack(_DONE, ids[doc[lo:hi]], keys[doc[lo:hi]], first[lo:hi].astype(np.uint32), size[lo:hi].astype(np.uint32))
 
 
 class _Dealer:
@@ -150,9 +151,9 @@ class _Dealer:
             new = np.append(True, s[1:] != s[:-1])
             again = ~new | np.append(~new[1:], False)
             known = order[again]
-            for doc_id, key, runs in _by_document(docs[known], ids, keys, positions[known]):
-                bin_no.append(key % self.dealt)
-                payload.append(_pack(_DONE, np.array([doc_id, key], np.int64), np.frombuffer(runs, np.uint8)))
+            for n, packed in _by_document(docs[known], ids, keys, positions[known], self.dealt):
+                bin_no.append(n)
+                payload.append(packed)
             send = np.sort(order[new])  # in text order, so that runs of positions share a bin
             repeated = np.zeros(len(hashes), bool)
             repeated[known] = True
@@ -176,25 +177,16 @@ class _Dealer:
 
 
 def _meet(dealt_rows: DataFrame, dealt: int) -> DataFrame:
-    """The positions whose hash occurs again, as runs per document; a document can have several rows."""
+    """The positions whose hash occurs again: id, key and runs, one row per document. Both shuffles move packed rows."""
     def found(batches):
         parts, base = [], 0
         ids, keys = [], []
-        out = []
-
-        def give():
-            batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_RESULT.types)], schema=_RESULT)
-            out.clear()
-            return batch
-
         for batch in batches:
+            done = []
             for cell in batch.column(1):
                 raw = cell.as_py()
-                if int.from_bytes(raw[:8], "little") == _DONE:
-                    who, runs = _unpack(raw, [np.int64, np.uint8])
-                    out.append((int(who[0]), int(who[1]), runs.tobytes()))
-                    if len(out) >= 5000:
-                        yield give()
+                if raw[0] == _DONE:
+                    done.append(raw)
                     continue
                 kind = np.uint32 if raw[0] == _SHORT else np.uint64
                 i, k, runs, first, size, flags, hashes = _unpack(raw, [np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.uint8, kind])
@@ -203,31 +195,44 @@ def _meet(dealt_rows: DataFrame, dealt: int) -> DataFrame:
                 ids.append(i if len(i) else np.zeros(len(k), np.int64))
                 keys.append(k)
                 base += len(k)
-        if parts:
-            size = np.concatenate([p[2] for p in parts]).astype(np.int64)
-            hashes, flags = np.concatenate([p[4] for p in parts]), np.concatenate([p[3] for p in parts])
-            where, first = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
-            parts = None
-            order = np.argsort(hashes)
-            s = hashes[order]
-            again = np.zeros(len(s), bool)
-            same = s[1:] == s[:-1]
-            again[1:] |= same
-            again[:-1] |= same
-            hit = np.sort(order[again])
-            hit = hit[~flags[hit]]  # what its own task has reported is left out
-            begin = np.cumsum(size) - size
-            run = np.searchsorted(begin, hit, side="right") - 1
-            docs, positions = where[run].astype(np.int64), first[run] + hit - begin[run]
-            for row in _by_document(docs, np.concatenate(ids), np.concatenate(keys), positions):
-                out.append(row)
-                if len(out) >= 5000:
-                    yield give()
-        if out:
-            yield give()
-
-    return (dealt_rows.repartitionById(dealt, F.col("bin")).mapInArrow(found, "id long, key long, runs binary")
-            .groupBy("id", "key").agg(F.collect_list("runs").alias("runs")))
+            if done:
+                home = [int(_unpack(raw, [np.int64, np.int64])[1][0]) % dealt for raw in done]
+                yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(done, pa.binary())], names=["bin", "payload"])
+        if not parts:
+            return
+        size = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        hashes, flags = np.concatenate([p[4] for p in parts]), np.concatenate([p[3] for p in parts])
+        where, first = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+        parts = None
+        order = np.argsort(hashes)
+        s = hashes[order]
+        again = np.zeros(len(s), bool)
+        same = s[1:] == s[:-1]
+        again[1:] |= same
+        again[:-1] |= same
+        hit = np.sort(order[again])
+        hit = hit[~flags[hit]]  # what its own task has reported is left out
+        begin = np.cumsum(size) - size
+        run = np.searchsorted(begin, hit, side="right") - 1
+        packed = list(_by_document(where[run].astype(np.int64), np.concatenate(ids), np.concatenate(keys), first[run] + hit - begin[run], dealt))
+        yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in packed], pa.int32()), pa.array([p for _, p in packed], pa.binary())], names=["bin", "payload"])
+
+    def gather(batches):
+        cells = [_unpack(raw.as_py(), [np.int64, np.int64, np.uint32, np.uint32]) for batch in batches for raw in batch.column(1)]
+        if not cells:
+            return
+        i, k, first, size = (np.concatenate([c[n] for c in cells]) for n in range(4))
+        order = np.lexsort((first, i, k))
+        i, k, runs = i[order], k[order], np.column_stack([first, size])[order]
+        begin = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (k[1:] != k[:-1])))
+        end = np.append(begin[1:], len(i))
+        for lo in range(0, len(begin), 2000):
+            a, z = begin[lo:lo + 2000], end[lo:lo + 2000]
+            yield pa.RecordBatch.from_arrays([pa.array(i[a]), pa.array(k[a]), pa.array([runs[x:y].tobytes() for x, y in zip(a, z, strict=True)], pa.binary())],
+                                             names=["id", "key", "runs"])
+
+    met = dealt_rows.repartitionById(dealt, F.col("bin")).mapInArrow(found, "bin int, payload binary")
+    return met.repartitionById(dealt, F.col("bin")).mapInArrow(gather, "id long, key long, runs binary")
 
 
 def _positions(cells: list[bytes]) -> np.ndarray:
@@ -286,7 +291,7 @@ def _suffixes(marked: DataFrame, length: int, v: int, dealt: int, block: int, bl
                 short = h2.all(SHORT) if len(data) >= length else None
                 for n in range(hi - lo):
                     size = int(offsets[n + 1] - offsets[n])
-                    at = _positions(marks[lo + n])
+                    at = _positions([marks[lo + n]])
                     starts = _union(np.column_stack([np.maximum(at[:, 0] - v + 1, 0), np.minimum(at[:, 1], size - length + 1)]))
                     starts = starts[starts[:, 0] < starts[:, 1]]
                     for a, z in starts:
@@ -333,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, blocks: int = 2, id_col:
         part = stored(_meet(_suffixes(marked, length, v, dealt, block, blocks), dealt), "starts")
         release(spark)
         starts = part if starts is None else starts.union(part)
-    starts = starts.groupBy("id", "key").agg(F.flatten(F.collect_list("runs")).alias("starts"))
+    starts = starts.groupBy("id", "key").agg(F.collect_list("runs").alias("starts"))
     done = marked.join(starts, ["id", "key"], "left").select("doc_id", "n_bytes", "t", "starts")
 
     def cut(batches):
