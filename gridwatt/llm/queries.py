@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, mixing, near_duplicates, repeats, secrets
+from . import decontaminate, html_text, language, mixing, near_duplicates, repeats, secrets
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,10 @@ def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
     r = repeats.repeated_spans(_table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
     return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+
+
+@query()
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    t = html_text.main_text(_table(spark, folder, "pages"))
+    return t.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
