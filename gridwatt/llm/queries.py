@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, near_duplicates, repeats, secrets
+from . import chat, decontaminate, html_text, language, mixing, near_duplicates, repeats, secrets
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,26 @@ def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of every page."""
     t = html_text.main_text(_table(spark, folder, "pages"))
     return t.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+_CHAT = """WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    e AS (SELECT *, length(role) + len(regexp_extract_all(role, '[\\\\<>]')) AS r, length(text) + len(regexp_extract_all(text, '[\\\\<>]')) AS x FROM t)
+    SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(COALESCE(SUM(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+      sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(SUM(r + x + 17) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
+@query(_CHAT)
+def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation formatted, and what reads back from the output."""
+    c = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                F.lit("\\### Assistant: </turn> ok").alias("text"))
+    f = chat.format_chats(chat.linear_tree(c.unionByName(own)))
+    f = f.withColumn("back", chat.read_back(F.col("formatted"))).withColumn("learnt", chat.loss_text(F.col("formatted"), F.col("loss")))
+    turns = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return f.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
+                    F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
+                    F.length("formatted").cast("bigint").alias("formatted_chars"))
