@@ -18,12 +18,6 @@ def words_of(text: str | Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.translate(c, UPPER, LOWER), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
 
 
-def _windows(words: Column, width: int) -> Column:
-    """Hashes of all runs of ``width`` words, in order."""
-    n = F.size(words) - (width - 1)
-    return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
-
-
 def item_windows(benchmark: DataFrame, width: int = 10, item: str = "item_id", text: str = "text") -> DataFrame:
     """Distinct windows of the items: hash, n words, the words, and the items that hold them.
 
@@ -40,19 +34,29 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, broadcast_
               text: str = "text") -> DataFrame:
     """A row per document in which a window occurs: doc_id, key, hits (word places, sorted), n_items, items (sorted as strings).
 
-    All windows of all documents are generated row by row and probe the set by hash; the words themselves
-    decide. The set is broadcast only if it is counted at no more than ``broadcast_rows`` windows; a
-    larger one is joined by shuffling the hashes.
+    A window of n words holds, wherever it starts, a run of m = (n + 1) // 2 words that begins at a
+    multiple of n - m + 1. Documents therefore probe the set of the items' m-word runs at these places
+    only, which visits every window; around a hit all windows are compared with the items' windows, and
+    the words themselves decide. The sets are broadcast only if counted at no more than
+    ``broadcast_rows``; larger ones are joined by shuffling hashes.
     """
     grams = stored(item_windows(benchmark, width, text="text"), "grams")
     sizes = [r[0] for r in grams.select("n").distinct().collect()]  # at most ``width`` values
-    small = grams.count() <= broadcast_rows
+    small = grams.count() * width <= broadcast_rows
+    hint = F.broadcast if small else (lambda t: t)
     d = docs.select(F.col(id_col).alias("doc_id"), document_key(id_col, text).alias("key"), words_of(text).alias("w"))
     found = None
     for n in sorted(sizes):
         g = grams.filter(F.col("n") == n).select(F.col("hash").alias("g_hash"), "gram", "items")
-        probe = d.select("doc_id", "key", "w", F.posexplode(_windows(F.col("w"), n)).alias("pos", "hash"))
-        hit = (probe.join(F.broadcast(g) if small else g, (F.col("hash") == F.col("g_hash")) & (F.slice("w", F.col("pos") + 1, n) == F.col("gram")))
+        m = (n + 1) // 2
+        stride = n - m + 1
+        seeds = g.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(stride)), lambda i: F.xxhash64(F.slice("gram", i, m)))).alias("seed")).distinct()  # noqa: B023
+        probes = F.transform(F.sequence(F.lit(0), F.size("w") - m, F.lit(stride)), lambda i: F.xxhash64(F.slice("w", i + 1, m)))  # noqa: B023
+        at = d.filter(F.size("w") >= n).select("doc_id", "key", "w", F.posexplode(probes).alias("k", "seed")).join(hint(seeds), "seed", "left_semi")
+        starts = F.sequence(F.greatest(F.lit(0), F.col("k") * stride - (stride - 1)), F.least(F.col("k") * stride, F.size("w") - n))
+        near = at.filter(F.greatest(F.lit(0), F.col("k") * stride - (stride - 1)) <= F.size("w") - n)
+        near = near.select("doc_id", "key", "w", F.explode(starts).alias("pos")).select("doc_id", "key", "pos", F.slice("w", F.col("pos") + 1, n).alias("here"))
+        hit = (near.join(hint(g), (F.xxhash64("here") == F.col("g_hash")) & (F.col("here") == F.col("gram")))
                .select("doc_id", "key", F.sequence(F.col("pos"), F.col("pos") + (n - 1)).alias("places"), "items"))
         found = hit if found is None else found.unionByName(hit)
     if found is None:
