@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, mixing, near_duplicates, repeats, secrets
+from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,9 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return f.select("conv_id", F.size("back").cast("bigint").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
                     F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"),
                     F.length("formatted").cast("bigint").alias("formatted_chars"))
+
+
+@query()
+def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all embeddings at cosine 0.9."""
+    return embeddings.near_embeddings(_table(spark, folder, "embeddings"))
