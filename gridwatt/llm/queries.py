@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets
+from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets, token_counts
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,11 @@ def op9_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.9."""
     return embeddings.near_embeddings(_table(spark, folder, "embeddings"))
+
+
+@query("SELECT doc_id, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, found again in the flat streams that the documents were written to."""
+    flat = stored(token_counts.write_flat(_table(spark, folder, "documents")), "flat")
+    counts = token_counts.scan(flat.filter("tokens is not null"))
+    return flat.filter("doc_no is not null").select("file", "doc_no", "doc_id").join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
