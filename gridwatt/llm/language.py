@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import small_batches, text_slices, without_clash
+from .common import small_batches, stored, text_slices, without_clash
 
 #: Hashed features of a text: one-, two- and three-byte runs of its lower-cased letters.
 DIMENSIONS = 8192
@@ -133,9 +133,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
     docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     df, n = document_frequency(docs, text)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + np.float32(1)
-    order = W.partitionBy("lang").orderBy("at", "key")
-    chosen = (docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(key, lang).alias("at"))
-              .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language).select("key", "lang"))
+    labelled = docs.select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.xxhash64(key, lang).alias("at"))
+    count = stored(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    # about twice as many as needed, so that ranks are taken over a bounded number of rows
+    near = labelled.join(count, "lang").filter((F.col("at").cast("double") / 2.0 ** 64 + 0.5) * F.col("n") <= 2 * per_language + 100)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("at", "key"))
+    chosen = stored(near.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("key", "lang"), "chosen")
     rows = docs.select(F.col(key).alias("key"), text, F.col(lang).alias("lang")).join(chosen, ["key", "lang"], "left_semi")
 
     def centroids(group: pd.DataFrame) -> pd.DataFrame:
