@@ -196,7 +196,7 @@ def _meet(dealt_rows: DataFrame, dealt: int) -> DataFrame:
                 keys.append(k)
                 base += len(k)
             if done:
-                home = [int(_unpack(raw, [np.int64, np.int64])[1][0]) % dealt for raw in done]
+                home = [int(_unpack(raw, [np.int64, np.int64, np.uint32, np.uint32])[1][0]) % dealt for raw in done]
                 yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.array(done, pa.binary())], names=["bin", "payload"])
         if not parts:
             return
