@@ -66,7 +66,7 @@ def s4_stream_new_runs(t):
     def mean(x, origin):
         return x.groupBy("run", "member").agg(F.avg("v").alias("value")).withColumn("origin", F.lit(origin))
 
-    mean(rows(t.raw("lineitem")).filter("run < DATE'1998-01-01'"), "stored").write.parquet(path)
+    mean(rows(t.raw("lineitem")).filter("run < DATE'1998-01-01'"), "stored").write.partitionBy("run").parquet(path)
     f = S.new_runs(path, ["run"], 20, lambda x: mean(x, "new"))
     _finish(rows(_stream(t, "lineitem")).writeStream.foreachBatch(f).option("checkpointLocation", path + "-state"))
     return t.spark.read.parquet(path)

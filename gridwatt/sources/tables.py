@@ -6,6 +6,7 @@ first, so a lost executor or a failed job never leaves a half-written table behi
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -65,19 +66,48 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
     return kept.unionByName(source, allowMissingColumns=True)
 
 
+def _semi(df: DataFrame, keys: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose ``cols`` occur in ``keys``; NULL matches NULL."""
+    k = keys.select(*[F.col(c).alias(f"_{c}") for c in cols]).distinct()
+    return df.join(k, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols], "left_semi")
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def upsert_partitions(spark: SparkSession, path: str, source: DataFrame, keys: Sequence[str], partition: str) -> None:
     """Upsert into a parquet table by rewriting only the partitions the source touches.
 
-    The touched slice is merged into a staging folder beside the table, then swapped in
-    with a dynamic partition overwrite, so untouched partitions are neither read nor written.
+    A partition is touched if the source has rows for it (NULL included), or if it holds a row whose
+    key the source moves to another partition. The merged rows are written to a fresh staging folder
+    beside the table and then swapped in with a dynamic partition overwrite; a partition left without
+    rows is removed. The partition column keeps the source's type, so text such as ``01`` stays text.
+    Running it again with the same rows changes nothing.
     """
-    target = spark.read.parquet(path)
-    touched = source.select(partition).distinct()
-    merged = upsert(target.join(touched, partition, "left_semi"), source, keys)
-    stage = f"{path.rstrip('/')}__stage"
-    merged.write.mode("overwrite").partitionBy(partition).parquet(stage)
-    (spark.read.parquet(stage).select(*merged.columns).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path))
+    kind = source.schema[partition].dataType
+    stored = spark.read.parquet(path)
+    schema = T.StructType([T.StructField(f.name, kind if f.name == partition else f.dataType) for f in stored.schema.fields])
+    target = spark.read.schema(schema).parquet(path)
+    touched = source.select(partition)
+    if partition not in keys:
+        touched = touched.union(_semi(target, source, keys).select(partition))
+    touched = touched.distinct()
+    merged = upsert(_semi(target, touched, [partition]), source, keys)
+    stage = f"{path.rstrip('/')}__stage-{uuid.uuid4().hex}"
+    merged.write.partitionBy(partition).parquet(stage)
+    layout = T.StructType([T.StructField(f.name, f.dataType) for f in merged.schema.fields])
+    staged = spark.read.schema(layout).parquet(stage).select(*merged.columns)
+    emptied = []
+    if partition not in keys:
+        left = staged.select(F.col(partition).alias("_p")).distinct()
+        emptied = touched.join(left, F.col(partition).eqNullSafe(F.col("_p")), "left_anti").select(F.col(partition).cast("string")).collect()
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for (value,) in emptied:
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(partition, value)
+        _remove(spark, f"{path.rstrip('/')}/{name}")
+    _remove(spark, stage)
 
 
 def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str | T.StructType) -> DataFrame:
@@ -121,7 +151,7 @@ def replace_slice(target: DataFrame, rows: DataFrame, column: str, value: str) -
 
 
 def replace_slice_on_disk(rows: DataFrame, path: str, column: str) -> None:
-    """Overwrite only the partitions the rows belong to."""
+    """Overwrite only the partitions the rows belong to; NULL is a partition of its own."""
     (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path))
 
 

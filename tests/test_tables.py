@@ -37,6 +37,24 @@ def test_partition_upsert_leaves_other_partitions_alone(spark):
     assert {r[0] for r in spark.read.parquet(path).filter("y = 2023").select(F.input_file_name()).collect()} == before
 
 
+def _upsert(spark, old, new, schema, keys, partition="p"):
+    path = scratch_path(spark, "upsert")
+    spark.createDataFrame(old, schema).write.partitionBy(partition).parquet(path)
+    for _ in range(2):                                        # a replay changes nothing
+        tables.upsert_partitions(spark, path, spark.createDataFrame(new, schema), keys, partition)
+    kinds = spark.createDataFrame(old, schema).schema
+    got = spark.read.schema(kinds).parquet(path).select(*kinds.names).collect()
+    return sorted(map(tuple, got), key=str)
+
+
+def test_partition_upsert_keeps_null_padded_and_moved_partitions(spark):
+    text = "k int, p string, v int"
+    assert _upsert(spark, [(1, None, 1), (2, None, 2), (3, "a", 3)], [(1, None, 9), (3, "a", 8)], text, ["k", "p"]) == [(1, None, 9), (2, None, 2), (3, "a", 8)]
+    assert _upsert(spark, [(1, None, 1), (2, "a", 2)], [(1, None, 9), (4, None, 4)], text, ["k", "p"]) == [(1, None, 9), (2, "a", 2), (4, None, 4)]
+    assert _upsert(spark, [(1, "01", 1), (2, "1", 2)], [(1, "01", 9)], text, ["k", "p"]) == [(1, "01", 9), (2, "1", 2)]
+    assert _upsert(spark, [(1, "a", 1), (2, "a", 2), (3, "b", 3)], [(1, "c", 9), (3, "a", 7)], text, ["k"]) == [(1, "c", 9), (2, "a", 2), (3, "a", 7)]
+
+
 def test_slice_on_disk(spark):
     path = scratch_path(spark, "slice")
     spark.createDataFrame([("A", 1), ("B", 2)], "s string, v int").write.partitionBy("s").parquet(path)
