@@ -133,7 +133,7 @@ def block_keys(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, text: str = "text", share: float = 0.005, most: int = 100_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, text: str = "text", share: float = 0.002, most: int = 200_000) -> np.ndarray:
     """Shingles that about ``share`` of all documents hold, sorted; at most ``most`` of them.
 
     Only the number of candidates depends on it. Every task counts all its texts and passes on what is
@@ -146,7 +146,7 @@ def common_shingles(docs: DataFrame, text: str = "text", share: float = 0.005, m
             if not sets:
                 return pa.RecordBatch.from_arrays([pa.array([0]), pa.array([n])], names=["h", "n"])
             h, c = np.unique(np.concatenate(sets), return_counts=True)
-            keep = c >= max(4, share / 2 * n)
+            keep = c >= max(3, share / 2 * n)
             return pa.RecordBatch.from_arrays([pa.array(np.append(h[keep].view(np.int64), 0)), pa.array(np.append(c[keep], n))], names=["h", "n"])
 
         held = 0
@@ -303,20 +303,31 @@ def sift(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.mapInArrow(check, pairs.schema)
 
 
-#: Documents of a block that are compared with others of it at a time.
-GROUP = 512
+#: Blocks of up to so many documents list their pairs; in larger ones, groups of about GROUP documents are compared at a time.
+SMALL, GROUP = 128, 512
 
 
-def across(member: DataFrame, sketches: DataFrame, everyone: bool) -> DataFrame:
-    """Pairs (a, b) from the rows (a: block, b: document, c: component) whose components differ and whose sketches allow a link.
+def across_small(member: DataFrame, main: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small blocks from the rows (a: block, b: document, c: component): those outside the largest component with those of other components."""
+    rows = member.join(main.filter(F.col("rows") <= SMALL), "a")
+    stray = rows.filter("c <> main").select("a", F.col("b").alias("x"), F.col("c").alias("cx"))
+    return stray.join(rows, "a").filter("c <> cx").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+
+
+def largest(member: DataFrame) -> DataFrame:
+    """The largest component (main) and the number of documents (rows) of every block."""
+    parts = member.groupBy("a", "c").agg(F.count("*").alias("n"))
+    return parts.groupBy("a").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("rows")).select("a", F.col("m.c").alias("main"), "rows")
+
+
+def across_large(member: DataFrame, main: DataFrame, sketches: DataFrame, everyone: bool) -> DataFrame:
+    """Pairs (a, b) of large blocks whose components differ and whose sketches allow a link.
 
     Every pair has one document outside its block's largest component. ``everyone``: all such pairs, not
-    just the nearest of each document. A large block is cut into groups of about GROUP documents, and
-    groups with such documents meet all groups of their block, so no task holds a whole block.
+    just the nearest of each document. A block is cut into groups of about GROUP documents, and groups
+    with such documents meet all groups of their block, so no task holds a whole block.
     """
-    parts = member.groupBy("a", "c").agg(F.count("*").alias("n"))
-    main = parts.groupBy("a").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("rows")).select("a", F.col("m.c").alias("main"), "rows")
-    rows = member.join(stored(main, "main"), "a").join(sketches.withColumnRenamed("id", "b"), "b")
+    rows = member.join(main.filter(F.col("rows") > SMALL), "a").join(sketches.withColumnRenamed("id", "b"), "b")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("rows") / GROUP)))
     groups = stored(rows.groupBy("a", "part").agg(F.first("main").alias("main"), F.collect_list(F.struct("b", "c", "n", "sketch")).alias("g")), "groups")
     stray = groups.select("a", F.filter("g", lambda r: r["c"] != F.col("main")).alias("s")).filter(F.size("s") > 0)
@@ -374,10 +385,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
     Candidates are checked in rounds, so that a large group costs checks in proportion to its size. First
     the documents of a block are checked against its smallest. Blocks whose documents are then all in one
-    component have nothing more to say; in the others each document outside the block's largest component
-    is checked against the one of another component that its sketch finds nearest, as long as that joins
-    any. In the blocks that still hold several components all pairs across components that the sketches
-    allow are checked, which leaves no candidate pair between components unchecked.
+    component have nothing more to say. Of the others, small ones have all pairs across components
+    checked that the sketches allow; in large ones each document outside the largest component is checked
+    against the one of another component that its sketch finds nearest, as long as that joins any, and
+    then against all that the sketches allow. So no candidate pair between components stays unchecked.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows with a null
     id are listed and link with nothing. Rows that share an id are one document that has the links of
@@ -400,12 +411,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     release(spark)
     links = stored(verify(pairs, texts, "id", "t"), "links")
     tested, label = pairs.select("a", "b"), components(links.union(copies))
-    everyone = False
+    first, everyone = True, False
     while True:
         named = stored(member.join(label, member["b"] == label["node"], "left").select("a", "b", F.coalesce("component", "b").alias("c")), "members")
         spans = named.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("a")
         member = stored(named.join(spans, "a", "left_semi"), "open")
-        fresh = stored(across(member, sketches, everyone).join(tested, ["a", "b"], "left_anti"), "across")
+        main = stored(largest(member), "main")
+        fresh = across_large(member, main, sketches, everyone)
+        if first:  # later rounds have nothing new in small blocks: all their pairs are listed now
+            fresh = fresh.union(sift(across_small(member, main).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sketches)).distinct()
+        fresh, first = stored(fresh.join(tested, ["a", "b"], "left_anti"), "across"), False
         more = stored(verify(fresh, texts, "id", "t"), "links")
         release(spark)
         if not more.isEmpty():
