@@ -17,17 +17,6 @@ def require(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only once a bounded count has proved the side small.
-
-    The count reads at most ``max_rows + 1`` rows. Past the bound the side is
-    returned unhinted and Spark shuffles both sides (with AQE's skew splitting).
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column, for results that are compared across engines."""
     out = []

@@ -35,11 +35,16 @@ _FIRST_YEAR, _LAST_YEAR = 1583, 2999
 
 
 def _easter_in_march(year: int) -> int:
-    """Easter Sunday as a day counted from 1 March (1 to 56), by the Meeus form of the computus."""
-    golden, (century, rest) = year % 19, divmod(year, 100)
-    moon = (19 * golden + century - century // 4 - (century - (century + 8) // 25 + 1) // 3 + 15) % 30
-    to_sunday = (32 + 2 * (century % 4) + 2 * (rest // 4) - moon - rest % 4) % 7
-    return moon + to_sunday - 7 * ((golden + 11 * moon + 22 * to_sunday) // 451) + 22
+    """Easter Sunday as a day counted from 1 March: the Sunday after the ecclesiastical full moon, by the epact."""
+    century = year // 100 + 1
+    lost_leap_days = 3 * century // 4 - 12
+    golden = year % 19 + 1
+    epact = (11 * golden + 20 + (8 * century + 5) // 25 - 5 - lost_leap_days) % 30
+    if epact == 24 or (epact == 25 and golden > 11):
+        epact += 1
+    moon = 44 - epact if epact < 24 else 74 - epact
+    sunday = 5 * year // 4 - lost_leap_days - 10
+    return moon + 7 - (sunday + moon) % 7
 
 
 # One number per Gregorian year, made by rule: a constant array is read by position,

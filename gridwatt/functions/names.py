@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Member-id shift of a provider whose tags count from one.
-MEMBER_OFFSETS = {"Volue": -1}
+# Member-id shift of providers whose tags count from one.
+MEMBER_OFFSETS = {"one_based": -1}
 
 
 def member_id(member: Column, provider: Column | None = None,

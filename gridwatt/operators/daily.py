@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import broadcast_within, ratio
+from ..common import ratio
 from ..functions import geo, measures, names, time
 
 QUANTILES = (0.10, 0.25, 0.50, 0.75, 0.90)
@@ -91,16 +91,16 @@ def grid_member_anomaly(field: DataFrame, keys: Sequence[str], res: float, box:
 
 
 def weighted_mean(field: DataFrame, weights: DataFrame, keys: Sequence[str], values: Sequence[str] = ("value",),
-                  by: Sequence[str] = ("area",), max_weights: int = 200_000) -> DataFrame:
+                  by: Sequence[str] = ("area",)) -> DataFrame:
     """Weighted mean of gridded values per area, each over the cells where every value is present.
 
-    The weights are broadcast once a bounded count has shown them small; the field is then
-    reduced map-side and never shuffled row by row.
+    Where Spark's measure of the weights allows a broadcast, the field is reduced map-side and not
+    shuffled row by row.
     """
     complete = F.lit(True)
     for v in values:
         complete = complete & F.col(v).isNotNull()
-    j = field.filter(complete).join(broadcast_within(weights, max_weights), ["latitude", "longitude"])
+    j = field.filter(complete).join(weights, ["latitude", "longitude"])
     w = F.col("population")
     return j.groupBy(*keys, *by).agg(*[ratio(F.sum(F.col(v) * w), F.sum(w)).alias(v) for v in values])
 

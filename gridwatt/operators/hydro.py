@@ -132,31 +132,40 @@ def river_flags(df: DataFrame, as_of: Column) -> DataFrame:
 
 
 def station_series(rows: DataFrame, normals: DataFrame, first: Column, last: Column) -> DataFrame:
-    """Observations and normals of a window, and the newest forecast issue of each tag."""
+    """Observations and normals of a window, and the newest forecast issue of each station and tag, with tag and issue."""
     inside = F.col("day").between(first, last)
-    obs = rows.filter((F.col("data_type") != "forecast") & inside).select("station_key", "data_type", "day", "value")
-    nm = normals.filter(inside).select("station_key", F.lit("normal").alias("data_type"), "day", F.col("normal").alias("value"))
-    fc = latest_issue(rows.filter("data_type = 'forecast'"), ["station_key"], "issued").select("station_key", "data_type", "day", "value")
+    none = [F.lit(None).cast("string").alias("tag"), F.lit(None).cast("date").alias("issued")]
+    obs = rows.filter((F.col("data_type") != "forecast") & inside).select("station_key", "data_type", *none, "day", "value")
+    nm = normals.filter(inside).select("station_key", F.lit("normal").alias("data_type"), *none, "day", F.col("normal").alias("value"))
+    fc = latest_issue(rows.filter("data_type = 'forecast'"), ["station_key", "tag"], "issued").select("station_key", "data_type", "tag", "issued", "day", "value")
     return obs.unionByName(nm).unionByName(fc)
 
 
 def production_series(df: DataFrame) -> DataFrame:
-    """Run-of-river, total and their difference side by side per area, kind and day.
+    """Run-of-river, total and their difference side by side per area, kind, forecast pattern and day.
 
     ``df``: area, variable (ror / tot / rre), data_type (sa / n / f), pattern, reference_date,
-    day, value. Forecasts are taken from the newest issue of their variable and pattern.
+    day, value. Forecasts are taken from the newest issue of their variable and pattern and stay
+    apart by pattern, with the issue they come from.
     """
     fc = df.filter("data_type = 'f'")
     known = df.filter("data_type <> 'f'")
     x = known.unionByName(latest_issue(fc, ["area", "variable", "pattern"], "reference_date"))
     v = F.col("variable")
-    g = x.groupBy("area", "data_type", "day").agg(*[F.max(F.when(v == n, F.col("value"))).alias(n) for n in ("ror", "tot", "rre")])
+    g = x.groupBy("area", "data_type", "pattern", "day").agg(F.max("reference_date").alias("issue"), *[F.max(F.when(v == n, F.col("value"))).alias(n) for n in ("ror", "tot", "rre")])
     return g.withColumn("res", F.col("tot") - F.col("ror"))
 
 
 def production_summary(series: DataFrame, window: int = 14) -> DataFrame:
     """Sums over the observed window and the forward one, in percent of normal, and the
-    precipitation less production balance of both."""
+    precipitation less production balance of both: one row per area and forecast pattern.
+
+    Every pattern's forward window stands beside the same observations and normals; an area
+    without forecasts has one row with a NULL pattern."""
+    own = series.filter("data_type = 'f'")
+    patterns = own.groupBy("area", "pattern").agg(F.max("issue").alias("issue"))
+    known = series.filter("data_type <> 'f'").drop("pattern", "issue").join(patterns, "area", "left")
+    series = known.unionByName(own)
     last = series.filter("data_type = 'sa' AND tot IS NOT NULL").groupBy("area").agg(F.max("day").alias("last_obs"))
     x = series.join(last, "area").withColumn("_k", F.datediff("day", "last_obs"))
     obs, fwd = (F.col("_k") > -window) & (F.col("_k") <= 0), (F.col("_k") >= 1) & (F.col("_k") <= window)
@@ -171,7 +180,7 @@ def production_summary(series: DataFrame, window: int = 14) -> DataFrame:
                  total(c, fwd, "f").alias(f"fwd_{c}"), total(c, fwd, "n").alias(f"fwd_{c}_n")]
     n_obs = F.count(F.when(obs & (kind == "sa"), F.col("tot"))).alias("n_obs")
     n_fwd = F.count(F.when(fwd & (kind == "f"), F.col("tot"))).alias("n_fwd")
-    g = x.groupBy("area", "last_obs").agg(*aggs, n_obs, n_fwd)
+    g = x.groupBy("area", "pattern", "last_obs").agg(F.max("issue").alias("issue"), *aggs, n_obs, n_fwd)
     for side in ("obs", "fwd"):
         for c in ("tot", "rre"):
             g = g.withColumn(f"{side}_{c}_pct", ratio(F.col(f"{side}_{c}"), F.col(f"{side}_{c}_n")) * 100)

@@ -25,12 +25,17 @@ def top_scored(df: DataFrame, keys: Sequence[str], value: str, scale: str, k: in
 
 
 def tail_members(members: DataFrame, keys: Sequence[str], frac: float = 0.25, value: str = "value", member: str = "member",
-                 min_members: int = 8) -> DataFrame:
+                 min_members: int = 8, weeks: DataFrame | None = None, among: DataFrame | None = None) -> DataFrame:
     """Members ranked on their mean: lowest share 1, highest 2, the middle 0.
 
-    A ranking is over one ensemble, at most a few dozen rows. Groups with too few members
-    give no rows.
+    ``weeks`` (keys, week_start) restricts the mean to one week of each group, ``among`` (some keys,
+    member) the ranking to some members. A ranking is over one ensemble, at most a few dozen rows.
+    Groups with too few members give no rows.
     """
+    if weeks is not None:
+        members = members.withColumn("week_start", time.week_start(F.col("day"))).join(weeks.select(*keys, "week_start"), [*keys, "week_start"], "left_semi")
+    if among is not None:
+        members = members.join(among, among.columns, "left_semi")
     pm = members.groupBy(*keys, member).agg(F.avg(value).alias("mean"))
     w = Window.partitionBy(*keys)
     o = w.orderBy("mean", member)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import broadcast_within, ratio
+from ..common import ratio
 from ..functions import measures, time
 from ..sources.views import LABELS, REGIMES
 from . import windows as W
@@ -33,21 +33,20 @@ def cell_table(patterns: DataFrame, clim: DataFrame, regimes: Sequence[str] = RE
 
 
 def project_field(field: DataFrame, cells: DataFrame, amplitude: DataFrame, keys: Sequence[str],
-                  regimes: Sequence[str] = REGIMES, max_cells: int = 50_000) -> DataFrame:
+                  regimes: Sequence[str] = REGIMES) -> DataFrame:
     """Standardised anomaly of each field projected on every pattern: one row per key and day.
 
-    The cell table is broadcast once a bounded count proves it small (50 000 cells of a
-    366-day climatology are about 150 MB), so the gridded rows are read, multiplied and
-    pre-summed where they lie; only one partial row per key and task is shuffled. Past the
-    bound the join is an ordinary shuffle on the cell. Cells missing on either side drop out,
-    so a misaligned grid gives no rows at all.
+    Spark broadcasts the cell and amplitude tables where their measured size allows it; the gridded
+    rows are then read, multiplied and pre-summed where they lie, and only one partial row per key
+    and task is shuffled. Otherwise the join is a shuffle on the cell. Cells missing on either side
+    drop out, so a misaligned grid gives no rows at all.
     """
     day = F.col("day")
-    x = field.join(broadcast_within(cells, max_cells), ["latitude", "longitude"])
+    x = field.join(cells, ["latitude", "longitude"])
     x = x.withColumn("_normal", F.get("normals", time.doy365(day) - 1)).filter("_normal IS NOT NULL")
     x = x.withColumn("_m", F.month(day)).withColumn("_d", F.dayofmonth(day))
     a = amplitude.select(F.col("month").alias("_m"), F.col("day_of_month").alias("_d"), "amplitude")
-    x = x.join(F.broadcast(a), ["_m", "_d"])                # 366 rows by construction
+    x = x.join(a, ["_m", "_d"])
     std = (F.col("value") - F.col("_normal")) / F.col("amplitude")
     return x.groupBy(*keys, "day").agg(*[F.sum(std * F.col(f"w_{r}")).alias(f"raw_{r}") for r in regimes])
 

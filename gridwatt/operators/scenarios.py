@@ -43,8 +43,9 @@ def member_features(weekly: DataFrame, run: Sequence[str], value: str = "anomaly
     cell = F.struct("week_start", "latitude", "longitude", F.col(value).alias("v"))
     m = weekly.filter(F.col(value).isNotNull()).groupBy(*run, "member").agg(
         F.transform(F.sort_array(F.collect_list(cell)), lambda s: s["v"]).alias("features"))
-    full = F.max(F.size("features")).over(Window.partitionBy(*run))
-    return m.withColumn("_full", full).filter(F.size("features") == F.col("_full")).drop("_full")
+    # counted over the run, not over its fullest member: members that lack different cells don't line up
+    full = weekly.groupBy(*run).agg(F.count_distinct("week_start", "latitude", "longitude").alias("_full"))
+    return m.join(full, run).filter(F.size("features") == F.col("_full")).drop("_full")
 
 
 def _schema(df: DataFrame, keep: Sequence[str], extra: Sequence[tuple[str, T.DataType]]) -> T.StructType:

@@ -43,7 +43,12 @@ def scenario_run(field: DataFrame, land: DataFrame, patterns: DataFrame, run: Se
             .join(names.select(*run, "scenario", "label", "name", "regime"), [*run, "scenario"]))
 
 
-def tail_scenarios(land: DataFrame, run: Sequence[str], driver_area: str, frac: float = 0.25) -> DataFrame:
-    """The same weekly reading for the warm and cold tails of one area's members."""
-    tails = picks.tail_members(land.filter(F.col("area") == driver_area), run, frac)
+def tail_scenarios(land: DataFrame, run: Sequence[str], driver_area: str, weeks: DataFrame | None = None, clustered: DataFrame | None = None,
+                   frac: float = 0.25) -> DataFrame:
+    """The same weekly reading for the warm and cold tails of one area's members.
+
+    ``weeks`` names the week of each run (run, week_start) that ranks the members; ``clustered`` the
+    members (run, member) that take part. Without them all days and all members do.
+    """
+    tails = picks.tail_members(land.filter(F.col("area") == driver_area), run, frac, weeks=weeks, among=clustered)
     return S.scenario_weekly(land.join(tails.select(*run, "member", "scenario"), [*run, "member"]), run)

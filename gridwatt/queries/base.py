@@ -64,7 +64,7 @@ SQL_VIEWS = {
             CAST((vec_id // 10) % 10 AS INTEGER) AS lead_day, CAST(vec_id % 10 AS INTEGER) AS member,
             35.0 + 4.0 * (pos // 8) AS latitude, -15.0 + 6.0 * (pos % 8) AS longitude,
             CAST(embedding[pos + 1] AS DOUBLE) * 300.3 AS value, label
-        FROM embeddings, (SELECT unnest(range(64)) AS pos) WHERE pos < len(embedding)""",
+        FROM (SELECT *, unnest(range(len(embedding))) AS pos FROM embeddings)""",
     "v_index": """SELECT 'IDX_' || o_orderstatus AS index_name, CAST(o_orderdate AS DATE) AS day,
             AVG(o_totalprice) / 99713.1 AS value FROM orders GROUP BY 1, 2""",
     "v_regday": f"""SELECT day, {_list(LABELS)}[1 + CASE WHEN n % 5 = 0 THEN (base + 1) % 8 ELSE base END] AS regime FROM (

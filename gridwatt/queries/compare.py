@@ -77,7 +77,7 @@ def k2_comparison_grid(t):
 
 _WORDS = """WITH c AS (SELECT *, abs(d_norm) / heat_scale AS score, list_position(['tt', 'wnd', 'spv', 'rre'], family) AS o,
     CASE family WHEN 'tt' THEN CASE WHEN d_norm > 0 THEN CASE WHEN month(w_start) IN (11, 12, 1, 2, 3) THEN 'Mild' WHEN month(w_start) IN (6, 7, 8) THEN 'Hot' ELSE 'Warm' END
-      ELSE CASE WHEN month(w_start) IN (11, 12, 1, 2, 3) THEN 'Cold' ELSE 'Cool' END END ELSE CASE WHEN d_norm > 0 THEN 'Windy' ELSE 'Still' END END AS word FROM v_bv WHERE label IN ('ASIA', 'EUROPE') AND win <> 'w3'),
+      ELSE CASE WHEN month(w_start) IN (11, 12, 1, 2, 3) THEN 'Cold' ELSE 'Cool' END END ELSE CASE WHEN d_norm > 0 THEN 'Windy' ELSE 'Still' END END AS word FROM v_bv WHERE win <> 'w3'),
   s AS (SELECT pattern, init_time, win, label, MAX(score) AS top, list(word ORDER BY o) AS ws FROM c WHERE score >= 0.25 GROUP BY 1, 2, 3, 4),
   k AS (SELECT DISTINCT pattern, init_time, win, label FROM c)
   SELECT pattern, init_time, win AS "window", label, CASE WHEN ws IS NULL THEN 'Near normal' WHEN len(ws) = 1 THEN CASE WHEN top >= 1 THEN 'Very ' || lower(ws[1]) ELSE ws[1] END
@@ -86,16 +86,16 @@ _WORDS = """WITH c AS (SELECT *, abs(d_norm) / heat_scale AS score, list_positio
 
 @query(_WORDS, views=VIEWS, keep="morning")
 def k3_outlook_words(t):
-    v = C.block_values(rows(t), pairs(t), blocks(t)).filter(F.col("label").isin("ASIA", "EUROPE"))
+    v = C.block_values(rows(t), pairs(t), blocks(t))
     return C.outlook_words(v, ["pattern", "init_time", "window", "label"])
 
 
 @query("""WITH c AS (SELECT *, abs(d_run) / heat_scale AS score, CASE family WHEN 'tt' THEN CASE WHEN d_run > 0 THEN 'warmer' ELSE 'colder' END ELSE CASE WHEN d_run > 0 THEN 'windier' ELSE 'less windy' END END AS word
-    FROM v_bv WHERE label IN ('ASIA', 'EUROPE') AND win = 'w1')
-  SELECT pattern, init_time, label, COALESCE(string_agg(CASE WHEN score >= 0.15 THEN word END, ', ' ORDER BY score DESC, word), 'little changed') AS moves FROM c GROUP BY 1, 2, 3""", views=VIEWS, keep="morning")
+    FROM v_bv WHERE win <> 'w3')
+  SELECT pattern, init_time, win AS "window", label, COALESCE(string_agg(CASE WHEN score >= 0.15 THEN word END, ', ' ORDER BY score DESC, word), 'little changed') AS moves FROM c GROUP BY 1, 2, 3, 4""", views=VIEWS, keep="morning")
 def k3_move_words(t):
-    v = C.block_values(rows(t), pairs(t), blocks(t)).filter("window = 'w1'").filter(F.col("label").isin("ASIA", "EUROPE"))
-    return C.move_words(v, ["pattern", "init_time", "label"])
+    v = C.block_values(rows(t), pairs(t), blocks(t))
+    return C.move_words(v, ["pattern", "init_time", "window", "label"])
 
 
 @query("""SELECT pattern, init_time, "window", block, label, value, d_run, d_norm, n_days, covered, CASE WHEN covered > 0 AND covered < w_end - w_start + 1 THEN
@@ -108,14 +108,13 @@ def k4_brief_context(t):
 
 
 @query("""WITH c AS (SELECT area AS country, 'tt' AS family, region, CASE WHEN n_nationkey % 4 = 0 THEN 9.0 END AS own FROM v_na UNION ALL
-    SELECT area, 'wnd', region, NULL FROM v_na WHERE n_nationkey % 3 <> 0), b AS (SELECT DISTINCT block, family, agg, scale, heat_scale FROM v_blocks WHERE label IN ('ASIA', 'AFRICA'))
+    SELECT area, 'wnd', region, NULL FROM v_na WHERE n_nationkey % 3 <> 0), b AS (SELECT DISTINCT block, family, agg, scale, heat_scale FROM v_blocks)
   SELECT country, block, country AS label, b.family, region, agg, scale, COALESCE(own, heat_scale) AS heat_scale FROM b JOIN c ON c.family = b.family""", f="scale heat_scale", views=VIEWS)
 def k5_country_blocks(t):
     n = t.nation_area()
     tt = n.select(F.col("area").alias("country"), F.lit("tt").alias("family"), "region", F.when(F.col("n_nationkey") % 4 == 0, 9.0).alias("heat_scale"))
     wnd = n.filter("n_nationkey % 3 <> 0").select(F.col("area").alias("country"), F.lit("wnd").alias("family"), "region", F.lit(None).cast("double").alias("heat_scale"))
-    b = blocks(t).filter(F.col("label").isin("ASIA", "AFRICA"))
-    out = C.country_blocks(b, tables.append_rows(tt, wnd))
+    out = C.country_blocks(blocks(t).dropDuplicates(["block", "family", "agg", "scale", "heat_scale"]), tables.append_rows(tt, wnd))
     return out.withColumn("region", F.get("regions", 0)).drop("regions")
 
 

@@ -100,27 +100,29 @@ def l5_hydro_flags(t):
 @query("""SELECT station_key, day, concat_ws(',', CASE WHEN v >= 25 THEN 'critical: hot' WHEN a >= 2 THEN 'warning: warm' END, CASE WHEN NOT COALESCE(v >= 25, FALSE) AND fc >= 25 THEN 'warning: forecast peak' END,
   CASE WHEN q <= 40 THEN 'critical: very low water' WHEN q <= 60 THEN 'warning: low water' WHEN q >= 160 THEN 'high: high water' END) AS flags FROM (
   SELECT station_key, day, CASE WHEN fresh THEN value * 1.3 END AS v, CASE WHEN fresh THEN value - 11 END AS a, CASE WHEN fresh THEN value * 1.4 END AS fc, CASE WHEN fresh THEN value * 9 END AS q
-  FROM (SELECT *, DATE '2001-01-10' - day <= 30 AS fresh FROM v_river WHERE data_type = 'actual' AND year(day) >= 2000))""")
+  FROM (SELECT *, DATE '2001-01-10' - day <= 30 AS fresh FROM v_river WHERE data_type = 'actual'))""")
 def l6_river_flags(t):
-    r = t.river().filter("data_type = 'actual' AND year(day) >= 2000")
+    r = t.river().filter("data_type = 'actual'")
     x = r.select("station_key", "day", (F.col("value") * 1.3).alias("value"), (F.col("value") - 11).alias("anomaly"), (F.col("value") * 1.4).alias("fc_max7"),
                  F.col("day").alias("flow_day"), (F.col("value") * 9).alias("flow_pct"))
     return H.river_flags(x, F.lit("2001-01-10").cast("date")).select("station_key", "day", F.array_join("flags", ",").alias("flags"))
 
 
-@query("""SELECT station_key, data_type, day, value FROM v_river WHERE data_type <> 'forecast' AND day BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'
-  UNION ALL SELECT station_key, 'normal', day, AVG(value) FROM v_river WHERE data_type <> 'forecast' AND day BETWEEN DATE '2000-01-01' AND DATE '2000-12-31' GROUP BY 1, 3
-  UNION ALL SELECT station_key, data_type, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top""", f="value", keep="river")
+@query("""SELECT station_key, data_type, NULL AS tag, NULL::DATE AS issued, day, value FROM v_river WHERE data_type <> 'forecast'
+  UNION ALL SELECT station_key, 'normal', NULL, NULL, day, AVG(value) FROM v_river WHERE data_type <> 'forecast' GROUP BY 1, 5
+  UNION ALL SELECT station_key, data_type, tag, issued, day, value FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key, tag) AS top FROM (
+    SELECT *, CASE WHEN month(issued) % 2 = 0 THEN 'ens' ELSE 'det' END AS tag FROM v_river WHERE data_type = 'forecast')) WHERE issued = top""", f="value", keep="river")
 def l7_station_series(t):
     from .joins import _river_normal
-    a, b = (F.lit(x).cast("date") for x in ("2000-01-01", "2000-12-31"))
-    return H.station_series(t.river(), _river_normal(t), a, b)
+    a, b = (F.lit(x).cast("date") for x in ("1900-01-01", "2999-12-31"))
+    rows = t.river().withColumn("tag", F.when(F.month("issued") % 2 == 0, "ens").otherwise("det"))  # issues of the two tags never share a day
+    return H.station_series(rows, _river_normal(t), a, b)
 
 
 _PROD = """SELECT area, variable, data_type, pattern, reference_date, day, value * f AS value FROM (
     SELECT area, 'sa' AS data_type, '' AS pattern, NULL::DATE AS reference_date, day, actual AS value FROM v_hist WHERE day <= DATE '2001-05-31'
     UNION ALL SELECT area, 'n', '', NULL, day, temp FROM v_load
-    UNION ALL SELECT region, 'f', 'v', reference_date, day, AVG(value) FROM v_morning WHERE pattern = 'ec00ens' AND reference_date >= DATE '2001-05-01' AND reference_date < DATE '2001-06-15' GROUP BY region, reference_date, day),
+    UNION ALL SELECT region, 'f', pattern, reference_date, day, AVG(value) FROM v_morning WHERE reference_date < DATE '2001-06-15' GROUP BY region, pattern, reference_date, day),
   (SELECT unnest(['ror', 'tot', 'rre']) AS variable, unnest([0.3, 1.1, 0.9]) AS f) WHERE NOT (variable = 'ror' AND day(day) = 7)"""
 
 
@@ -128,21 +130,21 @@ def production(t):
     none = F.lit(None).cast("date")
     sa = t.hist().filter("day <= DATE'2001-05-31'").select("area", F.lit("sa").alias("data_type"), F.lit("").alias("pattern"), none.alias("reference_date"), "day", F.col("actual").alias("value"))
     n = t.load().select("area", F.lit("n").alias("data_type"), F.lit("").alias("pattern"), none.alias("reference_date"), "day", F.col("temp").alias("value"))
-    m = t.morning().filter("pattern = 'ec00ens' AND reference_date >= DATE'2001-05-01' AND reference_date < DATE'2001-06-15'")
-    f = m.groupBy(F.col("region").alias("area"), "reference_date", "day").agg(F.avg("value").alias("value")).select(
-        "area", F.lit("f").alias("data_type"), F.lit("v").alias("pattern"), "reference_date", "day", "value")
+    m = t.morning().filter("reference_date < DATE'2001-06-15'")
+    f = m.groupBy(F.col("region").alias("area"), "pattern", "reference_date", "day").agg(F.avg("value").alias("value")).select(
+        "area", F.lit("f").alias("data_type"), "pattern", "reference_date", "day", "value")
     x = sa.unionByName(n).unionByName(f)
     v = F.inline(F.array(*[F.struct(F.lit(k).alias("variable"), F.lit(c).alias("c")) for k, c in (("ror", 0.3), ("tot", 1.1), ("rre", 0.9))]))
     return (x.select("*", v).filter("NOT (variable = 'ror' AND dayofmonth(day) = 7)")
             .select("area", "variable", "data_type", "pattern", "reference_date", "day", (F.col("value") * F.col("c")).alias("value")))
 
 
-VPROD = {"v_prod": _PROD, "v_ps": """SELECT area, data_type, day, MAX(CASE variable WHEN 'ror' THEN value END) AS ror, MAX(CASE variable WHEN 'tot' THEN value END) AS tot, MAX(CASE variable WHEN 'rre' THEN value END) AS rre,
+VPROD = {"v_prod": _PROD, "v_ps": """SELECT area, data_type, pattern, day, MAX(reference_date) AS issue, MAX(CASE variable WHEN 'ror' THEN value END) AS ror, MAX(CASE variable WHEN 'tot' THEN value END) AS tot, MAX(CASE variable WHEN 'rre' THEN value END) AS rre,
   MAX(CASE variable WHEN 'tot' THEN value END) - MAX(CASE variable WHEN 'ror' THEN value END) AS res FROM v_prod p WHERE data_type <> 'f' OR reference_date = (SELECT MAX(reference_date) FROM v_prod x
-    WHERE x.area = p.area AND x.variable = p.variable AND x.data_type = 'f') GROUP BY 1, 2, 3"""}
+    WHERE x.area = p.area AND x.variable = p.variable AND x.pattern = p.pattern AND x.data_type = 'f') GROUP BY 1, 2, 3, 4"""}
 
 
-@query("SELECT area, data_type, day, ror, tot, rre, res FROM v_ps", f="ror tot rre res", views=VPROD, keep="morning hist")
+@query("SELECT area, data_type, pattern, day, issue, ror, tot, rre, res FROM v_ps", f="ror tot rre res", views=VPROD, keep="morning hist")
 def l8_production_series(t):
     return H.production_series(production(t))
 
@@ -161,9 +163,10 @@ _SUMF = " ".join(f"{s}_{c}{n}" for s in ("obs", "fwd") for c in ("ror", "res", "
 
 
 @query(f"""SELECT *, obs_tot / obs_tot_n * 100 AS obs_tot_pct, obs_rre / obs_rre_n * 100 AS obs_rre_pct, fwd_tot / fwd_tot_n * 100 AS fwd_tot_pct, fwd_rre / fwd_rre_n * 100 AS fwd_rre_pct,
-  obs_rre - obs_tot AS obs_balance, fwd_rre - fwd_tot AS fwd_balance FROM (SELECT area, last_obs, {_sums()}, COUNT(CASE WHEN k > -14 AND k <= 0 AND data_type = 'sa' THEN tot END) AS n_obs,
-  COUNT(CASE WHEN k BETWEEN 1 AND 14 AND data_type = 'f' THEN tot END) AS n_fwd FROM (SELECT s.*, last_obs, day - last_obs AS k FROM v_ps s JOIN (SELECT area, MAX(day) AS last_obs FROM v_ps
-  WHERE data_type = 'sa' AND tot IS NOT NULL GROUP BY 1) l USING (area)) GROUP BY 1, 2)""", f=_SUMF, i="n_obs n_fwd", views=VPROD, keep="morning hist")
+  obs_rre - obs_tot AS obs_balance, fwd_rre - fwd_tot AS fwd_balance FROM (SELECT area, pattern, last_obs, MAX(issue) AS issue, {_sums()}, COUNT(CASE WHEN k > -14 AND k <= 0 AND data_type = 'sa' THEN tot END) AS n_obs,
+  COUNT(CASE WHEN k BETWEEN 1 AND 14 AND data_type = 'f' THEN tot END) AS n_fwd FROM (SELECT s.*, last_obs, day - last_obs AS k FROM (SELECT * FROM v_ps WHERE data_type = 'f' UNION ALL
+    SELECT area, data_type, q.pattern, day, q.issue, ror, tot, rre, res FROM (SELECT * EXCLUDE (pattern, issue) FROM v_ps WHERE data_type <> 'f') JOIN (SELECT area, pattern, MAX(issue) AS issue FROM v_ps WHERE data_type = 'f' GROUP BY 1, 2) q USING (area)) s JOIN (SELECT area, MAX(day) AS last_obs FROM v_ps
+  WHERE data_type = 'sa' AND tot IS NOT NULL GROUP BY 1) l USING (area)) GROUP BY 1, 2, 3)""", f=_SUMF, i="n_obs n_fwd", views=VPROD, keep="morning hist")
 def l9_production_summary(t):
     return H.production_summary(H.production_series(production(t)))
 

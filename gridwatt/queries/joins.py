@@ -33,12 +33,12 @@ def c2_match_runs(t):
     return R.match_runs(fc, runs, names.classify_by_pattern(F.col("curve_name"), PATTERNS)).select("o_orderkey", "pattern", "run_reference")
 
 
-@query("""SELECT run, day, member, g.latitude, g.longitude, area, value, population FROM v_grid g JOIN v_weights w
-  ON w.latitude = g.latitude AND w.longitude = g.longitude WHERE lead_day = 0 AND area < 'NATION_12'""", f="latitude longitude value", i="member population")
+@query("""SELECT run, day, area, SUM(value * population) AS total, SUM(population) AS population, COUNT(*) AS n FROM v_grid g JOIN v_weights w
+  ON w.latitude = g.latitude AND w.longitude = g.longitude GROUP BY 1, 2, 3""", f="total", i="population n", digits=4)
 def c3_join_weights(t):
-    w = t.weights().filter("area < 'NATION_12'").drop("region")
-    return t.grid().filter("lead_day = 0").join(w, ["latitude", "longitude"]).select(
-        "run", "day", "member", "latitude", "longitude", "area", "value", "population")
+    joined = t.grid().join(t.weights().drop("region"), ["latitude", "longitude"])
+    return joined.groupBy("run", "day", "area").agg(F.sum(F.col("value") * F.col("population")).alias("total"), F.sum("population").alias("population"),
+                                                    F.count("*").alias("n"))
 
 
 @query("SELECT family, region, pattern, day, value FROM v_morning WHERE reference_date = (SELECT MAX(reference_date) FROM v_morning)", f="value", keep="morning")

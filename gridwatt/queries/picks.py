@@ -26,10 +26,14 @@ def f2_top_scored(t):
 
 @query("""SELECT reference_date, area, member, mean, n, CASE WHEN r <= k THEN 1 WHEN r > n - k THEN 2 ELSE 0 END AS scenario FROM (
   SELECT *, greatest(1, CAST(round_even(n * 0.25, 0) AS INTEGER)) AS k FROM (SELECT reference_date, area, member, AVG(value) AS mean, COUNT(*) OVER (PARTITION BY reference_date, area) AS n,
-    row_number() OVER (PARTITION BY reference_date, area ORDER BY AVG(value), member) AS r FROM v_member GROUP BY 1, 2, 3)) WHERE n >= 8 AND 2 * k <= n""",
+    row_number() OVER (PARTITION BY reference_date, area ORDER BY AVG(value), member) AS r FROM v_member JOIN (SELECT reference_date, area, MIN(ws) AS ws FROM (
+      SELECT reference_date, area, CAST(date_trunc('week', day) AS DATE) AS ws FROM v_member GROUP BY 1, 2, 3 HAVING COUNT(DISTINCT day) >= 3) GROUP BY 1, 2) w
+      USING (reference_date, area) WHERE CAST(date_trunc('week', day) AS DATE) = ws AND member <> 3 GROUP BY 1, 2, 3)) WHERE n >= 8 AND 2 * k <= n""",
        f="mean", i="member n scenario")
 def f3_tail_members(t):
-    return K.tail_members(t.member(), ["reference_date", "area"])
+    """Members but one, ranked on the first week of their run and area."""
+    m, keys = t.member(), ["reference_date", "area"]
+    return K.tail_members(m, keys, weeks=K.usable_weeks(m, keys, min_days=3, n=1), among=m.filter("member <> 3").select("member").distinct())
 
 
 @query("""WITH w AS (SELECT area, CAST(date_trunc('week', day) AS DATE) + 6 AS week, arg_max(actual, day) AS level, arg_max(CASE WHEN month(day) < 7 THEN temp END, CASE WHEN month(day) < 7 THEN day END) AS snow

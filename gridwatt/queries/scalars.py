@@ -126,10 +126,11 @@ def b12_forecast_windows(t):
     return runs.select("reference_date", *[c.alias(k) for k, c in w.items()])
 
 
-_EASTER = """SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM (
-  SELECT y, h, l, (y % 19 + 11 * h + 22 * l) // 451 AS m FROM (
-  SELECT y, h, (32 + 2 * ((y // 100) % 4) + 2 * ((y % 100) // 4) - h - y % 4) % 7 AS l FROM (
-  SELECT y, (19 * (y % 19) + y // 100 - (y // 100) // 4 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM (
+# Oudin's rule of 1940, another than the library uses
+_EASTER = """SELECT y, make_date(y, 3 + (l + 40) // 44, l + 28 - 31 * ((3 + (l + 40) // 44) // 4)) AS easter FROM (
+  SELECT y, i - (y + y // 4 + i + 2 - c + c // 4) % 7 AS l FROM (
+  SELECT y, c, k - (k // 28) * (1 - (29 // (k + 1)) * ((21 - y % 19) // 11)) AS i FROM (
+  SELECT y, y // 100 AS c, (y // 100 - y // 400 - (8 * (y // 100) + 13) // 25 + 19 * (y % 19) + 15) % 30 AS k FROM (
   SELECT DISTINCT CAST(year(o_orderdate) + (o_orderkey % 60) AS INTEGER) AS y FROM orders))))"""
 
 
@@ -182,7 +183,7 @@ def b15_member_id(t):
     text = (F.when(kind == 0, F.format_string("M%02d", m)).when(kind == 1, F.concat(F.lit("ens_2x_"), m.cast("string")))
             .when(kind == 2, F.concat(m.cast("string"), F.lit(".0"))).when(kind == 3, "Ctrl").otherwise("avg"))
     return t.raw("embeddings").select("vec_id", "label", names.member_id(text).alias("member_id"),
-                                      names.member_id(text, F.lit("Volue")).alias("shifted"))
+                                      names.member_id(text, F.lit("one_based")).alias("shifted"))
 
 
 @query("""SELECT p_partkey, p_name AS country, CASE p_size % 3 WHEN 0 THEN 'wind' WHEN 1 THEN 'photovoltaic' END AS tech,

@@ -175,21 +175,25 @@ def j11_scenario_daily(t):
 _AREAS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
-@query("SELECT reference_date, member % 3 AS scenario, " + ", ".join(f"AVG(CASE WHEN area = '{a}' THEN value END) AS \"{a}\"" for a in _AREAS[:4])
-       + " FROM v_member GROUP BY 1, 2", f="AFRICA AMERICA ASIA EUROPE", i="scenario")
+@query("SELECT reference_date, member % 3 AS scenario, " + ", ".join(f"AVG(CASE WHEN area = '{a}' THEN value END) AS \"{a.replace(' ', '_')}\"" for a in _AREAS)
+       + " FROM v_member GROUP BY 1, 2", f="AFRICA AMERICA ASIA EUROPE MIDDLE_EAST", i="scenario")
 def j12_scenario_table(t):
-    return S.scenario_table(tagged(t), ["reference_date"], _AREAS[:4])
+    return S.scenario_table(tagged(t), ["reference_date"], _AREAS).withColumnRenamed("MIDDLE EAST", "MIDDLE_EAST")
 
 
 _TAILS = """SELECT reference_date, member, CASE WHEN r <= k THEN 1 WHEN r > n - k THEN 2 ELSE 0 END AS scenario FROM (
   SELECT *, greatest(1, CAST(round_even(n * 0.25, 0) AS INTEGER)) AS k FROM (SELECT reference_date, member, COUNT(*) OVER (PARTITION BY reference_date) AS n,
-    row_number() OVER (PARTITION BY reference_date ORDER BY AVG(value), member) AS r FROM v_member WHERE area = 'ASIA' GROUP BY 1, 2)) WHERE n >= 8 AND 2 * k <= n"""
+    row_number() OVER (PARTITION BY reference_date ORDER BY AVG(value), member) AS r FROM v_member m JOIN (SELECT reference_date, MIN(ws) AS ws FROM (
+      SELECT reference_date, CAST(date_trunc('week', day) AS DATE) AS ws FROM v_member WHERE area = 'ASIA' GROUP BY 1, 2 HAVING COUNT(DISTINCT day) >= 3) GROUP BY 1) w
+      USING (reference_date) WHERE area = 'ASIA' AND CAST(date_trunc('week', day) AS DATE) = ws AND member <> 3 GROUP BY 1, 2)) WHERE n >= 8 AND 2 * k <= n"""
 
 
 @query(_WEEKLY.format(src=f"SELECT m.*, s.scenario, h.actual AS normal FROM v_member m JOIN ({_TAILS}) s USING (reference_date, member) LEFT JOIN v_hist h ON h.area = m.area AND h.day = m.day"),
        f=_WF, i="scenario n", keep="member hist")
 def j13_tail_scenarios(t):
-    return P.tail_scenarios(tagged(t).drop("scenario"), ["reference_date"], "ASIA")
+    m = tagged(t).drop("scenario")
+    clustered = m.filter("member <> 3").select("reference_date", "member").distinct()
+    return P.tail_scenarios(m, ["reference_date"], "ASIA", K.usable_weeks(m.filter("area = 'ASIA'"), ["reference_date"], min_days=3, n=1), clustered)
 
 
 @query()

@@ -146,7 +146,7 @@ class Tables:
         ref = F.expr("date_add(DATE'2024-01-03', CAST(7 * (vec_id DIV 100) AS INT))")
         x = e.select("vec_id", "label", ref.alias("reference_date"), F.posexplode("embedding").alias("pos", "x"))
         lead = F.expr("CAST((vec_id DIV 10) % 10 AS INT)")
-        return x.filter(F.col("pos") < N_POINTS).select(
+        return x.select(
             F.expr("vec_id DIV 100").alias("run"), "reference_date",
             F.date_add("reference_date", lead).alias("day"), lead.alias("lead_day"),
             (F.col("vec_id") % N_MEMBERS).cast("int").alias("member"), *_point(F.col("pos")),

@@ -91,7 +91,7 @@ def test_member_ids(spark):
     m = names.member_id(F.col("m"))
     for text, want in {"M07": 7, "ens07": 7, "7.0": 7, "07": 7, "e06": 6, "Ctrl": 0, "M00": 0, "avg": None, "xyz": None, "run2_m13": 13}.items():
         assert one(spark, m, m=text) == want, text
-    assert one(spark, names.member_id(F.col("m"), F.lit("Volue")), m="12") == 11
+    assert one(spark, names.member_id(F.col("m"), F.lit("one_based")), m="12") == 11
 
 
 def test_patterns_match_whole_words(spark):
