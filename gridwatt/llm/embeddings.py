@@ -191,7 +191,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     parts = {r["cell"]: -(-r["n"] // block) for r in known}
     lookup = lambda table, kind: F.element_at(F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in table.items()) + "}"), f"map<string,{kind}>"), F.col("cell").cast("string"))
     cut = placed.withColumn("part", F.pmod(F.xxhash64("rep"), lookup(parts, "bigint")))
-    grouped = cut.groupBy("cell", "part").agg(F.collect_list(F.struct("rep", "weight", "v")).alias("g"))
+    grouped = cut.groupBy("cell", "part").agg(F.collect_list(F.struct("rep", "weight", "v", F.xxhash64("v").alias("point"))).alias("g"))
 
     def plant(batches):
         for batch in batches:
@@ -200,7 +200,7 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
                 g = g.values
                 v = np.array(g.field(2).to_pylist())
                 x = unit(v)
-                parts = [np.array([len(x), x.shape[1]], np.int64), g.field(0).to_numpy(), g.field(1).to_numpy().astype(np.float64), v]
+                parts = [np.array([len(x), x.shape[1]], np.int64), g.field(0).to_numpy(), g.field(3).to_numpy(), g.field(1).to_numpy().astype(np.float64), v]
                 for centre, own, far in tree(x, tau * 0.45):
                     parts += [np.array([len(centre)], np.int64), centre.astype(np.int64), own.astype(np.int64), far]
                 payload.append(b"".join(np.ascontiguousarray(p).tobytes() for p in parts))
@@ -222,29 +222,32 @@ def near_embeddings(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
             at += out.nbytes
             return out
 
-        ids, weights, x = take(np.int64, n), take(np.float64, n), unit(take(np.float64, n * d).reshape(n, d))
+        ids, point, weights, x = take(np.int64, n), take(np.int64, n), take(np.float64, n), unit(take(np.float64, n * d).reshape(n, d))
         levels = []
         for _ in range(3):
             k = int(take(np.int64, 1)[0])
             levels.append((take(np.int64, k), take(np.int64, n), take(np.float64, k)))
-        return ids, weights, x, levels
+        return (ids, weights, x, levels), point
 
     def compare(batches):
         for batch in batches:
             for same, a, b in zip(*(batch.column(i) for i in range(3)), strict=True):
-                a = open_block(a.as_py())
-                b = a if same.as_py() else open_block(b.as_py())
+                a, point_a = open_block(a.as_py())
+                b, point_b = (a, point_a) if same.as_py() else open_block(b.as_py())
                 n_a, n_b, edges = _between(a, b, cosine, same.as_py())
-                who, n = np.concatenate([a[0][n_a > 0], b[0][n_b > 0]]), np.concatenate([n_a[n_a > 0], n_b[n_b > 0]]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(n)], names=["a", "b", "n"])
+                who, point = np.concatenate([a[0][n_a > 0], b[0][n_b > 0]]), np.concatenate([point_a[n_a > 0], point_b[n_b > 0]])
+                n = np.concatenate([n_a[n_a > 0], n_b[n_b > 0]]).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(n), pa.array(point)], names=["a", "b", "n", "point"])
                 if edges:
                     e = np.array(edges, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.zeros(len(e), np.int64))], names=["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1]), pa.array(np.zeros(len(e), np.int64)), pa.nulls(len(e), pa.int64())],
+                                                         names=["a", "b", "n", "point"])
 
-    met = stored(meet.mapInArrow(compare, "a long, b long, n long"), "met")
-    counts = met.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    met = stored(meet.mapInArrow(compare, "a long, b long, n long, point long"), "met")
+    # two vectors can have the same smallest id, where ids repeat, so counts are kept by vector
+    counts = met.filter("b is null").groupBy(F.col("a").alias("rep"), "point").agg(F.sum("n").alias("links"))
     label = components(met.filter("b is not null")).withColumnRenamed("node", "rep")
-    known_points = points.join(counts, "rep", "left").join(label, "rep", "left")
+    known_points = points.withColumn("point", F.xxhash64("v")).join(counts, ["rep", "point"], "left").join(label, "rep", "left")
     known_points = stored(known_points.select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")), "known")
     out = rows.withColumn("good", good).withColumn("v", F.when(F.col("good"), F.col("v"))).join(known_points, "v", "left")
     component = F.coalesce("component", "vec_id")

@@ -77,14 +77,13 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else n
         elif skip:
-            if name == skip:
+            if skip == "p" and name in BLOCK and not closing:  # a paragraph ends where a block begins
+                skip = ""
+                at = m.start()
+            elif name == skip:
                 depth += -1 if closing else 0 if name in VOID else 1
                 if depth <= 0:
-                    end_block()
                     skip = ""
-            elif skip == "p" and name in BLOCK and not closing:
-                skip = ""
-                at = m.start()
         elif closing:
             if name in MAIN:
                 main = max(0, main - 1)
