@@ -27,7 +27,9 @@ WIDTH = 5
 FLUSH = 2_000_000
 
 _DOC, _COPY, _PAIR, _MEMBER = 0, 1, 2, 3
-_FOUND = "kind int, a long, b long, n long, sketch binary"
+_FOUND = "kind int, a long, b long, n long, sketch binary, tiny binary"
+#: Least bytes of the small sketches that sift candidates first; those of long documents have an eighth of the whole sketch.
+TINY = 64
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -61,6 +63,12 @@ def parity_sketch(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((shingles & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1)
 
 
+def tiny_sketch(sketch: bytes) -> bytes:
+    """The sketch folded to an eighth, but to no fewer than TINY bytes."""
+    size = max(TINY, len(sketch) // 8)
+    return sketch if len(sketch) <= size else np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
 def may_link(n_a: int, a: bytes, n_b: int, b: bytes) -> bool:
     """False if the sketches prove that two documents do not link: their Hamming distance is at most the symmetric difference.
 
@@ -234,7 +242,9 @@ def _meet(offered: DataFrame, dealt: int) -> DataFrame:
         def table(kind, a, b, n, sketch=None):
             size = len(a)
             return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), pa.array(n),
-                                               pa.array(sketch, pa.binary()) if sketch else pa.nulls(size, pa.binary())], names=["kind", "a", "b", "n", "sketch"])
+                                               pa.array(sketch, pa.binary()) if sketch else pa.nulls(size, pa.binary()),
+                                               pa.array([tiny_sketch(x) for x in sketch], pa.binary()) if sketch else pa.nulls(size, pa.binary())],
+                                              names=["kind", "a", "b", "n", "sketch", "tiny"])
 
         for batch in batches:
             for p in batch.column(1):
@@ -289,9 +299,15 @@ def _meet(offered: DataFrame, dealt: int) -> DataFrame:
 
 
 def sift(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs whose sketches (id, n, sketch) don't rule out a link."""
-    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    """The pairs whose sketches (id, n, sketch, tiny) don't rule out a link: by the small sketches first, as most pairs end there."""
+    left = stored(_sift(pairs, sketches, "tiny"), "sifted")
+    need = stored(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "needed")
+    return _sift(left, stored(sketches.drop("tiny").join(need, "id", "left_semi"), "sketches"), "sketch")
+
+
+def _sift(pairs: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
+    a = sketches.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col(which).alias("sa"))
+    b = sketches.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col(which).alias("sb"))
     both = pairs.join(a, "a").join(b, "b").select(*pairs.columns, "na", "sa", "nb", "sb")
 
     def check(batches):
@@ -329,7 +345,7 @@ def across_large(member: DataFrame, main: DataFrame, sketches: DataFrame, everyo
     """
     rows = member.join(main.filter(F.col("rows") > SMALL), "a").join(sketches.withColumnRenamed("id", "b"), "b")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("rows") / GROUP)))
-    groups = stored(rows.groupBy("a", "part").agg(F.first("main").alias("main"), F.collect_list(F.struct("b", "c", "n", "sketch")).alias("g")), "groups")
+    groups = stored(rows.groupBy("a", "part").agg(F.first("main").alias("main"), F.collect_list(F.struct("b", "c", "n", "tiny")).alias("g")), "groups")
     stray = groups.select("a", F.filter("g", lambda r: r["c"] != F.col("main")).alias("s")).filter(F.size("s") > 0)
     met = stray.join(groups, "a").select("s", "g")
 
@@ -367,8 +383,13 @@ def across_large(member: DataFrame, main: DataFrame, sketches: DataFrame, everyo
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link, decided on their whole texts."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null")
+    """The pairs (a, b) whose shingle sets link, decided on their whole texts.
+
+    Only the texts of these documents are moved; where the pairs are few, Spark broadcasts their ids to the scan.
+    """
+    need = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(need, "id", "left_semi")
+    texts = stored(texts, "texts")
     both = (pairs.select("a", "b").join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -402,14 +423,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     release(spark)
     listed = found.filter(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"))
     copies = found.filter(F.col("kind") == _COPY).select("a", "b")
-    sketches = found.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).select(F.col("a").alias("id"), "n", "sketch").filter("id is not null")
+    sketches = found.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).select(F.col("a").alias("id"), "n", "sketch", "tiny").filter("id is not null")
     pairs = found.filter(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = stored(sift(pairs, sketches), "pairs")
     member = stored(found.filter(F.col("kind") == _MEMBER).select("a", "b").distinct(), "members")
-    near = pairs.select("a").union(pairs.select("b")).union(member.select("b")).distinct().withColumnRenamed("a", "id")
-    texts = stored(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("t")).join(near, "id", "left_semi"), "texts")
     release(spark)
-    links = stored(verify(pairs, texts, "id", "t"), "links")
+    links = stored(verify(pairs, docs, id_col, text), "links")
+    release(spark)
     tested, label = pairs.select("a", "b"), components(links.union(copies))
     first, everyone = True, False
     while True:
@@ -419,9 +439,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
         main = stored(largest(member), "main")
         fresh = across_large(member, main, sketches, everyone)
         if first:  # later rounds have nothing new in small blocks: all their pairs are listed now
-            fresh = fresh.union(sift(across_small(member, main).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), sketches)).distinct()
-        fresh, first = stored(fresh.join(tested, ["a", "b"], "left_anti"), "across"), False
-        more = stored(verify(fresh, texts, "id", "t"), "links")
+            fresh = fresh.union(across_small(member, main)).distinct()
+        fresh, first = stored(sift(fresh.join(tested, ["a", "b"], "left_anti"), sketches), "across"), False
+        release(spark)
+        more = stored(verify(fresh, docs, id_col, text), "links")
         release(spark)
         if not more.isEmpty():
             links, tested = links.union(more), tested.union(fresh)
