@@ -145,39 +145,27 @@ def composite(targets: DataFrame, groups: DataFrame, target_keys: Sequence[str]
 
 # -- regression judged out of sample ----------------------------------------------------------
 
-_OUT = ["n", "r2", "adj_r2", "loo_r2", "hit_rate", "n_hit", "n_eval", "hit_strong", "n_strong", "naive", "rmse_loo"]
-
-
-def _fit(x: np.ndarray, y: np.ndarray, years: np.ndarray, detrend: bool, new_x: np.ndarray, new_years: np.ndarray) -> dict | None:
-    """Standardised least squares of one target, its leave-one-out statistics and predictions."""
-    n, k = x.shape
-    data = np.column_stack([x, y])
-    lines = np.polyfit(years.astype(float), data, 1) if detrend else np.zeros((2, k + 1))
-    data = data - (np.outer(years, lines[0]) + lines[1])
-    mu, sd = data.mean(0), data.std(0, ddof=1)
-    if (sd == 0).any():
-        return None
-    z = (data - mu) / sd
-    a = np.column_stack([np.ones(n), z[:, :k]])
-    inv = np.linalg.pinv(a.T @ a)
-    beta = inv @ a.T @ z[:, k]
-    res = z[:, k] - a @ beta
-    loo = res / (1 - np.einsum("ij,jk,ik->i", a, inv, a))
-    total, sse, dof = float((z[:, k] ** 2).sum()), float((res ** 2).sum()), n - k - 1
-    obs, pred = data[:, k], (z[:, k] - loo) * sd[k] + mu[k]
-    hit, real = np.sign(pred) == np.sign(obs), obs != 0
-    strong = real & (np.abs(obs) > 0.5 * sd[k])
-    up = float((obs[real] > 0).mean()) if real.any() else np.nan
-    r2 = 1 - sse / total
-    out = {"n": n, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / dof, "loo_r2": 1 - float((loo ** 2).sum()) / total,
-           "n_hit": int(hit[real].sum()), "n_eval": int(real.sum()), "hit_rate": float(hit[real].mean()) if real.any() else None,
-           "n_strong": int(strong.sum()), "hit_strong": float(hit[strong].mean()) if strong.any() else None, "naive": max(up, 1 - up),
-           "rmse_loo": float(np.sqrt(((obs - pred) ** 2).mean())), "beta": beta[1:].tolist(),
-           "t_stat": (beta / np.sqrt(np.diag(inv) * sse / dof))[1:].tolist(), "now": None}
-    if len(new_x):
-        ahead = (new_x - (np.outer(new_years, lines[0, :k]) + lines[1, :k]) - mu[:k]) / sd[:k]
-        value = (beta[0] + ahead @ beta[1:]) * sd[k] + mu[k] + lines[0, k] * new_years + lines[1, k]
-        out["now"] = {int(yr): float(v) for yr, v in zip(new_years, value)}
+def _slopes(n_predictors: int):
+    """Column function: coefficients and inverse of correlation systems, many keys at a time.
+
+    The systems come packed as rows of (k x k correlations, k correlations with the target).
+    """
+    k = n_predictors
+
+    @F.pandas_udf("struct<beta:array<double>,inverse:array<double>>")
+    def solve(packed: pd.Series) -> pd.DataFrame:
+        m = np.array(packed.tolist(), dtype=float).reshape(-1, k * k + k)
+        inverse = np.linalg.pinv(m[:, :k * k].reshape(-1, k, k), hermitian=True)
+        beta = np.einsum("nij,nj->ni", inverse, m[:, k * k:])
+        return pd.DataFrame({"beta": list(beta), "inverse": list(inverse.reshape(-1, k * k))})
+
+    return solve
+
+
+def _sum_of(parts: Sequence[Column]) -> Column:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out + p
     return out
 
 
@@ -185,35 +173,76 @@ def loo_regression(z: DataFrame, targets: DataFrame, predictors: Sequence[str],
                    detrend: bool = True, min_years: int = MIN_YEARS) -> DataFrame:
     """Each target on up to four indices, judged by predictions of years the model never saw.
 
-    A group is one value per year; it is solved in one small task. Years with index values
-    but no target yet are predicted in ``now``.
+    Everything is sums by key: trends in the year, then scales and correlations of what the trends leave,
+    then one small system per key. Residuals and leverages are columns of the yearly rows, whose sums are
+    the scores; a prediction of a left-out year is the fit less its residual over one less its leverage.
+    Years with index values after the last target are predicted in ``now``. Keys with too few years, or
+    with a constant column, give no row.
     """
     preds, keys = list(predictors), list(keys)
+    k = len(preds)
+    xs = [f"x{i}" for i in range(k)]
     wide = z.filter(F.col("index_name").isin(preds) & F.col("z").isNotNull()).groupBy("year", "period").agg(
-        F.count("*").alias("_n"), *[F.max(F.when(F.col("index_name") == p, F.col("z"))).alias(f"x{i}") for i, p in enumerate(preds)])
-    wide = wide.filter(F.col("_n") == len(preds)).drop("_n")
+        F.count("*").alias("_n"), *[F.max(F.when(F.col("index_name") == p, F.col("z"))).alias(x) for x, p in zip(xs, preds, strict=True)])
+    wide = wide.filter(F.col("_n") == k).drop("_n")
     y = targets.filter("anomaly IS NOT NULL").select(*keys, "year", F.col("anomaly").alias("y"))
-    ids = y.select(*keys).distinct()
-    full = wide.join(ids, "period").join(y, [*keys, "year"], "left")
-    xs = [f"x{i}" for i in range(len(preds))]
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("year")
-        known, ahead = pdf[pdf["y"].notna()], pdf[pdf["y"].isna()]
-        ahead = ahead[ahead["year"] > known["year"].max()] if len(known) else ahead
-        if len(known) < max(min_years, len(xs) + 4):
-            return pd.DataFrame(columns=cols)
-        r = _fit(known[xs].to_numpy(float), known["y"].to_numpy(float), known["year"].to_numpy(), detrend, ahead[xs].to_numpy(float), ahead["year"].to_numpy())
-        return pd.DataFrame([{**pdf[keys].iloc[0].to_dict(), **r}])[cols] if r else pd.DataFrame(columns=cols)
-
-    kinds = ", ".join(f"{c} {full.schema[c].dataType.simpleString()}" for c in keys)
-    cols = [*keys, *_OUT, "beta", "t_stat", "now"]
-    ints = {"n", "n_hit", "n_eval", "n_strong"}
-    schema = f"{kinds}, " + ", ".join(f"{c} {'int' if c in ints else 'double'}" for c in _OUT) + ", beta array<double>, t_stat array<double>, now map<int,double>"
-    fit = full.groupBy(*keys).applyInPandas(one, schema)
-    dof = (F.col("n") - len(xs) - 1).cast("double")
-    ps = [t_two_sided(F.get("t_stat", i), dof) for i in range(len(xs))]
-    return fit.withColumn("p", F.array(*ps)).withColumn("hit_p", binomial_upper(F.col("n_hit").cast("double"), F.col("n_eval").cast("double"))).withColumn(
+    full = wide.join(y.select(*keys).distinct(), "period").join(y, [*keys, "year"], "left")
+    known, t = full.filter("y IS NOT NULL"), F.col("year").cast("double")
+    cols = [*xs, "y"]
+
+    line = known.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.max("year").alias("_last"),
+        *[c for v in cols for c in ((F.regr_slope(F.col(v), t) if detrend else F.lit(0.0)).alias(f"_s_{v}"),
+                                    (F.regr_intercept(F.col(v), t) if detrend else F.lit(0.0)).alias(f"_i_{v}"))])
+    line = line.filter(F.col("n") >= max(min_years, k + 4))
+    left = full.join(line, keys)
+    left = left.select(*keys, "year", "n", "_last", *[f"_s_{v}" for v in cols], *[f"_i_{v}" for v in cols],
+                       *[(F.col(v) - F.col(f"_s_{v}") * t - F.col(f"_i_{v}")).alias(v) for v in cols])
+
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    seen = left.filter("y IS NOT NULL")
+    scale = seen.groupBy(*keys).agg(*[c for v in cols for c in (F.avg(v).alias(f"_m_{v}"), F.stddev(v).alias(f"_d_{v}"))],
+                                    *[F.corr(a, b).alias(f"_r_{a}_{b}") for a, b in pairs])
+    for v in cols:
+        scale = scale.filter(F.col(f"_d_{v}") > 0)
+    r = {(a, b): F.col(f"_r_{a}_{b}") for a, b in pairs} | {(b, a): F.col(f"_r_{a}_{b}") for a, b in pairs} | {(v, v): F.lit(1.0) for v in cols}
+    packed = F.array(*[r[a, b] for a in xs for b in xs], *[r[a, "y"] for a in xs])
+    model = scale.withColumn("_fit", _slopes(k)(packed)).drop(*[f"_r_{a}_{b}" for a, b in pairs])
+
+    rows = left.join(model, keys)
+    unit = {v: (F.col(v) - F.col(f"_m_{v}")) / F.col(f"_d_{v}") for v in cols}
+    rows = rows.select("*", *[unit[v].alias(f"_u_{v}") for v in cols])
+    beta = [F.get("_fit.beta", i) for i in range(k)]
+    inverse = [[F.get("_fit.inverse", i * k + j) for j in range(k)] for i in range(k)]
+    u = [F.col(f"_u_{v}") for v in xs]
+    rows = rows.withColumn("_hat", _sum_of([b * c for b, c in zip(beta, u, strict=True)]))
+    spread = _sum_of([u[i] * inverse[i][j] * u[j] for i in range(k) for j in range(k)])
+    rows = rows.withColumn("_e", F.col("_u_y") - F.col("_hat"))
+    rows = rows.withColumn("_l", F.col("_e") / (1 - 1 / F.col("n") - spread / (F.col("n") - 1)))
+    guess = (F.col("_u_y") - F.col("_l")) * F.col("_d_y") + F.col("_m_y")
+    ahead = F.col("_hat") * F.col("_d_y") + F.col("_m_y") + F.col("_s_y") * t + F.col("_i_y")
+    past, real = F.col("y").isNotNull(), F.col("y") != 0
+    strong, hit = real & (F.abs("y") > F.col("_d_y") / 2), F.signum(guess) == F.signum("y")
+    future = ~past & (F.col("year") > F.col("_last"))
+    count = lambda c: F.count(F.when(c, True)).cast("int")
+    g = rows.groupBy(*keys, "n", "_fit").agg(
+        F.sum(F.when(past, F.col("_e") * F.col("_e"))).alias("_sse"), F.sum(F.when(past, F.col("_l") * F.col("_l"))).alias("_press"),
+        F.sum(F.when(past, F.col("_u_y") * F.col("_u_y"))).alias("_total"), F.avg(F.when(past, F.pow(F.col("y") - guess, 2))).alias("_mse"),
+        count(past & real & hit).alias("n_hit"), count(past & real).alias("n_eval"), count(past & strong & hit).alias("_strong_hit"),
+        count(past & strong).alias("n_strong"), count(past & (F.col("y") > 0)).alias("_up"),
+        F.map_from_entries(F.collect_list(F.when(future, F.struct(F.col("year").cast("int"), ahead)))).alias("now"))
+    dof = (F.col("n") - k - 1).cast("double")
+    share = ratio(F.col("_up"), F.col("n_eval"))
+    error = lambda i: F.sqrt(F.get("_fit.inverse", i * k + i) / (F.col("n") - 1) * F.col("_sse") / dof)
+    g = g.withColumn("r2", 1 - F.col("_sse") / F.col("_total"))
+    out = g.select(
+        *keys, F.col("n").cast("int").alias("n"), "r2", (1 - (1 - F.col("r2")) * (F.col("n") - 1) / dof).alias("adj_r2"),
+        (1 - F.col("_press") / F.col("_total")).alias("loo_r2"), ratio(F.col("n_hit"), F.col("n_eval")).alias("hit_rate"), "n_hit", "n_eval",
+        ratio(F.col("_strong_hit"), F.col("n_strong")).alias("hit_strong"), "n_strong", F.greatest(share, 1 - share).alias("naive"),
+        F.sqrt("_mse").alias("rmse_loo"), F.col("_fit.beta").alias("beta"), F.array(*[beta[i] / error(i) for i in range(k)]).alias("t_stat"),
+        F.when(F.size("now") > 0, F.col("now")).alias("now"))
+    ps = [t_two_sided(F.get("t_stat", i), dof) for i in range(k)]
+    return out.withColumn("p", F.array(*ps)).withColumn("hit_p", binomial_upper(F.col("n_hit").cast("double"), F.col("n_eval").cast("double"))).withColumn(
         "usability", usability())
 
 
