@@ -16,9 +16,12 @@ def parameterised_daily(obs: DataFrame, params: DataFrame, keys: Sequence[str],
 
     ``params`` is one row per curve: its family, how a day is made of its points (avg or
     sum) and its unit scale. Joining that table replaces one query branch per family,
-    each of which would scan the points again.
+    each of which would scan the points again. A curve without a row is not lost: it is a
+    family of its own name, averaged and unscaled.
     """
-    j = obs.join(params, curve)
+    j = obs.join(params, curve, "left")
+    j = (j.withColumn("family", F.coalesce("family", curve)).withColumn("how", F.coalesce("how", F.lit("avg")))
+         .withColumn("scale", F.coalesce("scale", F.lit(1.0))))
     g = j.groupBy("family", "how", "scale", *keys, time.cet_day(F.col(ts)).alias("day")).agg(
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.count("*").alias("n_points"))
     v = F.when(F.col("how") == "sum", F.col("_s")).otherwise(F.try_divide("_s", "_n"))

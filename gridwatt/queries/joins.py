@@ -124,10 +124,9 @@ def c13_join_members(t):
     return J.join_members(m, a, ["reference_date"]).select("reference_date", "area", "day", "member", "value", "scenario")
 
 
-@query("SELECT area, a.day, actual, value FROM v_hist a JOIN v_index i ON i.day = a.day AND i.index_name = 'IDX_F'", f="actual value")
+@query("SELECT area, a.day, actual, index_name, value FROM v_hist a JOIN v_index i ON i.day = a.day", f="actual value")
 def c14_pair_series(t):
-    x = t.index_daily().filter("index_name = 'IDX_F'").select("day", "value")
-    return J.pair_series(t.hist(), x, ["day"]).select("area", "day", "actual", "value")
+    return J.pair_series(t.hist(), t.index_daily(), ["day"]).select("area", "day", "actual", "index_name", "value")
 
 
 @query("""WITH a AS (SELECT data_type, issued, COUNT(*) AS n FROM v_river GROUP BY 1, 2) SELECT a.data_type, a.issued, a.n, b.m FROM a
