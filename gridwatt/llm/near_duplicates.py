@@ -141,7 +141,7 @@ def block_keys(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, text: str = "text", share: float = 0.002, most: int = 200_000) -> np.ndarray:
+def common_shingles(docs: DataFrame, text: str = "text", share: float = 0.0005, most: int = 200_000) -> np.ndarray:
     """Shingles that about ``share`` of all documents hold, sorted; at most ``most`` of them.
 
     Only the number of candidates depends on it. Every task counts all its texts and passes on what is
@@ -359,7 +359,10 @@ def across_large(member: DataFrame, main: DataFrame, sketches: DataFrame, everyo
         out = [x if len(x) == least else np.bitwise_xor.reduce(x.reshape(-1, least), axis=0) for x in sketch]
         return np.stack(out).view(np.uint64)
 
+    pair = [("a", np.int64), ("b", np.int64)]
+
     def check(batches):
+        told = np.zeros(0, pair)  # pairs that this task has given already, as documents share many blocks
         for batch in batches:
             x_out, y_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s, g in zip(batch.column(0), batch.column(1), strict=True):
@@ -377,9 +380,15 @@ def across_large(member: DataFrame, main: DataFrame, sketches: DataFrame, everyo
                     x_out.append(np.full(len(y), id_s[i]))
                     y_out.append(id_g[y])
             x, y = np.concatenate(x_out), np.concatenate(y_out)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+            both = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+            if len(both):
+                packed = np.ascontiguousarray(both).view(pair).ravel()
+                fresh = ~np.isin(packed, told) if len(told) else np.ones(len(packed), bool)
+                told = packed if len(told) > FLUSH else np.concatenate([told, packed[fresh]])
+                both = both[fresh]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return met.mapInArrow(check, "a long, b long").distinct()
+    return met.mapInArrow(check, "a long, b long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -408,8 +417,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     the documents of a block are checked against its smallest. Blocks whose documents are then all in one
     component have nothing more to say. Of the others, small ones have all pairs across components
     checked that the sketches allow; in large ones each document outside the largest component is checked
-    against the one of another component that its sketch finds nearest, as long as that joins any, and
-    then against all that the sketches allow. So no candidate pair between components stays unchecked.
+    against the one of another component that its sketch finds nearest, and what then still stands apart
+    against all that the sketches allow. So no candidate pair between components stays unchecked.
 
     A null or empty text, or one without words, has no shingles and links with nothing. Rows with a null
     id are listed and link with nothing. Rows that share an id are one document that has the links of
@@ -431,26 +440,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     links = stored(verify(pairs, docs, id_col, text), "links")
     release(spark)
     tested, label = pairs.select("a", "b"), components(links.union(copies))
-    first, everyone = True, False
-    while True:
+    for everyone in (False, True):
         named = stored(member.join(label, member["b"] == label["node"], "left").select("a", "b", F.coalesce("component", "b").alias("c")), "members")
         spans = named.groupBy("a").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("a")
         member = stored(named.join(spans, "a", "left_semi"), "open")
         main = stored(largest(member), "main")
-        fresh = across_large(member, main, sketches, everyone)
-        if first:  # later rounds have nothing new in small blocks: all their pairs are listed now
+        fresh = across_large(member, main, sketches, everyone).distinct()
+        if not everyone:  # the second round has nothing new in small blocks: all their pairs are listed now
             fresh = fresh.union(across_small(member, main)).distinct()
-        fresh, first = stored(sift(fresh.join(tested, ["a", "b"], "left_anti"), sketches), "across"), False
+        fresh = stored(sift(fresh.join(tested, ["a", "b"], "left_anti"), sketches), "across")
         release(spark)
         more = stored(verify(fresh, docs, id_col, text), "links")
         release(spark)
         if not more.isEmpty():
             links, tested = links.union(more), tested.union(fresh)
             label = components(links.union(copies))
-            member = member.select("a", "b")
-        if everyone:
-            return listed, label
-        everyone = more.isEmpty()
+        member = member.select("a", "b")
+    return listed, label
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -56,6 +56,36 @@ def test_near_duplicates_match_all_pairs(spark, rows, docs):
     assert listed.count() == 0 and label.count() == 0
 
 
+def test_large_blocks_lose_no_link(spark, monkeypatch):
+    """Near-miss copies in blocks that are compared in groups."""
+    import random
+    monkeypatch.setattr(near_duplicates, "SMALL", 3)
+    monkeypatch.setattr(near_duplicates, "GROUP", 4)
+    r = random.Random(1)
+    base = [[f"w{r.randrange(400)}" for _ in range(60)] for _ in range(4)]
+    rows = []
+    for i in range(120):
+        w = list(base[i % 4])
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(60)] = f"w{r.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    _, label = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["node"]: x["component"] for x in label.collect()}
+    sets, parent = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    assert {i: got.get(i, i) for i in sets} == {i: top(i) for i in sets} and len(set(got.values())) > 5
+
+
 def test_sketch_distance_never_exceeds_the_symmetric_difference():
     import numpy as np
     r = np.random.default_rng(1)
