@@ -1,8 +1,9 @@
-"""Main text of web pages: structure where a page marks its article, and a suffix order per host where it does not.
+"""Main text of web pages: a suffix order per host decides on all text that a page does not mark as article or furniture.
 
 The token streams of a host's pages, outside marked articles, are compared by their suffixes: those that
 agree on their first ``least`` tokens stand together in the order, and if they come from distinct pages
 the tokens they agree on are boilerplate. What they cover is removed; the runs that are unique stay.
+Marked articles are protected, repeated or not, and marked furniture is never text.
 """
 
 from __future__ import annotations
@@ -110,7 +111,7 @@ def _page_key(page: str, url: str, body: str) -> Column:
 
 
 def _suffixes(pages: DataFrame, least: int) -> DataFrame:
-    """A row per suffix of a page's stream: key, whether the page has no marked article, place, and the hash of host and first tokens."""
+    """A row per suffix of a page's stream: key, whether the page has text the order decides on, place, and the hash of host and first tokens."""
     def rows(batches):
         for batch in batches:
             key, open_, place, head = [], [], [], []
@@ -121,7 +122,7 @@ def _suffixes(pages: DataFrame, least: int) -> DataFrame:
                     continue
                 h = mix(shingle_hashes(words, least) ^ np.uint64(host & 0xFFFFFFFFFFFFFFFF))
                 key.append(np.full(len(h), k))
-                open_.append(np.full(len(h), not any(w == "main" for w, _ in blocks)))
+                open_.append(np.full(len(h), any(w == "open" for w, _ in blocks)))
                 place.append(np.arange(len(h), dtype=np.int32))
                 head.append(h.view(np.int64))
             join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -134,10 +135,10 @@ def _suffixes(pages: DataFrame, least: int) -> DataFrame:
 def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """Add ``text`` to every page: its main text, blocks joined by one line break, empty if there is none.
 
-    Where a page marks its article (article or main elements), the text is the blocks in it, repeated or
-    not, without furniture, scripts and comments. Elsewhere it is the blocks outside furniture, less the
-    token runs of ``least`` or more that another page of the host has too. A hot host is no single group:
-    suffixes are counted by host and first tokens, in the tasks before they are shuffled.
+    The text is the blocks in a marked article (article or main elements), repeated or not, and the blocks
+    outside articles, less the token runs of ``least`` or more that another page of the host has too;
+    furniture, scripts and comments are in neither. A hot host is no single group: suffixes are counted by
+    host and first tokens, in the tasks before they are shuffled.
 
     A null or empty page has an empty text; a null or unreadable url makes its pages one host. Equal rows
     are one page. A column named text is replaced, others stay; an empty table gives no rows.
@@ -158,17 +159,18 @@ def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: st
             out = []
             for page, places in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 blocks = blocks_of(page or "")
-                if any(w == "main" for w, _ in blocks):
-                    out.append("\n".join(t for w, t in blocks if w == "main"))
-                    continue
                 words, counts = _tokens(blocks)
                 gone = np.zeros(len(words) + 1, np.int64)
                 for p in set(places or []):
                     gone[p] += 1
                     gone[min(p + least, len(words))] -= 1
                 gone = np.cumsum(gone)[:-1] > 0
-                first, kept = 0, []
-                for (where, t), n in zip(blocks, counts, strict=True):
+                first, kept, counts = 0, [], iter(counts)
+                for where, t in blocks:
+                    if where == "main":
+                        kept.append(t)
+                        continue
+                    n = next(counts)
                     if where == "open":
                         # tokens of the hashes split at ASCII space only, and so here
                         left = " ".join(w for w, g in zip(re.split(r"[\x20\x09-\x0D]+", t), gone[first:first + n], strict=True) if not g)

@@ -33,6 +33,14 @@ def test_repeated_runs_of_a_host_are_removed(spark):
     assert html_text.main_text(d.limit(0)).count() == 0
 
 
+def test_suffix_order_decides_outside_articles(spark):
+    menu, quote = "home news sport weather travel radio shop help account log in", "this very sentence stands in the article of every page here"
+    own = ["what the lead says before any article element begins on a page", "seven boats returned before noon with nets of silver fish for sale", "short note"]
+    rows = [(i, f"http://a.org/{i}", f"<div>{menu}</div><p>{t}</p><article><p>{quote}</p><p>body {i}</p></article>") for i, t in enumerate(own)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.main_text(d).collect()} == {i: f"{t}\n{quote}\nbody {i}" for i, t in enumerate(own)}
+
+
 def test_chats_read_back(spark):
     odd = ["", None, "</turn>\n<turn user>\n", "\\l \\b \\\\ <\\g>", "ünï 🎈", "a\nb", "x" * 50000]
     rows = [(c, i, ["user", "assistant", "we>\nird", None][(c + i) % 4], odd[(c * 3 + i) % len(odd)]) for c in range(5) for i in range(c + 1)]
