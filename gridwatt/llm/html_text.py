@@ -1,13 +1,14 @@
 """Main text of web pages: a suffix order per host decides on all text that a page does not mark as article or furniture.
 
-The token streams of a host's pages, outside marked articles, are compared by their suffixes: those that
-agree on their first ``least`` tokens stand together in the order, and if they come from distinct pages
-the tokens they agree on are boilerplate. What they cover is removed; the runs that are unique stay.
+The tokens of a host's blocks, outside marked articles, are compared by their suffixes: those that agree on
+their first ``least`` tokens stand together in the order. Runs that fill whole blocks on a share of the
+host's pages are boilerplate, and blocks filled by them are removed; all others stay.
 Marked articles are protected, repeated or not, and marked furniture is never text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stored, without_clash
-from .hashing import mix, shingle_hashes, word_hashes
+from .hashing import mix, powers, shingle_hashes, word_hashes
 
 # Elements that end a block of text, elements whose text is never shown, elements that are
 # page furniture, and the words in a class, id or role that mark furniture.
@@ -106,39 +107,74 @@ def _tokens(blocks: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(np.frombuffer(b"".join(raw), np.uint8), offsets)
 
 
+def _runs(words: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Block, place in the block and hash of all runs of ``least`` tokens that lie in one block; a shorter block is one run."""
+    counts = counts.astype(np.int64)
+    start = np.cumsum(counts) - counts
+    block = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(words)) - start[block]
+    whole = place + least <= counts[block]
+    long = shingle_hashes(words, least)[whole[:len(words) - least + 1]] if len(words) >= least else np.zeros(0, np.uint64)
+    short = (counts > 0) & (counts < least)
+    inner = short[block]
+    sums = words[inner] * (powers(least, 0xA24BAED4963EE407)[place[inner]] | np.uint64(1))
+    if short.any():
+        sums = mix(np.add.reduceat(sums, np.cumsum(counts[short]) - counts[short]) + counts[short].astype(np.uint64))
+    return (np.concatenate([block[whole], np.flatnonzero(short)]), np.concatenate([place[whole], np.zeros(int(short.sum()), np.int64)]), np.concatenate([long, sums]))
+
+
 def _page_key(page: str, url: str, body: str) -> Column:
     return F.xxhash64(F.col(page), F.col(url), F.col(body))
 
 
 def _suffixes(pages: DataFrame, least: int) -> DataFrame:
-    """A row per suffix of a page's stream: key, whether the page has text the order decides on, place, and the hash of host and first tokens."""
+    """A row per suffix of a block's tokens: host, page key, hash of what the page shows, block, whether the order decides on it, its tokens, place, and the hash of the first tokens."""
+    names = ["host", "key", "shown", "block", "open", "size", "place", "head"]
+    kinds = [np.int64, np.int64, np.int64, np.int32, bool, np.int32, np.int32, np.int64]
+
     def rows(batches):
         for batch in batches:
-            key, open_, place, head = [], [], [], []
+            parts = []
             for k, host, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 blocks = blocks_of(page or "")
-                words, _ = _tokens(blocks)
-                if len(words) < least:
+                words, counts = _tokens(blocks)
+                if len(words) == 0:
                     continue
-                h = mix(shingle_hashes(words, least) ^ np.uint64(host & 0xFFFFFFFFFFFFFFFF))
-                key.append(np.full(len(h), k))
-                open_.append(np.full(len(h), any(w == "open" for w, _ in blocks)))
-                place.append(np.arange(len(h), dtype=np.int32))
-                head.append(h.view(np.int64))
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(join(key, np.int64)), pa.array(join(open_, bool)), pa.array(join(place, np.int32)),
-                                              pa.array(join(head, np.int64))], names=["key", "open", "place", "head"])
+                block, place, h = _runs(words, counts, least)
+                open_ = np.array([w == "open" for w, _ in blocks if w != "main"])
+                shown = int.from_bytes(hashlib.blake2b("\n".join(t for _, t in blocks).encode(), digest_size=8).digest(), "little", signed=True)
+                parts.append((np.full(len(h), host), np.full(len(h), k), np.full(len(h), shown), block, open_[block], counts[block], place,
+                              mix(h ^ np.uint64(host & 0xFFFFFFFFFFFFFFFF)).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.zeros(0, kind))
+                                              for i, kind in enumerate(kinds)], names=names)
+
+    return pages.mapInArrow(rows, "host long, key long, shown long, block int, open boolean, size int, place int, head long")
 
-    return pages.mapInArrow(rows, "key long, open boolean, place int, head long")
 
+def _common(runs: DataFrame, need: DataFrame) -> DataFrame:
+    """Heads of the runs that enough pages of their host have."""
+    votes = runs.select("host", "head", "shown").distinct().groupBy("host", "head").agg(F.count("*").alias("votes"))
+    return votes.join(need, "host").filter("votes >= need").select("head")
 
-def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
+
+def _filled(runs: DataFrame, least: int) -> DataFrame:
+    """A row per block that the runs fill from its first token to its last, with their places and heads."""
+    b = runs.groupBy("host", "key", "shown", "block", "open", "size").agg(F.sort_array(F.collect_set(F.struct("place", "head"))).alias("runs"))
+    places = F.col("runs.place")
+    gap = F.exists(F.zip_with(F.slice(places, 2, F.size(places)), places, lambda z, a: z - a > least), lambda x: F.coalesce(x, F.lit(False)))
+    return b.filter((F.element_at(places, 1) == 0) & (F.element_at(places, -1) == F.greatest(F.col("size") - least, F.lit(0))) & ~gap)
+
+
+def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: str = "url", body: str = "html", share: float = 0.1, copies: int = 3) -> DataFrame:
     """Add ``text`` to every page: its main text, blocks joined by one line break, empty if there is none.
 
     The text is the blocks in a marked article (article or main elements), repeated or not, and the blocks
-    outside articles, less the token runs of ``least`` or more that another page of the host has too;
-    furniture, scripts and comments are in neither. A hot host is no single group: suffixes are counted by
-    host and first tokens, in the tasks before they are shuffled.
+    outside articles but those that are boilerplate; furniture, scripts and comments are in neither.
+    Runs are ``least`` tokens of one block, or the whole of a shorter block. A block is boilerplate if it
+    is filled by runs that fill whole blocks on ``share`` of the host's pages, and on ``copies`` at least;
+    pages that show the same count as one, and only pages with text outside articles count. A block that
+    is filled in part stays whole. A hot host is no single group: suffixes are counted by host and first
+    tokens, in the tasks before they are shuffled.
 
     A null or empty page has an empty text; a null or unreadable url makes its pages one host. Equal rows
     are one page. A column named text is replaced, others stay; an empty table gives no rows.
@@ -148,35 +184,25 @@ def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: st
     pages = without_clash(pages, "text")
     host = F.xxhash64(F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit(""))))
     order = stored(_suffixes(pages.select(_page_key(id_col, url, body).alias("key"), host.alias("host"), body), least), "suffixes")
-    shared = order.groupBy("head").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).filter("lo <> hi").select("head")
-    covered = order.filter("open").join(shared, "head", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
-    covered = stored(covered.withColumnRenamed("key", "_key"), "covered")
-    joined = pages.withColumn("_page", _page_key(id_col, url, body)).join(covered, F.col("_page") == F.col("_key"), "left").select(*pages.columns, "places")
+    need = order.select("host", "shown").distinct().groupBy("host").agg(F.greatest(F.lit(copies), F.ceil(F.count("*") * share)).alias("need"))
+    need = stored(need, "hosts")
+    # first the runs that many pages have anywhere, then those among them that fill whole blocks as often
+    filled = stored(_filled(order.join(_common(order, need), "head", "left_semi"), least), "filled")
+    runs = filled.select("*", F.explode("runs").alias("run")).select("host", "key", "shown", "block", "open", "size", "run.place", "run.head")
+    gone = _filled(runs.filter("open").join(_common(runs, need), "head", "left_semi"), least)
+    gone = stored(gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("block").alias("gone")), "gone")
+    joined = pages.withColumn("_page", _page_key(id_col, url, body)).join(gone, F.col("_page") == F.col("_key"), "left").select(*pages.columns, "gone")
     at, names = pages.columns.index(body), pages.columns
 
     def text(batches):
         for batch in batches:
             out = []
-            for page, places in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                blocks = blocks_of(page or "")
-                words, counts = _tokens(blocks)
-                gone = np.zeros(len(words) + 1, np.int64)
-                for p in set(places or []):
-                    gone[p] += 1
-                    gone[min(p + least, len(words))] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                first, kept, counts = 0, [], iter(counts)
-                for where, t in blocks:
-                    if where == "main":
+            for page, gone in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                gone, kept, n = set(gone or []), [], 0
+                for where, t in blocks_of(page or ""):
+                    if where == "main" or (where == "open" and n not in gone):
                         kept.append(t)
-                        continue
-                    n = next(counts)
-                    if where == "open":
-                        # tokens of the hashes split at ASCII space only, and so here
-                        left = " ".join(w for w, g in zip(re.split(r"[\x20\x09-\x0D]+", t), gone[first:first + n], strict=True) if not g)
-                        if left:
-                            kept.append(left)
-                    first += n
+                    n += where != "main"
                 out.append("\n".join(kept))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*names, "text"])
 

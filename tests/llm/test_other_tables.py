@@ -41,6 +41,21 @@ def test_suffix_order_decides_outside_articles(spark):
     assert {r["page_id"]: r["text"] for r in html_text.main_text(d).collect()} == {i: f"{t}\n{quote}\nbody {i}" for i, t in enumerate(own)}
 
 
+def test_only_blocks_that_many_pages_share_are_removed(spark):
+    menu, foot = "home news sport travel radio shop help", "all rights reserved by the people who made this site"
+    own = [f"The story {w} and its readers meet again {w}" for w in ("one", "two", "three", "four", "five")]
+    quote = "some eight words that a speaker said at the meeting"
+    page = lambda t: f"<ul><li>{menu}</li></ul><p>{t}</p><div>{foot}</div>"
+    rows = [(i, f"http://a.org/{i}", page(t)) for i, t in enumerate(own)]
+    rows += [(10, "http://a.org/10", page(own[0])), (11, "http://a.org/11", page(f"{own[0]}</p><p>a note"))]  # a copied page, and its text in another
+    rows += [(20 + i, f"http://a.org/{20 + i}", page(f"{quote} {w}" if i else quote)) for i, w in enumerate(("zero", "one", "two", "three"))]
+    rows += [(30 + i, f"http://b.org/{i}", page(own[0])) for i in range(4)]  # one page under four addresses
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(d).collect()}
+    want = dict(enumerate(own)) | {10: own[0], 11: f"{own[0]}\na note", 20: quote} | {20 + i: f"{quote} {w}" for i, w in ((1, "one"), (2, "two"), (3, "three"))}
+    assert got == want | {30 + i: f"{menu}\n{own[0]}\n{foot}" for i in range(4)}
+
+
 def test_chats_read_back(spark):
     odd = ["", None, "</turn>\n<turn user>\n", "\\l \\b \\\\ <\\g>", "ünï 🎈", "a\nb", "x" * 50000]
     rows = [(c, i, ["user", "assistant", "we>\nird", None][(c + i) % 4], odd[(c * 3 + i) % len(odd)]) for c in range(5) for i in range(c + 1)]
