@@ -27,31 +27,48 @@ BLOCK = frozenset("address article aside blockquote body br caption dd details d
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas".split())
 FURNITURE = frozenset("head nav footer aside form button select dialog menu".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-MARKS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header menu "
-                  "modal nav navbar navigation newsletter notice popup promo related replies reply share sharing sidebar social sponsor sponsored "
-                  "subscribe toolbar widget".split())
+ADS = frozenset("ad ads advert adverts advertisement promo sponsor sponsored".split())
+ABOUT = frozenset("comment comments disqus related replies reply".split())
+MARKS = ADS | ABOUT | frozenset("banner breadcrumb breadcrumbs consent cookie cookies footer header menu modal nav navbar navigation newsletter notice popup share sharing "
+                                "sidebar social subscribe toolbar widget".split())
+# words that a compound name may have beside its marks; any other (has, no, with, work) makes it a name of something else
+BESIDE = frozenset("area articles bar block bottom box btn button buttons form global icons item items link links list main page pages panel post posts primary section "
+                   "secondary signup site slot stories thread top unit".split())
+AROUND = frozenset("container inner outer wrap wrapper".split())
+# elements of running text: within an article only an advert's mark takes them out
+RUNNING = frozenset("a abbr b blockquote cite code em h1 h2 h3 h4 h5 h6 i mark p pre q s small span strong sub sup u".split())
 MAIN = frozenset(["article", "main"])
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _MARKED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_SPLIT = re.compile(r"[^a-zA-Z]+")
+_SPLIT = re.compile(r"[^a-zA-Z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _is_marked(attributes: str) -> bool:
-    return any(w.lower() in MARKS for m in _MARKED.findall(attributes) for w in _SPLIT.split(_CAMEL.sub(" ", "".join(m))))
+def _marks(attributes: str) -> set[str]:
+    """Marks among the names in class, id and role: whole names, or compounds of marks and the words that may stand beside them."""
+    out: set[str] = set()
+    for m in _MARKED.findall(attributes):
+        for name in "".join(m).split():
+            words = {w for w in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if w and not w[0].isdigit()}
+            marks = words & MARKS
+            if marks and words - marks <= (BESIDE | AROUND if marks & ADS else BESIDE):
+                out |= marks
+    return out
 
 
 def blocks_of(page: str) -> list[tuple[str, str]]:
     """(where, text) of the page's blocks in order; where is "main" in a marked article, "page" furniture, or "open" for the rest.
 
     White space within a block is one space. Tags may be unclosed or crossed: furniture ends where as many
-    elements of its name have ended as began, or with the page.
+    elements of its name have ended as began, or with the page. It also ends where a main element begins,
+    or an article, so a marked wrapper of the whole page hides none; but furniture in an article, nav,
+    footer and aside elements, and what is marked as comments or the like after an article hide theirs.
     """
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    main = 0
-    skip, depth = "", 0
+    main, seen = 0, False
+    skip, depth, held = "", 0, ()  # held: what begins within furniture without ending it
     at, n = 0, len(page)
 
     def end_block() -> None:
@@ -82,6 +99,9 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
             if skip == "p" and name in BLOCK and not closing:  # a paragraph ends where a block begins
                 skip = ""
                 at = m.start()
+            elif name in MAIN and not closing and name not in held:
+                skip = ""
+                main, seen = main + 1, True
             elif name == skip:
                 depth += -1 if closing else 0 if name in VOID else 1
                 if depth <= 0:
@@ -91,11 +111,16 @@ def blocks_of(page: str) -> list[tuple[str, str]]:
                 main = max(0, main - 1)
         elif name in VOID:
             pass
-        elif name in FURNITURE or (name == "header" and not main) or (m[3] and name not in ("html", "body") and name not in MAIN and _is_marked(m[3])):
-            end_block()
-            skip, depth = name, 1
         elif name in MAIN:
-            main += 1
+            main, seen = main + 1, True
+        else:
+            marks = _marks(m[3]) if m[3] and name not in ("html", "body") else set()
+            if main and name in RUNNING:
+                marks &= ADS
+            if marks or name in FURNITURE or (name == "header" and not main):
+                end_block()
+                skip, depth = name, 1
+                held = ("article", "main") if main else ("article",) if name in ("nav", "footer", "aside") or (seen and marks & ABOUT) else ()
     end_block()
     return out
 

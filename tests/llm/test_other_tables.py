@@ -21,6 +21,21 @@ def test_blocks_of_pages():
     assert b("<!-- open") == [] and b("<script>x") == [] and b("x" * 10 ** 6) == [("open", "x" * 10 ** 6)]
 
 
+def test_marked_wrappers_hide_no_article():
+    b = html_text.blocks_of
+    body = "<p>x</p><article><h1>Head</h1><p>one</p></article>"
+    for wrapper in ('class="layout has-sidebar"', 'class="no-sidebar"', 'id="page-with-header"', "class=hasSidebar", 'class="ad-free comment-free"'):
+        assert b(f"<div {wrapper}>{body}</div>") == [("open", "x"), ("main", "Head"), ("main", "one")]
+        assert b(f"<div {wrapper}><p>one</p></div>") == [("open", "one")]
+    assert b(f'<div class="header">{body}</div>') == b(f"<form>{body}</form>") == [("page", "x"), ("main", "Head"), ("main", "one")]
+    assert b('<main><div class="related-work">a</div><p class="reply">b <span class="notice">c</span></p><div class="related-posts">d</div><p class="ad">e</p></main>') == [
+        ("main", "a"), ("main", "b c"), ("page", "d"), ("page", "e")]
+    for mark in ("ad", "ad-slot", "ads_container", "ad-300x250", "cookie-banner", "site-footer", "mainNav", "comments-area", "x sidebar"):
+        assert b(f'<div class="{mark}">gone</div><p>kept') == [("page", "gone"), ("open", "kept")]
+    for hidden in ("<aside><article>a</article></aside>", "<article>t</article><div class=comments><article>a</article></div>", "<main><div class=comments><article>a</article></div></main>"):
+        assert ("page", "a") in b(hidden) and ("main", "a") not in b(hidden)
+
+
 def test_repeated_runs_of_a_host_are_removed(spark):
     menu = "home news sport weather travel radio shop help account log in"
     story = ["red foxes cross the frozen lake at dawn every winter without fear", "seven boats returned before noon with nets of silver fish for sale",
