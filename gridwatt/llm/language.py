@@ -18,6 +18,10 @@ from .common import small_batches, stored, text_slices, without_clash
 
 #: Hashed features of a text: one-, two- and three-byte runs of its lower-cased letters.
 DIMENSIONS = 8192
+#: Length classes: texts whose numbers of distinct features agree in their power of two.
+CLASSES = DIMENSIONS.bit_length()
+#: The first class of texts that are not short (256 distinct features); a single number or address outweighs the words of shorter ones.
+SHORT = 8
 UNKNOWN = "und"
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -70,7 +74,7 @@ def _vectors(column: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, int, np.n
 
 @dataclass
 class Model:
-    """Centroids, the language of each, the idf weights, and the least cosine each language accepts."""
+    """Centroids, the language of each, the idf weights, and the least cosine each language accepts in each length class."""
     languages: list[str]
     labels: np.ndarray
     centroids: np.ndarray
@@ -121,14 +125,60 @@ def _cluster(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return c
 
 
+def _length(v: np.ndarray) -> np.ndarray:
+    """Power of two of the number of distinct features; its whole part is the length class."""
+    return np.log2(np.maximum((v > 0).sum(1), 1))
+
+
+def _least(floor: np.ndarray, language: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The floors of languages at lengths, on straight lines between the middles of the classes."""
+    at = np.clip(length - 0.5, 0, CLASSES - 1)
+    low = at.astype(np.int64)
+    high = np.minimum(low + 1, CLASSES - 1)
+    return floor[language, low] + (at - low) * (floor[language, high] - floor[language, low])
+
+
+def _floors(texts: list[str], x: np.ndarray, idf: np.ndarray, clusters: int, rounds: int, slack: float, short_slack: float) -> np.ndarray:
+    """The least cosine to accept in each length class.
+
+    Each half of the texts is held against centroids of the other half, whole and cut after 1, 2, 4, ...
+    words, so that every class up to the longest text has examples. A class of few examples accepts what
+    the class below does too.
+    """
+    half = np.arange(len(texts)) % 2
+    seen: list[list[float]] = [[] for _ in range(CLASSES)]
+    for side in (0, 1):
+        other = x[half != side] if len(texts) > 1 else x
+        c = _cluster(other, clusters, rounds)
+        pieces = []
+        for t in (t for t, h in zip(texts, half, strict=True) if h == side):
+            ends, k = [m.start() for m in re.finditer(r"(?<=\S)(?!\S)", t)], 1
+            while k < len(ends):
+                pieces.append(t[:ends[k - 1]])
+                k *= 2
+            pieces.append(t)
+        for _, _, v in _vectors(pa.array(pieces, pa.string()), idf):
+            known = v.any(1)
+            for n, cosine in zip(_length(v[known]).astype(np.int64), (v[known] @ c.T).max(1), strict=True):
+                seen[n].append(float(cosine))
+    floor = np.zeros(CLASSES)
+    for n, cosines in enumerate(seen):
+        below = floor[n - 1] if n else 0.0
+        own = (slack if n >= SHORT else short_slack) * float(np.quantile(cosines, 0.01)) if cosines else below
+        floor[n] = own if len(cosines) >= 50 else min(own, below)
+    return floor
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600,
-        clusters: int = 6, rounds: int = 12, slack: float = 0.25) -> Model:
+        clusters: int = 6, rounds: int = 12, slack: float = 0.6, short_slack: float = 0.42) -> Model:
     """Learn from the labelled rows of ``docs``; rows without a label are left out.
 
     Document frequencies cover all labelled rows. The centroids of each language come from at most
     ``per_language`` of its rows (a documented bound: those with the smallest hash of ``key``), clustered
-    within one task per language. ``slack`` times the cosine that 99 % of these rows reach is the least
-    cosine the language accepts later.
+    within one task per language. Short texts share fewer features with any centroid than long ones, so the
+    least cosine that the language accepts later goes by length class: ``slack`` (``short_slack`` in short
+    classes) times what 99 % of these rows and their beginnings reach in that class against centroids they
+    are not part of.
     """
     docs = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(key, text, lang)
     df, n = document_frequency(docs, text)
@@ -145,21 +195,22 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         group = group.sort_values("key", kind="stable").head(per_language)
         parts = [v for _, _, v in _vectors(pa.array(group[text], pa.string()), idf)]
         x = np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
-        x = x[x.any(1)]
+        known = x.any(1)
+        x = x[known]
         if len(x) == 0:
             return pd.DataFrame({"lang": [], "floor": [], "vector": []})
         c = _cluster(x, clusters, rounds)
-        near = np.quantile((x @ c.T).max(1), 0.01)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": float(near) * slack, "vector": [v.astype("<f4").tobytes() for v in c]})
+        floor = _floors(list(group[text][known]), x, idf, clusters, rounds, slack, short_slack)
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "floor": [floor.tolist() for _ in c], "vector": [v.astype("<f4").tobytes() for v in c]})
 
-    learned = rows.groupBy("lang").applyInPandas(centroids, "lang string, floor double, vector binary").collect()
+    learned = rows.groupBy("lang").applyInPandas(centroids, "lang string, floor array<double>, vector binary").collect()
     learned.sort(key=lambda r: (r[0], bytes(r[2])))  # clusters rows for each language
     languages = sorted({r[0] for r in learned})
     where = {name: i for i, name in enumerate(languages)}
     vectors = [np.frombuffer(r[2], "<f4") for r in learned]
     return Model(languages, np.array([where[r[0]] for r in learned], np.int64),
                  np.stack(vectors) if vectors else np.zeros((0, DIMENSIONS), np.float32), idf,
-                 np.array([next(r[1] for r in learned if r[0] == name) for name in languages]))
+                 np.array([next(r[1] for r in learned if r[0] == name) for name in languages]).reshape(-1, CLASSES))
 
 
 def _share(spark: SparkSession, model: Model):
@@ -178,7 +229,7 @@ def _decide(column: pa.Array, model: tuple) -> tuple[np.ndarray, np.ndarray, np.
             at = cosine.argmax(1)
             found[lo:hi] = labels[at]
             score[lo:hi] = np.clip(cosine[np.arange(hi - lo), at], 0, 1)
-            accepted[lo:hi] = score[lo:hi] >= floor[found[lo:hi]]
+            accepted[lo:hi] = score[lo:hi] >= _least(floor, found[lo:hi], _length(v))
     lettered = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     found[~lettered], score[~lettered], accepted[~lettered] = -1, 0, False
     return found, score, accepted
@@ -189,7 +240,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     A null text, an empty one or one without any letter is ``und`` with score 0 and not accepted; so is
     everything if the model knows no language. A text farther from every centroid than its language
-    accepts keeps the nearest language but is not accepted. Equal texts always get equal results.
+    accepts for a text of its length keeps the nearest language but is not accepted. Equal texts always get equal results.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, awkward rows included."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -228,6 +229,22 @@ def test_language(spark):
     assert {x["lang_pred"] for x in language.predict(d.limit(3), none).collect()} == {"und"} and language.predict(d.limit(0), model).count() == 0
 
 
+def test_unlearned_languages_and_letter_junk_are_rejected(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(d.filter("doc_id % 4 <> 1"), per_language=150)
+    learned = d.filter(F.col("text").rlike("\\p{L}"))
+    assert language.predict(learned, model).filter("NOT accepted").count() == 0
+    other = ["Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita ahi quanto a dir qual era e cosa dura questa selva selvaggia e aspra e forte",
+             "Litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie",
+             "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler",
+             "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan"]
+    r = random.Random(4)
+    other += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(k)) for k in (10, 100, 2000)]
+    other += [t * 30 for t in other[:4]]
+    rows = spark.createDataFrame([(i, t, None) for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    assert [x["doc_id"] for x in language.predict(rows, model).filter("accepted").collect()] == []
+
+
 @pytest.mark.parametrize("name", ["op2_secret_scan", "op3_mix_sources", "op6_decontaminate", "op8_token_counts", "op9_chat_format"])
 def test_queries_match_their_sql(spark, name):
     from parity import duck
