@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stored, without_clash
+from .common import document_key, stored, without_clash
 
 #: What counts as a word.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -63,43 +64,50 @@ def balance(targets: DataFrame, steps: int = 25) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, id_col: str = "doc_id",
         text: str = "text", source: str = "source", shard_digits: int = 3) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, rate, copies and taken (words the mix takes).
+    """A row per document: doc_id, key, source, size, source_size, target, rate, copies and taken (words the mix takes).
 
     Rates are rounded into whole copies. Every document of a source gets floor(rate); the words still
     missing are filled with one more copy each, going through the source's documents in the order of
-    md5(doc_id). At most one document of each source, the one that the target cuts, gives only a part of
+    md5(doc_id), size and ``key``, a hash of id and text. At most one document of each source, the one that the target cuts, gives only a part of
     its last copy, so the taken words equal the rounded target and reruns agree.
 
     A hot source is never one task: the order is cut into shards by the first ``shard_digits`` digits of
-    the hash; shard sums give each shard its start, and running sums are taken within shards.
+    the hash; shard sums give each shard its start, and running sums are taken within shards. Rows without
+    an id share one hash, so they have shards of their own by size and key.
 
     Null or empty text: size 0, nothing taken. Null source: a source of its own, last. Null or repeated
     doc_id: rows of their own; equal rows share between them what falls to their place in the order. Other
     columns are not used; an empty table gives no rows.
     """
-    sized = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(text).alias("size")), "sized")
+    sized = stored(docs.select(F.col(id_col).alias("doc_id"), document_key(id_col, text).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")), "sized")
     sources = stored(balance(source_targets(sized, weights, share, cap))
                      .withColumn("base", F.floor(F.col("rate") + 1e-9))
                      .withColumn("missing", F.round("target").cast("bigint") - F.col("base") * F.col("source_size")), "targets")
+    none = hashlib.md5(b"").hexdigest()
+    # digits, then the same digits and what follows them, so that shards stand in the order of place, size and key
+    digits, by_key = F.substring("place", 1, shard_digits), F.lpad(F.hex("key"), 16, "0")
+    shard = (F.when(F.col("place") == none, F.concat(F.lit(none), F.lpad(F.col("size").cast("string"), 19, "0"), F.substring(by_key, 1, 2)))
+             .when((digits == none[:shard_digits]) & (F.col("place") > none), F.concat(digits, F.lit("~"))).otherwise(digits))
     hashed = (sized.withColumn("place", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-              .withColumn("shard", F.substring("place", 1, shard_digits)))
+              .withColumn("by_key", by_key).withColumn("shard", shard))
     shards = hashed.groupBy("source", "shard").agg(F.sum("size").alias("words"))
     starts = shards.select("source", "shard", (F.sum("words").over(W.partitionBy("source").orderBy("shard")) - F.col("words")).alias("start"))
-    within = W.partitionBy("source", "shard").orderBy("place", "size").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("source", "shard").orderBy("place", "size", "by_key").rowsBetween(W.unboundedPreceding, -1)
     placed = hashed.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.alias("p").join(stored(starts, "starts").alias("s"), F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.shard") == F.col("s.shard")))
-    placed = placed.select("p.doc_id", "p.source", "p.size", (F.col("p.before") + F.col("s.start")).alias("before"))
+    placed = placed.select("p.doc_id", "p.key", "p.source", "p.size", (F.col("p.before") + F.col("s.start")).alias("before"))
     out = placed.alias("p").join(sources.alias("t"), F.col("p.source").eqNullSafe(F.col("t.source")))
     more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("missing") - F.col("before")))
-    return out.select("p.doc_id", "p.source", "p.size", "t.source_size", "t.target", "t.rate",
+    return out.select("p.doc_id", "p.key", "p.source", "p.size", "t.source_size", "t.target", "t.rate",
                       (F.col("base") + F.when(more > 0, 1).otherwise(0)).cast("bigint").alias("copies"),
                       (F.col("base") * F.col("size") + more).cast("bigint").alias("taken"))
 
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """The documents the mix takes, with copies, taken and target added; equal rows are kept alike."""
-    plan = mix(docs, **how).groupBy("doc_id", "source").agg(F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.first("target").alias("target"))
+    plan = mix(docs, id_col=id_col, text=text, source=source, **how).groupBy("key", "source").agg(
+        F.max("copies").alias("copies"), F.max("taken").alias("taken"), F.first("target").alias("target"))
     plan = stored(plan.filter("taken > 0"), "mix").alias("m")
     base = without_clash(docs, "copies", "taken", "target").alias("d")
-    same = F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("d.source").eqNullSafe(F.col("m.source"))
+    same = (document_key(f"d.{id_col}", f"d.{text}") == F.col("m.key")) & F.col(f"d.{source}").eqNullSafe(F.col("m.source"))
     return base.join(plan, same).select("d.*", "m.copies", "m.taken", "m.target")

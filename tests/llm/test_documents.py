@@ -214,6 +214,17 @@ def test_mix_meets_targets(spark, rows, docs):
     assert out.columns == [*docs.columns, "copies", "taken", "target"] and out.filter("taken <= 0").count() == 0
 
 
+def test_mix_keeps_rows_of_one_id_apart(spark):
+    rows = [(i % 4 if i % 5 else None, " ".join(["w"] * (1 + i * 7 % 40)) + f" {i}", "s0") for i in range(40)] + [(100 + i, "a b c d", "s1") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = mixing.apply_mix(d, weights=(1, 6), share=0.5).collect()
+    plan = mixing.mix(d, weights=(1, 6), share=0.5).collect()
+    assert sorted((r["source"], r["taken"]) for r in kept) == sorted((r["source"], r["taken"]) for r in plan if r["taken"] > 0)
+    assert all(r["taken"] <= r["copies"] * len(words(r["text"])) for r in kept) and len(kept) < len(rows)
+    for s in ("s0", "s1"):
+        assert abs(sum(r["taken"] for r in kept if r["source"] == s) - next(r["target"] for r in plan if r["source"] == s)) <= 0.5
+
+
 def test_language(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = language.fit(d.filter("doc_id % 4 <> 1"), per_language=150)
