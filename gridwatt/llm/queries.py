@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets, token_counts
 from .common import stored
 
@@ -170,6 +171,12 @@ def op4_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("SELECT doc_id, CAST(COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM documents")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, found again in the flat streams that the documents were written to."""
-    flat = stored(token_counts.write_flat(_table(spark, folder, "documents")), "flat")
-    counts = token_counts.scan(flat.filter("tokens is not null"))
-    return flat.filter("doc_no is not null").select("file", "doc_no", "doc_id").join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
+    docs, folder = _table(spark, folder, "documents"), scratch_path(spark, "tokens")
+    if token_counts.mounted(spark, folder):
+        told = stored(token_counts.write_files(docs, folder), "told")
+        flat = token_counts.read_flat(spark, folder, 2)
+        counts = token_counts.scan(flat.withColumn("file", F.regexp_extract("file", r"(\d+)\.bin$", 1).cast("long")))
+    else:  # a store that only Spark writes to holds the blocks as rows
+        flat = stored(token_counts.write_flat(docs), "flat")
+        told, counts = flat.filter("doc_no is not null"), token_counts.scan(flat.filter("tokens is not null"))
+    return told.select("file", "doc_no", "doc_id").join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -11,19 +14,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small_batches, stored, text_slices
+from .common import bins, small_batches, stored, text_slices
 from .hashing import word_hashes
 
 #: Tokens of a block.
 BLOCK = 1 << 16
 
 
+def mounted(spark: SparkSession, path: str) -> bool:
+    """Whether a path is in a file system that Python reads too: a local folder, or a shared one that all machines mount."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
+
+
+def _plain(path: str) -> str:
+    return re.sub(r"^file:/*", "/", path)
+
+
 def read_flat(spark: SparkSession, path: str, width: int, block: int = BLOCK) -> DataFrame:
-    """Flat files of little-endian token identifiers of ``width`` bytes, cut into blocks: file, block, tokens."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content", "length")
-    size = block * width
-    cut = files.select("file", "content", F.explode(F.sequence(F.lit(0), F.floor((F.greatest("length", F.lit(1)) - 1) / size))).alias("block"))
-    return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
+    """Flat files of little-endian token identifiers of ``width`` bytes, cut into blocks: file, block, tokens.
+
+    In a mounted folder only names and lengths are listed; blocks are dealt over the tasks, and each task
+    reads the bytes of its own, so a file can be of any length. In another store, which only Spark reads,
+    a file is read as one row and must be below 2 GB.
+    """
+    size, ranged = block * width, mounted(spark, path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length", *([] if ranged else ["content"]))
+    last = F.floor((F.greatest("length", F.lit(1)) - 1) / size).cast("bigint")
+    cut = files.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("block"))
+    if not ranged:
+        return cut.select("file", "block", F.substring("content", (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("tokens"))
+
+    def read(batches):
+        for batch in batches:
+            names, blocks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            step = max(1, (16 << 20) // size)
+            for i in range(0, len(names), step):
+                out = []
+                for name, k in zip(names[i:i + step], blocks[i:i + step], strict=True):
+                    with open(_plain(name), "rb") as f:
+                        f.seek(k * size)
+                        out.append(f.read(size))
+                yield pa.RecordBatch.from_arrays([pa.array(names[i:i + step]), pa.array(blocks[i:i + step], pa.int64()), pa.array(out, pa.binary())], names=["file", "block", "tokens"])
+
+    dealt = cut.select("file", "block").repartition(bins(spark), "file", F.floor(F.col("block") / 16))
+    return dealt.mapInArrow(read, "file string, block long, tokens binary")
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +127,25 @@ def write_flat(docs: DataFrame, encode=word_ids, separator: int = 65535, id_col:
     return docs.select(F.col(id_col).cast("long"), text).mapInArrow(rows, "file long, block long, tokens binary, doc_no long, doc_id long")
 
 
+def write_files(docs: DataFrame, folder: str, **how) -> DataFrame:
+    """Documents as flat files N.bin in a mounted folder, one per task; gives the rows (file, doc_no, doc_id) of what went in."""
+    at, spark = _plain(folder), docs.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)  # is there, if empty, for a table without rows
+
+    def put(batches):
+        name = f"{TaskContext.get().partitionId()}.bin"
+        own = f"{at}/.{name}.{uuid.uuid4().hex}"  # hidden from readers; a task that is repeated replaces the whole file
+        with open(own, "wb") as f:
+            for batch in batches:
+                for tokens in batch.column(2).drop_null():
+                    f.write(tokens.as_py())
+                yield batch.filter(batch.column(3).is_valid()).select(["file", "doc_no", "doc_id"])
+        os.replace(own, f"{at}/{name}")
+
+    return write_flat(docs, **how).mapInArrow(put, "file long, doc_no long, doc_id long")
+
+
 def _before(df: DataFrame, sums: dict[str, Column], peaks: dict[str, Column], chunk: int) -> DataFrame:
     """Add to every block the sums and maxima over the blocks before it in its file.
 

@@ -148,6 +148,19 @@ def test_separator_scan(spark, tmp_path):
     assert token_counts.scan(blocks.limit(0)).count() == 0
 
 
+def test_flat_file_of_more_than_two_gigabytes(spark, tmp_path):
+    at, size = tmp_path / "long.bin", (1 << 31) + 6
+    with open(at, "wb") as f:  # mostly a hole
+        f.truncate(size)
+        for k in (10, 1 << 30):
+            f.seek(2 * k)
+            f.write(b"\x09\x00")
+    blocks = token_counts.read_flat(spark, str(at), 2, block=1 << 21)
+    assert blocks.rdd.getNumPartitions() > 1
+    got = {(x["doc_no"], x["n_tokens"], x["ended"]) for x in token_counts.scan(blocks, 9).collect()}
+    assert got == {(0, 10, True), (1, (1 << 30) - 11, True), (2, size // 2 - (1 << 30) - 1, False)}
+
+
 def test_public_vocabulary(spark):
     import public_tokenizers as P
     docs = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "hello world " * 5000)], "doc_id long, text string")
