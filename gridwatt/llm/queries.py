@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets, token_counts
+from . import chat, decontaminate, embeddings, html_text, language, mixing, near_duplicates, repeats, secrets, spelling, token_counts, vector_codes, warc
 from .common import stored
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -180,3 +180,78 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         flat = stored(token_counts.write_flat(docs), "flat")
         told, counts = flat.filter("doc_no is not null"), token_counts.scan(flat.filter("tokens is not null"))
     return told.select("file", "doc_no", "doc_id").join(counts, ["file", "doc_no"]).select("doc_id", "n_tokens")
+
+
+_CRC_ROW = "list_reduce(list_concat([CAST(b AS BIGINT)], range(8)), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)"
+_VARIANTS = f"""WITH RECURSIVE crc AS (SELECT list({_CRC_ROW} ORDER BY b) AS t FROM range(256) AS r(b)),
+    runs AS (SELECT COALESCE(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+    counted AS (SELECT id, run, COUNT(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY 1, 2),
+    hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(1, length(hex(id || ':' || run)), 2),
+        lambda i: CAST('0x' || substr(hex(id || ':' || run), i, 2) AS BIGINT))), lambda c, b: xor(t[1 + xor(c % 256, b)], c // 256))) AS h FROM counted, crc),
+    vocab AS (SELECT word, CAST(SUM(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+        FROM hashed) WHERE length(word) >= 7 GROUP BY 1 HAVING SUM(n) >= 2),
+    cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM vocab, UNNEST(range(1, length(word) + 1)) AS u(i)),
+    pairs AS (SELECT a.word AS word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT c.word, v.word, v.n FROM cut c JOIN vocab v ON c.rest = v.word UNION SELECT v.word, c.word, c.n FROM cut c JOIN vocab v ON c.rest = v.word),
+    best AS (SELECT word, COUNT(*) AS n_near, MAX(other_n) AS top FROM pairs GROUP BY 1),
+    form AS (SELECT p.word, MIN(p.other) AS form FROM pairs p JOIN best b ON b.word = p.word AND p.other_n = b.top GROUP BY 1),
+    told AS (SELECT v.word, v.n, COALESCE(n_near, 0) AS n_near, CASE WHEN top >= 10 * v.n THEN f.form END AS form, CASE WHEN top >= 10 * v.n THEN top END AS form_n
+      FROM vocab v LEFT JOIN best b ON b.word = v.word LEFT JOIN form f ON f.word = v.word),
+    walk AS (SELECT word, word AS at FROM told UNION ALL SELECT w.word, t.form FROM walk w JOIN told t ON t.word = w.at WHERE t.form IS NOT NULL),
+    last AS (SELECT w.word, w.at AS root FROM walk w JOIN told t ON t.word = w.at WHERE t.form IS NULL)
+    SELECT word, n, n_near, form, form_n, root FROM told JOIN last USING (word)"""
+
+
+@query(_VARIANTS)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents, the frequent word each varies and the root of that chain. Where the hash says so, a run loses a letter first."""
+    runs = spelling.letter_runs(_table(spark, folder, "documents"), least=7)
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (F.col("h") % F.length("run")).cast("int")
+    less = F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))
+    words = runs.withColumn("h", h).select(F.when(F.col("h") % 31 == 0, less).otherwise(F.col("run")).alias("word"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_BASE32 = " || ".join(f"translate(to_base(CAST('0x' || substr(h, {i}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for i in (1, 11, 21, 31))
+
+
+@query(f"""WITH p AS (SELECT page_id, octet_length(encode(COALESCE(html, ''))) AS n, sha1(COALESCE(html, '')) AS h FROM pages),
+    t AS (SELECT *, MAX(page_id) OVER (PARTITION BY h, n) AS top FROM p)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM t""")
+def op12_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written to archives, each looked up in the capture index and read back from its range."""
+    pages, at = _table(spark, folder, "pages").select("page_id", "url", "html"), scratch_path(spark, "warc")
+    index = warc.build_index(warc.write_archives(pages, at), at)
+    found = warc.fetch(spark, pages.select(warc.capture_key().alias("capture")), index, at, at)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _codes_sql() -> str:
+    """DuckDB: the rounds written out; a part is a list of whole numbers, exact in doubles."""
+    far = "list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    assign = f"""SELECT vec_id, rn, label, pos, x, entry, far FROM (SELECT p.*, b.entry, {far} AS far, row_number() OVER (PARTITION BY p.rn, p.pos ORDER BY {far}, b.entry) AS k
+      FROM part p JOIN {{book}} b ON b.pos = p.pos) WHERE k = 1"""
+    sql = """WITH kept AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rn FROM embeddings
+      WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+    whole AS (SELECT vec_id, label, rn, list_transform(embedding, lambda v: floor(1024 * CAST(v AS DOUBLE))) AS v FROM kept WHERE len(embedding) = (SELECT len(embedding) FROM kept WHERE rn = 1)),
+    part AS MATERIALIZED (SELECT vec_id, label, rn, pos, v[pos * len(v) // 4 + 1:(pos + 1) * len(v) // 4] AS x FROM whole, UNNEST(range(4)) AS u(pos)),
+    b0 AS (SELECT pos, dense_rank() OVER (ORDER BY rn) - 1 AS entry, x FROM part WHERE rn IN (SELECT rn FROM whole ORDER BY rn LIMIT 256))"""
+    for i in range(4):
+        sql += f""",
+    a{i} AS MATERIALIZED ({assign.format(book=f"b{i}")}),
+    m{i} AS (SELECT pos, entry, list(m ORDER BY j) AS x FROM (SELECT pos, entry, j, floor(SUM(x[j]) / COUNT(*)) AS m FROM a{i}, UNNEST(range(1, len(x) + 1)) AS u(j) GROUP BY 1, 2, 3) GROUP BY 1, 2),
+    b{i + 1} AS MATERIALIZED (SELECT b.pos, b.entry, COALESCE(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m ON m.pos = b.pos AND m.entry = b.entry)"""
+    return sql + f""",
+    coded AS ({assign.format(book="b4")}),
+    told AS (SELECT rn, vec_id, label, string_agg(lower(to_base(entry, 16, 2)), '' ORDER BY pos) AS code, CAST(SUM(far) AS BIGINT) AS error FROM coded GROUP BY 1, 2, 3)
+    SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY pos, entry)) FROM b4) AS codebooks_sha256 FROM told"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product codes of all embeddings after four rounds, with their errors."""
+    return vector_codes.compress(_table(spark, folder, "embeddings"))
