@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import ratio
@@ -12,6 +12,7 @@ from ..functions import holidays, measures
 from . import windows as W
 from .daily import precision_weighted_mean
 from .joins import combine_first
+from .segments import last_rows
 
 # Fixed values.
 EFFICIENCY, DISPLACING_SHARE = 0.5, 0.8
@@ -92,16 +93,12 @@ def describe_shape() -> Column:
 def seed_days(runs: DataFrame, actuals: DataFrame, keys: Sequence[str], cutoff: str, n: int = SEED_DAYS, value: str = "temp") -> DataFrame:
     """The last ``n`` actual days at or before each run's cutoff.
 
-    Days are numbered per area once; an as-of look-up finds the cutoff's number and the
-    ``n`` numbers before it are an equi-join, however long the gaps in the record.
+    Each area and cutoff is looked up once, range by range, however many runs share it and however long the gaps in
+    the record; the runs then meet it by area and cutoff.
     """
-    from .runs import asof_value
-    a = actuals.filter(F.col(value).isNotNull()).select("area", "day", value)
-    a = a.withColumn("_pos", F.row_number().over(Window.partitionBy("area").orderBy("day")))
-    at = asof_value(runs.select(*keys, "area", cutoff), a.withColumn("_p", F.col("_pos").cast("double")), ["area"], cutoff, "day", "_p")
-    want = at.filter("asof IS NOT NULL").select(*keys, "area", F.explode(
-        F.sequence(F.col("asof").cast("int") - (n - 1), F.col("asof").cast("int"))).alias("_pos"))
-    return want.join(a, ["area", "_pos"]).drop("_pos")
+    a = actuals.filter(F.col(value).isNotNull())
+    tails = last_rows(runs, a, ["area"], cutoff, "day", n, F.struct("day", value), "_rows")
+    return runs.select(*keys, "area", cutoff).join(tails, ["area", cutoff]).select(*keys, "area", F.inline("_rows"))
 
 
 def heating_demand(forecast: DataFrame, actuals: DataFrame, curves: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..common import first_row
-from .runs import latest_issue
+from .runs import latest_issue, within_hours
 
 
 def at_latest(df: DataFrame, stamp: str) -> DataFrame:
@@ -36,10 +36,9 @@ def combine_first(first: DataFrame, second: DataFrame, keys: Sequence[str], valu
 
 
 def join_members(rows: DataFrame, assignment: DataFrame, keys: Sequence[str], init: str = "init_time", tolerance_hours: int = 1) -> DataFrame:
-    """Cluster labels onto another provider's members of the same run only."""
+    """Cluster labels onto another provider's members of the same run only: the one whose init time is within the tolerance."""
     a = assignment.select(*keys, "member", "scenario", F.col(init).alias("_init"))
-    close = F.abs(F.unix_timestamp(init) - F.unix_timestamp("_init")) <= tolerance_hours * 3600
-    return rows.join(a, [*keys, "member"]).filter(close).drop("_init")
+    return within_hours(rows, a, [*keys, "member"], init, "_init", tolerance_hours).drop("_init")
 
 
 def pair_series(x: DataFrame, y: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..common import ratio
 from ..functions import measures, time
 from ..sources.views import LABELS, REGIMES
+from . import segments as S
 from . import windows as W
 
 NO_REGIME = "no"
@@ -111,8 +112,8 @@ def ensemble_index(long_iwr: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def regime_climatology(days: DataFrame, keys: Sequence[str], window: int = 7) -> DataFrame:
-    """Share of each regime around each day of year."""
-    c = W.clean_singles(days, keys, "day", "regime").withColumn("doy", time.doy365(F.col("day")))
+    """Share of each regime around each day of year, after dropping one-day flips of the record."""
+    c = S.clean_singles(days, keys, "day", "regime").withColumn("doy", time.doy365(F.col("day")))
     return W.circular_doy_frequency(c, keys, "doy", "regime", window)
 
 
@@ -137,9 +138,7 @@ def transitions(ep: DataFrame, keys: Sequence[str], share_over: Sequence[str], m
 
     Only destinations that last count; with a season the destination must start inside it.
     """
-    w = Window.partitionBy(*keys).orderBy("episode")
-    n = F.lead(F.struct("regime", "length", "first")).over(w)
-    x = ep.withColumn("_n", n).select(*keys, F.col("regime").alias("from_regime"), F.col("_n.regime").alias("to_regime"),
+    x = S.following(ep, keys, "episode", F.struct("regime", "length", "first"), "_n").select(*keys, F.col("regime").alias("from_regime"), F.col("_n.regime").alias("to_regime"),
                                       F.col("_n.length").alias("_len"), F.col("_n.first").alias("_start"))
     x = x.filter(F.col("_len") >= min_days)
     if season_doy is not None:
@@ -150,11 +149,11 @@ def transitions(ep: DataFrame, keys: Sequence[str], share_over: Sequence[str], m
     return g.withColumn("share", F.col("n") / total * 100)
 
 
-def window_climatology(clim: DataFrame, run_days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Climatological share of each regime averaged over a run's forecast days."""
+def window_climatology(clim: DataFrame, run_days: DataFrame, keys: Sequence[str], series: Sequence[str] = ()) -> DataFrame:
+    """Climatological share of each regime averaged over a run's forecast days; ``series`` are keys of both that tell records apart."""
     d = run_days.select(*keys, "day").distinct().withColumn("doy", time.doy365(F.col("day")))
     n = d.groupBy(*keys).agg(F.count("*").alias("_days"))
-    g = d.join(clim.select("doy", "regime", "share"), "doy").groupBy(*keys, "regime").agg(F.sum("share").alias("_s"))
+    g = d.join(clim.select(*series, "doy", "regime", "share"), [*series, "doy"]).groupBy(*keys, "regime").agg(F.sum("share").alias("_s"))
     return g.join(n, list(keys)).select(*keys, "regime", (F.col("_s") / F.col("_days")).alias("clim_share"))
 
 

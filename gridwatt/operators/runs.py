@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import first_row, require
 from ..functions import names
+from .segments import carry_forward
 
 
 def rank_runs(runs: DataFrame, keys: Sequence[str], newest: Sequence[Column], keep: int | None = None) -> DataFrame:
@@ -27,44 +28,62 @@ def rank_runs(runs: DataFrame, keys: Sequence[str], newest: Sequence[Column], ke
 def match_runs(forecast: DataFrame, runs: DataFrame, pattern: Column, tolerance_hours: int = 3) -> DataFrame:
     """Rows belonging to a kept run: same pattern, issue stamp within the tolerance.
 
-    The pattern is read off the curve name first, so the join is an equi-join with a
-    range condition on the side rather than a nested loop over LIKE.
+    The pattern is read off the curve name first, and rows meet by pattern and piece of time, so a
+    pattern with a third of all rows is as many groups as it has pieces.
     """
     require(runs, "pattern", "reference_date")
     f = forecast.withColumn("_pattern", pattern)
-    r = runs.withColumnRenamed("reference_date", "run_reference")
-    gap = F.abs(F.unix_timestamp("reference_date") - F.unix_timestamp("run_reference"))
-    return (f.join(r, (F.col("_pattern") == F.col("pattern")) & (gap <= tolerance_hours * 3600))
-            .drop("_pattern"))
+    r = runs.withColumnRenamed("reference_date", "run_reference").withColumn("_pattern", F.col("pattern"))
+    return within_hours(f, r, ["_pattern"], "reference_date", "run_reference", tolerance_hours).drop("_pattern")
+
+
+def within_hours(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, hours: int) -> DataFrame:
+    """Rows of both sides with equal keys whose times are at most ``hours`` apart, bounds included.
+
+    An interval join as an equi-join: time is cut into pieces of the tolerance, a row of the right side (the smaller
+    one, say runs) is filed under its own piece and both neighbours, a row of the left side under its own only, so a pair
+    meets once. The exact distance is checked after. NULL times or keys match nothing.
+    """
+    width = max(1, hours * 3_600_000_000)
+
+    def micros(c: str) -> Column:
+        return F.unix_micros(F.col(c).cast("timestamp"))
+
+    a = left.withColumn("_piece", F.floor(micros(left_time) / width).cast("long"))
+    own = F.floor(micros(right_time) / width).cast("long")
+    b = right.withColumn("_piece", F.explode(F.array(own - 1, own, own + 1)))
+    near = F.abs(micros(left_time) - micros(right_time)) <= hours * 3_600_000_000
+    return a.join(b, [*keys, "_piece"]).filter(near).drop("_piece")
 
 
 def asof_run(wanted: DataFrame, runs: DataFrame, keys: Sequence[str], want: str = "wanted", init: str = "init_time",
              strict: bool = False) -> DataFrame:
     """For every wanted time the latest run at or before it (before it when strict).
 
-    Both sides are one row per run. They are stacked and scanned once in time order,
-    so a key with many runs costs a sort, not a product of its runs with its wishes.
+    Both sides are one row per run. They are stacked and scanned in time order, range by range, so a key
+    with many runs costs sorts of its ranges, not a product of its runs with its wishes.
     ``found`` is NULL where no run is early enough; ``exact`` tells a direct hit.
     """
     want_rows = wanted.select("*", F.col(want).alias("_t"), F.lit(1).alias("_want"), F.lit(None).cast("timestamp").alias("_run"))
     run_rows = runs.select(*keys, init).distinct().select(
         *keys, F.col(init).cast("timestamp").alias("_t"), F.lit(0).alias("_want"), F.col(init).cast("timestamp").alias("_run"))
     both = want_rows.unionByName(run_rows, allowMissingColumns=True)
+    both = both.withColumn("_t", F.col("_t").cast("timestamp"))
     tie = F.col("_want").desc() if strict else F.col("_want").asc()
-    w = Window.partitionBy(*keys).orderBy("_t", tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (both.withColumn("found", F.last("_run", ignorenulls=True).over(w)).filter("_want = 1"))
+    out = carry_forward(both, keys, "_t", tie, "_run", "found").filter("_want = 1")
     return out.withColumn("exact", F.coalesce(F.col("found") == F.col(want), F.lit(False))).drop("_t", "_want", "_run")
 
 
 def asof_value(points: DataFrame, series: DataFrame, keys: Sequence[str], at: str, time_col: str, value_col: str) -> DataFrame:
-    """Last value of a series at or before each point."""
+    """Last value of a series at or before each point; of several at one time, the greatest.
+
+    Both sides are stacked and read range by range: the last value of each range is carried over the ranges, then within.
+    """
     p = points.select("*", F.col(at).alias("_t"), F.lit(1).alias("_want"), F.lit(None).cast("double").alias("_v"))
     s = series.filter(F.col(value_col).isNotNull()).select(
         *keys, F.col(time_col).alias("_t"), F.lit(0).alias("_want"), F.col(value_col).cast("double").alias("_v"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_want").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = p.unionByName(s, allowMissingColumns=True)
-    return (both.withColumn("asof", F.last("_v", ignorenulls=True).over(w)).filter("_want = 1")
-            .drop("_t", "_want", "_v"))
+    return carry_forward(both, keys, "_t", F.col("_want").asc(), "_v", "asof").filter("_want = 1").drop("_t", "_want", "_v")
 
 
 def latest_issue(df: DataFrame, keys: Sequence[str], issue: str) -> DataFrame:
@@ -134,4 +153,4 @@ def issue_change(forecast: DataFrame, keys: Sequence[str], first_day: str, last_
 
 
 __all__ = ["asof_run", "asof_value", "average_runs", "issue_change", "last_n_issues", "latest_by_model", "latest_issue",
-           "match_runs", "rank_runs", "run_completeness"]
+           "match_runs", "rank_runs", "run_completeness", "within_hours"]

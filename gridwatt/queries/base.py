@@ -67,9 +67,9 @@ SQL_VIEWS = {
         FROM (SELECT *, unnest(range(len(embedding))) AS pos FROM embeddings)""",
     "v_index": """SELECT 'IDX_' || o_orderstatus AS index_name, CAST(o_orderdate AS DATE) AS day,
             AVG(o_totalprice) / 99713.1 AS value FROM orders GROUP BY 1, 2""",
-    "v_regday": f"""SELECT day, {_list(LABELS)}[1 + CASE WHEN n % 5 = 0 THEN (base + 1) % 8 ELSE base END] AS regime FROM (
-            SELECT day, n, ((day - DATE '1995-01-01') // 9 * 5 + (day - DATE '1995-01-01') // 9 // 3) % 8 AS base FROM (
-            SELECT CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM orders GROUP BY 1))""",
+    "v_regday": f"""SELECT area, day, {_list(LABELS)}[1 + CASE WHEN n % 5 = 0 THEN (base + 1) % 8 ELSE base END] AS regime FROM (
+            SELECT area, day, n, ((day - DATE '1992-01-01') // 9 * 5 + (day - DATE '1992-01-01') // 9 // 3 + length(area)) % 8 AS base FROM (
+            SELECT region AS area, CAST(o_orderdate AS DATE) AS day, COUNT(*) AS n FROM v_oa GROUP BY 1, 2))""",
     "v_hydro": """SELECT area, day, actual + cos(dayofyear(day) * 0.0172) * 5 + 40 AS value FROM v_hist""",
     "v_cell": "SELECT 35.0 + 4.0 * (pos // 8) AS latitude, -15.0 + 6.0 * (pos % 8) AS longitude "
               "FROM (SELECT unnest(range(64)) AS pos)",

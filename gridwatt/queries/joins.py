@@ -20,7 +20,15 @@ def c1_attach_normal(t):
     return D.attach_normal(t.member(), n, ["area", "day"]).select("reference_date", "area", "day", "member", "value", "normal")
 
 
-@query("""SELECT o_orderkey, r.pattern, r.run_reference FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 HOUR * CAST(o_custkey % 6 AS INTEGER) AS ref,
+#: Minutes between a row's stamp and midnight: inside, at the edge of and beyond tolerances of one and three hours.
+_GAPS = [0, 59, 61, 179, 180, 181, -59, -179, -181]
+
+
+def _gap(key: str):
+    return F.make_dt_interval(mins=F.get(F.array(*[F.lit(g) for g in _GAPS]), (F.col(key) % len(_GAPS)).cast("int")))
+
+
+@query(f"""SELECT o_orderkey, r.pattern, r.run_reference FROM (SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 1 MINUTE * CAST({_GAPS}[1 + o_custkey % {len(_GAPS)}] AS INTEGER) AS ref,
     ['ec00ens', 'ec12ens', 'gfs00ens', 'ec00', 'gfs00'][CAST(substr(o_orderpriority, 1, 1) AS INTEGER)] AS pattern FROM orders) o
   JOIN (SELECT DISTINCT pattern, CAST(reference_date AS TIMESTAMP) AS run_reference FROM v_morning) r ON r.pattern = o.pattern
    AND o.ref BETWEEN r.run_reference - INTERVAL 3 HOURS AND r.run_reference + INTERVAL 3 HOURS""")
@@ -28,7 +36,7 @@ def c2_match_runs(t):
     from ..sources.views import PATTERNS
     p = F.get(F.array(*[F.lit(p) for p in PATTERNS]), F.substring("o_orderpriority", 1, 1).cast("int") - 1)
     fc = t.raw("orders").select("o_orderkey", F.concat(F.lit("tt de "), p, F.lit(" f")).alias("curve_name"),
-                                (F.col("o_orderdate").cast("timestamp") + F.make_interval(hours=(F.col("o_custkey") % 6).cast("int"))).alias("reference_date"))
+                                (F.col("o_orderdate").cast("timestamp") + _gap("o_custkey")).alias("reference_date"))
     runs = t.morning().select("pattern", F.col("reference_date").cast("timestamp").alias("reference_date")).distinct()
     return R.match_runs(fc, runs, names.classify_by_pattern(F.col("curve_name"), PATTERNS)).select("o_orderkey", "pattern", "run_reference")
 
@@ -113,15 +121,18 @@ def c12_combine_first(t):
     return J.combine_first(r.filter("data_type = 'actual'"), r.filter("data_type = 'forecast'"), ["station_key", "day"], "value")
 
 
-@query("""SELECT m.reference_date, m.area, m.day, m.member, value, label AS scenario FROM v_member m
-  JOIN (SELECT member, reference_date, ntile(2) OVER (PARTITION BY reference_date ORDER BY AVG(value), member) AS label FROM v_member WHERE area = 'ASIA' GROUP BY 1, 2) a
-  ON a.reference_date = m.reference_date AND a.member = m.member""", f="value", i="member scenario", keep="member")
+@query(f"""SELECT m.reference_date, m.area, m.day, m.member, value, label AS scenario FROM v_member m
+  JOIN (SELECT member, reference_date, CAST(reference_date AS TIMESTAMP) + INTERVAL 1 MINUTE * CAST({_GAPS}[1 + member % {len(_GAPS)}] AS INTEGER) AS init,
+      ntile(2) OVER (PARTITION BY reference_date ORDER BY AVG(value), member) AS label FROM v_member WHERE area = 'ASIA' GROUP BY 1, 2) a
+  ON a.member = m.member AND CAST(m.reference_date AS TIMESTAMP) BETWEEN a.init - INTERVAL 1 HOUR AND a.init + INTERVAL 1 HOUR""", f="value", i="member scenario", keep="member")
 def c13_join_members(t):
+    """The other provider stamps its runs up to three hours off; only stamps within one hour are the same run."""
     from pyspark.sql import Window
     m = t.member().withColumn("init_time", F.col("reference_date").cast("timestamp"))
     a = m.filter("area = 'ASIA'").groupBy("reference_date", "member", "init_time").agg(F.avg("value").alias("v"))
     a = a.withColumn("scenario", F.ntile(2).over(Window.partitionBy("reference_date").orderBy("v", "member")))
-    return J.join_members(m, a, ["reference_date"]).select("reference_date", "area", "day", "member", "value", "scenario")
+    a = a.withColumn("init_time", F.col("init_time") + _gap("member"))
+    return J.join_members(m, a, []).select("reference_date", "area", "day", "member", "value", "scenario")
 
 
 @query("SELECT area, a.day, actual, index_name, value FROM v_hist a JOIN v_index i ON i.day = a.day", f="actual value")

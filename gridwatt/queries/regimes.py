@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions.time import doy365
 from ..operators import regimes as H
+from ..operators import segments as S
 from ..operators import windows as W
 from ..plans import regimes as P
 from ..sources import views as V
 from .base import query
-from .windows import _CLEAN, _DOY, _EP, _FREQ, one_series
+from .windows import _CLEAN, _DOY, _EP, _FREQ
 
 
 @query("SELECT run, reference_date, day, lead_day, member, regime, raw FROM v_raw", f="raw", i="lead_day member")
@@ -68,41 +69,41 @@ def h6_ensemble_index(t):
 
 @query(_FREQ.format(src=_CLEAN), f="share", i="doy n")
 def h7_regime_climatology(t):
-    return H.regime_climatology(one_series(t.regime_days()), ["series"]).drop("series")
+    return H.regime_climatology(t.regime_days(), ["area"])
 
 
-@query("SELECT COUNT(DISTINCT year(day)) AS years, MIN(day) AS first_day, MAX(day) AS last_day FROM v_regday", i="years")
+@query("SELECT area, COUNT(DISTINCT year(day)) AS years, MIN(day) AS first_day, MAX(day) AS last_day FROM v_regday GROUP BY 1", i="years")
 def h7_record_span(t):
-    return H.record_span(one_series(t.regime_days()), ["series"]).drop("series")
+    return H.record_span(t.regime_days(), ["area"])
 
 
 def _episodes(t):
-    return W.episodes(W.clean_singles(one_series(t.regime_days()), ["series"], "day", "regime"), ["series"], "day", "regime")
+    return S.episodes(S.clean_singles(t.regime_days(), ["area"], "day", "regime"), ["area"], "day", "regime")
 
 
-@query(f"""SELECT regime, COUNT(*) AS n, AVG(length) AS mean, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.75) AS p75 FROM ({_EP})
-  WHERE regime <> 'no' AND length >= 5 GROUP BY 1""", f="mean p25 p75", i="n")
+@query(f"""SELECT area, regime, COUNT(*) AS n, AVG(length) AS mean, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.75) AS p75 FROM ({_EP})
+  WHERE regime <> 'no' AND length >= 5 GROUP BY 1, 2""", f="mean p25 p75", i="n")
 def h8_persistence(t):
-    return H.persistence(_episodes(t), ["series"]).drop("series")
+    return H.persistence(_episodes(t), ["area"])
 
 
 _DOYF = _DOY.replace("day)", "first)")
 
 
-@query(f"""SELECT regime, COUNT(*) AS n, AVG(length) AS mean, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.75) AS p75 FROM ({_EP})
-  WHERE regime <> 'no' AND length >= 5 AND least(abs({_DOYF} - 20), 365 - abs({_DOYF} - 20)) <= 30 GROUP BY 1""", f="mean p25 p75", i="n")
+@query(f"""SELECT area, regime, COUNT(*) AS n, AVG(length) AS mean, quantile_cont(length, 0.25) AS p25, quantile_cont(length, 0.75) AS p75 FROM ({_EP})
+  WHERE regime <> 'no' AND length >= 5 AND least(abs({_DOYF} - 20), 365 - abs({_DOYF} - 20)) <= 30 GROUP BY 1, 2""", f="mean p25 p75", i="n")
 def h8_persistence_season(t):
     ep = W.season_filter(_episodes(t).withColumn("doy", doy365(F.col("first"))), "doy", 20)
-    return H.persistence(ep, ["series"]).drop("series")
+    return H.persistence(ep, ["area"])
 
 
 _TR = """SELECT {k}from_regime, to_regime, COUNT(*) AS n, COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (PARTITION BY {p}) AS share FROM (
   SELECT {k}regime AS from_regime, lead(regime) OVER w AS to_regime, lead(length) OVER w AS len FROM ({ep}) WINDOW w AS ({o}ORDER BY episode)) WHERE len >= {m} GROUP BY {k}from_regime, to_regime"""
 
 
-@query(_TR.format(k="", p="from_regime", ep=_EP, o="", m=4), f="share", i="n")
+@query(_TR.format(k="area, ", p="area, from_regime", ep=_EP, o="PARTITION BY area ", m=4), f="share", i="n")
 def h9_transitions(t):
-    return H.transitions(_episodes(t), ["series"], ["series", "from_regime"]).drop("series")
+    return H.transitions(_episodes(t), ["area"], ["area", "from_regime"])
 
 
 _WEP = f"""SELECT run, member, episode, regime, COUNT(*) AS length FROM (SELECT *, SUM(c) OVER (PARTITION BY run, member ORDER BY day) AS episode FROM (
@@ -118,17 +119,20 @@ def h9_member_transitions(t):
     return H.transitions(_member_episodes(t), ["run", "member"], ["run"], min_days=2)
 
 
-@query(f"""WITH c AS ({_FREQ.format(src=_CLEAN)}), d AS (SELECT run, day, {_DOY} AS doy, COUNT(*) OVER (PARTITION BY run) AS nd FROM (SELECT DISTINCT run, day FROM v_wr)),
-  cl AS (SELECT run, regime, SUM(share) / MAX(nd) AS clim_share FROM d JOIN c USING (doy) GROUP BY 1, 2),
-  s AS (SELECT run, regime, SUM(share) / (SELECT COUNT(DISTINCT day) FROM v_wr x WHERE x.run = y.run) AS share FROM ({_SHARES}) y GROUP BY 1, 2)
-  SELECT run, regime, COALESCE(share, 0) AS share, COALESCE(clim_share, 0) AS clim_share, COALESCE(share, 0) - COALESCE(clim_share, 0) AS departure
-  FROM s FULL JOIN cl USING (run, regime)""", f="share clim_share departure")
+@query(f"""WITH c AS ({_FREQ.format(src=_CLEAN)}), a AS (SELECT r_regionkey, r_name AS area FROM region),
+  d AS (SELECT run, area, day, {_DOY} AS doy, COUNT(*) OVER (PARTITION BY run) AS nd FROM (SELECT DISTINCT run, day FROM v_wr) JOIN a ON r_regionkey = run % 5),
+  cl AS (SELECT run, area, regime, SUM(share) / MAX(nd) AS clim_share FROM d JOIN c USING (area, doy) GROUP BY 1, 2, 3),
+  s AS (SELECT run, area, regime, SUM(share) / (SELECT COUNT(DISTINCT day) FROM v_wr x WHERE x.run = y.run) AS share FROM ({_SHARES}) y JOIN a ON r_regionkey = run % 5 GROUP BY 1, 2, 3)
+  SELECT run, area, regime, COALESCE(share, 0) AS share, COALESCE(clim_share, 0) AS clim_share, COALESCE(share, 0) - COALESCE(clim_share, 0) AS departure
+  FROM s FULL JOIN cl USING (run, area, regime)""", f="share clim_share departure")
 def h10_window_climatology(t):
-    clim = H.regime_climatology(one_series(t.regime_days()), ["series"])
-    m = P.member_table(t)
-    days = m.select("run", "day").distinct()
-    cl = H.window_climatology(clim, days, ["run"])
-    return H.share_departure(H.member_shares(m, ["run"]), cl, ["run"], days.groupBy("run").agg(F.count("*").alias("n_days")))
+    """Each run against the record of its own area."""
+    clim, keys = H.regime_climatology(t.regime_days(), ["area"]), ["run", "area"]
+    area = t.raw("region").select(F.col("r_regionkey").alias("_key"), F.col("r_name").alias("area"))
+    m = P.member_table(t).withColumn("_key", F.col("run") % 5).join(area, "_key").drop("_key")
+    days = m.select(*keys, "day").distinct()
+    cl = H.window_climatology(clim, days, keys, ["area"])
+    return H.share_departure(H.member_shares(m, keys), cl, keys, days.groupBy(*keys).agg(F.count("*").alias("n_days")))
 
 
 @query(f"""SELECT * FROM (SELECT run, regime, length, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY run, regime) AS episodes FROM ({_WEP}) WHERE regime <> 'no' GROUP BY 1, 2, 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.time import doy365
 from ..operators import picks as K
 from ..operators import runs as R
+from ..operators import segments as S
 from ..operators import windows as W
 from .base import query
 
@@ -72,39 +73,33 @@ def e7_e14_forward_sum_and_diff(t):
     return W.diff(x, ["area"], "day", "actual", "step").select("area", "day", "ahead", "step")
 
 
-_CLEAN = """SELECT day, CASE WHEN b IS NOT NULL AND a IS NOT NULL AND regime <> b AND regime <> a THEN 'no' ELSE regime END AS regime
-  FROM (SELECT day, regime, lag(regime) OVER (ORDER BY day) AS b, lead(regime) OVER (ORDER BY day) AS a FROM v_regday)"""
-
-
-def one_series(df):
-    """The classified days as one keyed series."""
-    return df.withColumn("series", F.lit("reanalysis"))
+_CLEAN = """SELECT area, day, CASE WHEN b IS NOT NULL AND a IS NOT NULL AND regime <> b AND regime <> a THEN 'no' ELSE regime END AS regime
+  FROM (SELECT area, day, regime, lag(regime) OVER w AS b, lead(regime) OVER w AS a FROM v_regday WINDOW w AS (PARTITION BY area ORDER BY day))"""
 
 
 @query(_CLEAN)
 def e8_clean_singles(t):
-    return W.clean_singles(one_series(t.regime_days()), ["series"], "day", "regime").select("day", "regime")
+    return S.clean_singles(t.regime_days(), ["area"], "day", "regime").select("area", "day", "regime")
 
 
-_EP = f"""SELECT episode, regime, COUNT(*) AS length, MIN(day) AS first, MAX(day) AS last FROM (SELECT day, regime, SUM(c) OVER (ORDER BY day) AS episode FROM (
-  SELECT day, regime, CASE WHEN regime IS NOT DISTINCT FROM lag(regime) OVER (ORDER BY day) THEN 0 ELSE 1 END AS c FROM ({_CLEAN}))) GROUP BY 1, 2"""
+_EP = f"""SELECT area, episode, regime, COUNT(*) AS length, MIN(day) AS first, MAX(day) AS last FROM (SELECT *, SUM(c) OVER (PARTITION BY area ORDER BY day) AS episode FROM (
+  SELECT *, CASE WHEN regime IS NOT DISTINCT FROM lag(regime) OVER (PARTITION BY area ORDER BY day) THEN 0 ELSE 1 END AS c FROM ({_CLEAN}))) GROUP BY 1, 2, 3"""
 
 
 @query(_EP, i="episode length")
 def e9_episodes(t):
-    c = W.clean_singles(one_series(t.regime_days()), ["series"], "day", "regime")
-    return W.episodes(c, ["series"], "day", "regime").drop("series")
+    return S.episodes(S.clean_singles(t.regime_days(), ["area"], "day", "regime"), ["area"], "day", "regime")
 
 
 _DOY = "dayofyear(day) - CASE WHEN month(day) > 2 AND dayofyear(make_date(year(day), 12, 31)) = 366 THEN 1 ELSE 0 END"
-_FREQ = f"""SELECT doy, regime, n, n * 100.0 / SUM(n) OVER (PARTITION BY doy) AS share FROM (
-  SELECT (d - 1 + o + 365) % 365 + 1 AS doy, regime, COUNT(*) AS n FROM (SELECT {_DOY} AS d, regime FROM ({{src}})), (SELECT unnest(range(-7, 8)) AS o) GROUP BY 1, 2)"""
+_FREQ = f"""SELECT area, doy, regime, n, n * 100.0 / SUM(n) OVER (PARTITION BY area, doy) AS share FROM (
+  SELECT area, (d - 1 + o + 365) % 365 + 1 AS doy, regime, COUNT(*) AS n FROM (SELECT area, {_DOY} AS d, regime FROM ({{src}})), (SELECT unnest(range(-7, 8)) AS o) GROUP BY 1, 2, 3)"""
 
 
 @query(_FREQ.format(src="SELECT * FROM v_regday"), f="share", i="doy n")
 def e10_circular_doy_frequency(t):
     d = t.regime_days().withColumn("doy", doy365(F.col("day")))
-    return W.circular_doy_frequency(d, [], "doy", "regime")
+    return W.circular_doy_frequency(d, ["area"], "doy", "regime")
 
 
 _YM = "SELECT area, year(day) AS year, month(day) AS month, AVG(actual) AS value FROM v_hist GROUP BY 1, 2, 3"
@@ -132,7 +127,7 @@ def e13_gap_fill(t):
     return a.join(b, ["area", "day"])
 
 
-@query(f"SELECT day, regime FROM v_regday WHERE least(abs({_DOY} - 350), 365 - abs({_DOY} - 350)) <= 30")
+@query(f"SELECT area, day, regime FROM v_regday WHERE least(abs({_DOY} - 350), 365 - abs({_DOY} - 350)) <= 30")
 def e15_season_filter(t):
     return W.season_filter(t.regime_days().withColumn("doy", doy365(F.col("day"))), "doy", 350).drop("doy")
 
