@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..sources.tables import dedupe_last, read_if_there, require_min_members, skip_loaded_runs, upsert_partitions
+from ..sources.tables import dedupe_last, read_if_there, upsert_partitions
 
 # How far back each feed re-sends its rows, in days.
 REVISION_DAYS = {"load": 45, "snow": 30, "indices": 90}
@@ -60,32 +60,3 @@ def stream_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, delay: str) -
 def revision_delay(feed: str) -> str:
     """Watermark delay as long as the feed's revision window."""
     return f"{REVISION_DAYS[feed]} days"
-
-
-def new_runs(path: str, run_keys: Sequence[str], min_members: int, build: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that builds each run once it has enough members, from all its rows.
-
-    Every batch's rows go to a staging folder beside the table, one folder per batch, so a run that
-    arrives in pieces is complete when its pieces together are. A complete run is built from all staged
-    rows; members that arrive later rebuild it. The table is partitioned by the run keys and a run is
-    written by overwriting its own partition, so a replayed batch changes nothing. Runs that the table
-    holds without having been completed here are left as they are.
-    """
-    stage = f"{path.rstrip('/')}__rows"
-
-    def append(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{stage}/batch={number}")
-        rows = spark.read.option("basePath", stage).parquet(stage).filter(F.col("batch") <= number)
-        fresh = rows.filter(F.col("batch") == number).select(*run_keys).distinct()
-        before = require_min_members(rows.filter(F.col("batch") < number), run_keys, min_members).select(*run_keys).distinct()
-        rows = rows.drop("batch")
-        due = require_min_members(rows, run_keys, min_members)
-        due = due.join(fresh, [due[k].eqNullSafe(fresh[k]) for k in run_keys], "left_semi")
-        stored = read_if_there(spark, path)
-        if stored is not None:
-            stored = stored.select(*run_keys).distinct()
-            foreign = stored.join(before, [stored[k].eqNullSafe(before[k]) for k in run_keys], "left_anti")
-            due = skip_loaded_runs(due, foreign, run_keys)
-        (build(due).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*run_keys).parquet(path))
-    return append
