@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, stored
-from ..sources import readers, tables
+from ..sources import panels, readers, tables
 from .base import query
 
 
@@ -20,6 +22,60 @@ def a1_wide_indices(t):
     return readers.wide_indices_to_long(wide, "Date", 1996, "panel")
 
 
+_LEVELS = """SELECT day, 'country' AS level, area AS region, 'total' AS band, actual AS t, CASE WHEN day(day) % 3 > 0 THEN actual / 10 END AS m, 300 AS pixel FROM v_hist
+    UNION ALL SELECT day, 'catchment', area, 'total', actual * 3, NULL, 100 FROM v_hist
+    UNION ALL SELECT day, 'heightband', area, 'b' || k, actual * k, CASE WHEN day(day) % 3 > 0 THEN actual * k / 10 END, 100 FROM v_hist, (SELECT unnest([1, 2]) AS k)
+    UNION ALL SELECT day, 'alps', 'Alps', 'total', SUM(actual), NULL, 300 FROM v_hist GROUP BY 1"""
+
+
+@query(f"""SELECT day, level, region, band, t AS swe_total, m AS swe_mean_mm, t * 2 AS swe_total_roll, m * 2 AS swe_mean_roll_mm, pixel AS pixel_size_m,
+    CASE WHEN month(day) >= 8 THEN year(day) || '/' || (year(day) + 1) ELSE (year(day) - 1) || '/' || year(day) END AS winter_season,
+    day - make_date(CASE WHEN month(day) >= 8 THEN year(day) ELSE year(day) - 1 END, 10, 1) + 1 AS day_of_winter FROM ({_LEVELS})""",
+       f="swe_total swe_mean_mm swe_total_roll swe_mean_roll_mm", i="pixel_size_m day_of_winter")
+def a2_panel_files(t):
+    """Files of all four levels, written from the daily history: one- and two-row headers, rolled twins, days sent twice, both date forms."""
+    areas = [r[0] for r in t.raw("region").select("r_name").orderBy("r_name").collect()]  # they head the columns
+    d = t.hist().groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("area", "actual"))).alias("v"), F.sum("actual").alias("all"))
+    day = F.when(F.dayofmonth("day") % 2 == 0, F.date_format("day", "yyyy-MM-dd")).otherwise(F.date_format("day", "MM/dd/yyyy"))
+    got = lambda a: F.try_element_at(F.col("v"), F.lit(a))
+    pair = lambda x: [x, x * 2]
+    columns = {
+        "t-SWE_countries": ([["country", *[a for a in areas for _ in "xx"]], ["band", *["total", "total_roll"] * len(areas)]], [c for a in areas for c in pair(got(a))]),
+        "m-SWE_countries": ([["country", *[a for a in areas for _ in "xx"]], ["band", *["total", "total_roll"] * len(areas)]], [c for a in areas for c in pair(got(a) / 10)]),
+        "t-SWE_catchments": ([["date", *[n for a in areas for n in (a, a + "_roll")]]], [c for a in areas for c in pair(got(a) * 3)]),
+        "t-SWE": ([["date", "SWE_raw", "SWE_roll"]], pair(F.col("all"))),
+    }
+    for a in areas:
+        for kind, by in (("t", 1), ("m", 10)):
+            columns[f"{kind}-{a}_heightbands"] = ([["date", "b1", "b1_roll", "b2", "b2_roll"]], [c for k in (1, 2) for c in pair(got(a) * k / by)])
+    texts, heads = [], []
+    for name, (head, values) in columns.items():
+        file, twice, there = f"{name}_timeseries.csv", F.dayofmonth("day") == 1, F.lit(True) if name[0] == "t" else F.dayofmonth("day") % 3 > 0
+        for n, extra, shown in ((0, 1000, there & twice), (1, 0, there)):
+            text = F.concat_ws(",", day, *[F.coalesce((v + extra).cast("string"), F.lit("")) for v in values])
+            texts.append(F.when(shown, F.struct(F.lit(file).alias("file"), (F.unix_date("day").cast("long") * 2 + n).alias("place"), text.alias("text"))))
+        heads += [(file, -10 ** 9 + i, ",".join(h)) for i, h in enumerate(head)]
+    lines = d.select(F.inline(F.array_compact(F.array(*texts)))).unionByName(t.spark.createDataFrame(heads, "file string, place long, text string"))
+    folder = scratch_path(t.spark, "panels")
+    panels.write_lines(lines, folder)
+    return panels.read_panels(t.spark, folder)
+
+
+@query("SELECT area, latitude, longitude, population FROM v_weights", f="latitude longitude", i="population")
+def a3_dimension_once(t):
+    """The population table is read from its file the first time; what the file says later does not count."""
+    name, folder = f"gridwatt_population_{uuid.uuid4().hex}", scratch_path(t.spark, "population")
+    w = t.weights().select("area", "latitude", "longitude", "population")
+    need = ["area", "latitude", "longitude", "population"]
+    w.write.csv(folder, header=True)
+    try:
+        tables.load_dimension_once(t.spark, name, folder, need)
+        w.withColumn("population", F.lit(0)).write.mode("overwrite").csv(folder, header=True)
+        return stored(tables.load_dimension_once(t.spark, name, folder, need), "population")
+    finally:
+        t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 @query("""SELECT label, 35.0 + 4.0 * (pos // 8) AS latitude, -15.0 + 6.0 * (pos % 8) AS longitude,
   AVG(CAST(embedding[pos + 1] AS DOUBLE)) * cos(radians(35.0 + 4.0 * (pos // 8))) AS weight
   FROM (SELECT *, unnest(range(len(embedding))) AS pos FROM embeddings) GROUP BY label, pos""", f="latitude longitude weight", i="label")

@@ -7,11 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import finite, first_row
-from ..functions import names, time
-
-MEASURES = ["swe_total", "swe_mean_mm", "swe_total_roll", "swe_mean_roll_mm"]
-
+from ..common import finite
+from ..functions import names
 
 def parse_day(text: Column) -> Column:
     """ISO or US date; NULL when neither reads."""
@@ -34,69 +31,6 @@ def read_wide_indices(spark: SparkSession, path: str, start_year: int = 1979, so
     return wide_indices_to_long(spark.read.csv(path, header=True, nullValue="M"), "Date", start_year, source)
 
 
-def _panel_half(spark: SparkSession, paths: Sequence[str], header_rows: int, measure: str, level: str) -> DataFrame:
-    """One half (sums or means) of the paired files as long rows, raw and rolled apart."""
-    parts = []
-    for path in paths:
-        head = spark.read.text(path).limit(header_rows).collect()      # header lines only
-        cells = [r[0].split(",") for r in head]
-        raw = spark.read.csv(path, header=False).filter(parse_day(F.col("_c0")).isNotNull())
-        # a later line of a file wins over an earlier one of the same day
-        raw = raw.withColumn("_line", F.monotonically_increasing_id())
-        cols = [(f"_c{k}", *_panel_key(level, [row[k] for row in cells], path)) for k in range(1, len(cells[0]))]
-        day = parse_day(F.col("_c0")).alias("day")
-        struct = F.array(*[F.struct(F.lit(region).alias("region"), F.lit(band).alias("band"), F.lit(rolled).alias("rolled"),
-                                    F.col(c).try_cast("double").alias("value")) for c, region, band, rolled in cols])
-        parts.append(raw.select(day, "_line", F.inline(struct)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    keys = ["day", "region", "band", "rolled"]
-    out = first_row(out, keys, F.col("_line").desc())
-    roll = {"swe_total": "swe_total_roll", "swe_mean_mm": "swe_mean_roll_mm"}[measure]
-    return out.groupBy("day", "region", "band").agg(
-        F.max(F.when(~F.col("rolled"), F.col("value"))).alias(measure),
-        F.max(F.when(F.col("rolled"), F.col("value"))).alias(roll))
-
-
-def _panel_key(level: str, head: list[str], path: str) -> tuple[str, str, bool]:
-    name = head[-1]
-    rolled = name.endswith("_roll")
-    plain = name.removesuffix("_roll").removesuffix("_raw")
-    if level == "alps":
-        return "Alps", "total", rolled
-    if level == "country":
-        return head[0], plain, rolled
-    if level == "catchment":
-        return plain, "total", rolled
-    file = path.rsplit("/", 1)[-1]
-    return file.split("-", 1)[1].removesuffix("_heightbands_timeseries.csv"), plain, rolled
-
-
-def read_panel_csvs(spark: SparkSession, totals: Sequence[str], means: Sequence[str], level: str, pixel_size_m: int) -> DataFrame:
-    """Paired sum and mean files of one level to one row per (day, region, band).
-
-    A day present in only one file of a pair is kept with the other side NULL.
-    """
-    header_rows = 2 if level == "country" else 1
-    keys = ["day", "region", "band"]
-    t = _panel_half(spark, totals, header_rows, "swe_total", level) if totals else None
-    m = _panel_half(spark, means, header_rows, "swe_mean_mm", level) if means else None
-    if t is None or m is None:
-        only = t if t is not None else m
-        both = only
-        for c in MEASURES:
-            if c not in only.columns:
-                both = both.withColumn(c, F.lit(None).cast("double"))
-    else:
-        both = t.join(m, keys, "full_outer")
-    d = F.col("day")
-    return (both.filter(F.coalesce(*MEASURES).isNotNull())
-            .select("day", F.lit(level).alias("level"), "region", "band", *MEASURES,
-                    F.lit(pixel_size_m).alias("pixel_size_m"), time.winter_season(d).alias("winter_season"),
-                    time.day_of_winter(d).alias("day_of_winter")))
-
-
 _MODEL = ("struct<structure:string,k_cold:double,k_hot:double,names:array<string>,coef:array<double>,"
           "bias_correction:double,half_life_days:double>")
 

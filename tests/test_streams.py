@@ -103,7 +103,7 @@ def test_every_row_sent_has_one_status(spark):
     src, out = scratch_path(spark, "status"), scratch_path(spark, "status-out")
     day = lambda i: dt.date(2026, 1, 1) + dt.timedelta(days=i)
     for turn in range(4):
-        sent = [("ab"[i % 2], day(7 * turn + i - 9), float(i % 3 * turn), at(turn, i % 5)) for i in range(17)]
+        sent = [("ab"[i % 2], day(6 * turn + i - 9), float(i % 3 * turn), at(turn, i % 5)) for i in range(17)]
         spark.createDataFrame(sent, schema).coalesce(1).write.mode("append").parquet(src)
     told = S.revisions(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), ["area"], "day", ["v"], "arrived", 8)
     with S.keyed_state(spark):

@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from gridwatt.session import scratch_path, stored
-from gridwatt.sources import readers, tables
+from gridwatt.sources import panels, readers, tables
 
 D = dt.date
 
@@ -89,14 +89,21 @@ def test_wide_indices(spark, tmp_path):
 
 def test_panel_files(spark, tmp_path):
     (tmp_path / "t-SWE_countries_timeseries.csv").write_text(
-        "country,France,France\nband,total,total_roll\n2026-07-31,1.0,2.0\n2026-07-31,3.0,4.0\n2026-10-01,5.0,\n")
+        'country,France,France,"Korea, South"\nband,total,total_roll,total\n2026-07-31,1.0,2.0,9\n07/31/2026,3.0,,nan\n2026-10-01 00:00:00,5.0\nnot a day,1,1,1\n2026-11-01,,inf,x\n')
     (tmp_path / "m-SWE_countries_timeseries.csv").write_text("country,France,France\nband,total,total_roll\n2026-07-31,0.1,0.2\n2026-12-01,0.5,0.6\n")
-    p = readers.read_panel_csvs(spark, [str(tmp_path / "t-SWE_countries_timeseries.csv")], [str(tmp_path / "m-SWE_countries_timeseries.csv")], "country", 300)
-    got = rows(p, "day", "region", "band", "swe_total", "swe_mean_mm", "swe_total_roll", "winter_season", "day_of_winter")
-    assert got == [(D(2026, 7, 31), "France", "total", 3.0, 0.1, 4.0, "2025/2026", 304), (D(2026, 10, 1), "France", "total", 5.0, None, None, "2026/2027", 1),
-                   (D(2026, 12, 1), "France", "total", None, 0.5, None, "2026/2027", 62)]
-    one = readers.read_panel_csvs(spark, [str(tmp_path / "t-SWE_countries_timeseries.csv")], [], "country", 300)
-    assert one.filter("swe_mean_mm IS NULL").count() == 2
+    (tmp_path / "t-SWE_timeseries.csv").write_text("date,SWE_raw,SWE_roll\n2026-01-01,7,8\n")
+    (tmp_path / "m-SWE_catchments_timeseries.csv").write_text("date,Po,Po_roll\n2026-01-01,1,2\n")
+    (tmp_path / "t-Upper-Rhone_heightbands_timeseries.csv").write_text("\ufeffdate,500-1000,500-1000_roll\r\n2026-01-01,3,4\r\n", encoding="utf-8")
+    (tmp_path / "t-SWE_countries_timeseries.csv.bak").write_text("junk")
+    (tmp_path / "m-empty_heightbands_timeseries.csv").write_text("")
+    p = panels.read_panels(spark, str(tmp_path), panels.PIXELS | {"alps": 25})
+    got = rows(p, "level", "day", "region", "band", *panels.MEASURES, "pixel_size_m", "winter_season", "day_of_winter")
+    assert got == [("alps", D(2026, 1, 1), "Alps", "total", 7.0, None, 8.0, None, 25, "2025/2026", 93), ("catchment", D(2026, 1, 1), "Po", "total", None, 1.0, None, 2.0, 100, "2025/2026", 93),
+                   ("country", D(2026, 7, 31), "France", "total", 3.0, 0.1, None, 0.2, 300, "2025/2026", 304),
+                   ("country", D(2026, 10, 1), "France", "total", 5.0, None, None, None, 300, "2026/2027", 1), ("country", D(2026, 12, 1), "France", "total", None, 0.5, None, 0.6, 300, "2026/2027", 62),
+                   ("heightband", D(2026, 1, 1), "Upper-Rhone", "500-1000", 3.0, None, 4.0, None, 100, "2025/2026", 93)]
+    assert len(panels.PanelReader(str(tmp_path)).partitions()) == 6
+    assert panels.read_panels(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_curve_models(spark, tmp_path):
