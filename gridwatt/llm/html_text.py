@@ -215,8 +215,10 @@ def main_text(pages: DataFrame, least: int = 8, id_col: str = "page_id", url: st
     filled = stored(_filled(order.join(_common(order, need), "head", "left_semi"), least), "filled")
     runs = filled.select("*", F.explode("runs").alias("run")).select("host", "key", "shown", "block", "open", "size", "run.place", "run.head")
     gone = _filled(runs.filter("open").join(_common(runs, need), "head", "left_semi"), least)
-    gone = stored(gone.groupBy(F.col("key").alias("_key")).agg(F.collect_set("block").alias("gone")), "gone")
-    joined = pages.withColumn("_page", _page_key(id_col, url, body)).join(gone, F.col("_page") == F.col("_key"), "left").select(*pages.columns, "gone")
+    gone = stored(gone.groupBy(F.col("key").alias("_main_text_key")).agg(F.collect_set("block").alias("_main_text_gone")), "gone")
+    names = [F.col(f"`{c}`") for c in pages.columns]
+    keyed = pages.select(*names, _page_key(id_col, url, body).alias("_main_text_page"))
+    joined = keyed.join(gone, F.col("_main_text_page") == F.col("_main_text_key"), "left").select(*names, "_main_text_gone")
     at, names = pages.columns.index(body), pages.columns
 
     def text(batches):

@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bins, release, small_batches, stored, text_slices
+from .common import bins, document_key, release, small_batches, stored, text_slices
 from .graph import components
 from .hashing import mix, shingle_hashes, word_hashes
 
@@ -460,7 +460,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without those that link, directly or through others, to one of a smaller id; columns unchanged."""
-    _, label = near_duplicates(docs, id_col, text)
-    gone = stored(label.filter("node <> component").select(F.col("node").alias(id_col)), "gone")
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    """One document of each group that links, directly or through others: that of the smallest id; columns unchanged.
+
+    Documents are told apart by id and text, so rows that share an id, or have none, are judged each by its own text. Null ids
+    come last; of equal ids the text's hash decides. Of rows that repeat id and text, one stays. Null, empty and wordless
+    texts link with nothing, so all their rows stay, repeated ones too. An empty table gives no rows.
+    """
+    key = document_key(id_col, text)
+    mine = docs.select(key.alias("_node"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    listed, label = near_duplicates(mine, "_node", "_text")
+    ids = mine.groupBy("_node").agg(F.first("_id").alias("_id"), F.count("*").alias("_rows"))
+    rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("node").alias("node"))
+    named = stored(label.join(ids, label["node"] == ids["_node"]).select("node", "component", rank.alias("rank")), "named")
+    first = named.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = stored(named.join(first, "component").filter("rank <> first").select(F.col("node").alias("_keep_one_key")), "gone")
+    some = listed.filter("n_shingles > 0").select(F.col("doc_id").alias("_some")).distinct()
+    repeated = ids.filter("_rows > 1").join(some, F.col("_node") == F.col("_some"), "left_semi").select(F.col("_node").alias("_keep_one_key"))
+    repeated = stored(repeated, "repeated")
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    kept = docs.select(*names, key.alias("_keep_one_key")).join(gone, "_keep_one_key", "left_anti")
+    once = kept.join(repeated, "_keep_one_key", "left_anti")
+    twice = kept.join(repeated, "_keep_one_key", "left_semi")
+    order = F.row_number().over(Window.partitionBy("_keep_one_key").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in names])))
+    return once.select(*names).union(twice.withColumn("_keep_one_place", order).filter("_keep_one_place = 1").select(*names))

@@ -51,12 +51,35 @@ def test_near_duplicates_match_all_pairs(spark, rows, docs):
                 parent[max(p, q)] = min(p, q)
     got = {r["node"]: r["component"] for r in label.collect()}
     assert {k: got.get(k, k) for k in parent} == {k: top(k) for k in parent}
+    # what keep_one keeps: documents told apart by id and text
+    nodes = sorted({r[:2] for r in rows if shingles(r[1])}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    group = {n: n for n in nodes}
+
+    def root(n):
+        return n if group[n] == n else root(group[n])
+
+    for i, a in enumerate(nodes):
+        for b in nodes[:i]:
+            x, y = shingles(a[1]), shingles(b[1])
+            if 100 * len(x & y) >= 75 * len(x | y):
+                one, other = sorted((root(a), root(b)), key=nodes.index)
+                group[other] = one
     kept = near_duplicates.keep_one(docs)
-    assert kept.columns == docs.columns and sorted({r[0] for r in kept.collect() if r[0] is not None}) == sorted(k for k in parent if top(k) == k)
+    want = [n[0] for n in nodes if root(n) == n] + [r[0] for r in rows if not shingles(r[1])]
+    assert kept.columns == docs.columns and sorted((r[0] for r in kept.collect()), key=str) == sorted(want, key=str)
     listed, label = near_duplicates.near_duplicates(empty(spark))
     assert listed.count() == 0 and label.count() == 0
 
 
+def test_one_of_each_text_stays_whatever_the_ids(spark):
+    t, u = "a long enough text of more than five words to be held against others", "another text that only shares the id and has nothing else in common"
+    rows = [(1, t, "x"), (1, t, "x"), (2, t, "y"), (3, "x", "z"), (2, u, "w"), (None, u, "n"), (None, None, "a"), (None, None, "a"), (4, "", "b"), (4, "", "b")]
+    docs = spark.createDataFrame([(*r, "k", "g") for r in rows], "doc_id long, text string, _node string, component string, _gone string")
+    got = sorted((tuple(r)[:2] for r in near_duplicates.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, t), (3, "x"), (2, u), (None, None), (None, None), (4, ""), (4, "")], key=str)
+    assert near_duplicates.keep_one(docs.limit(0)).columns == docs.columns and near_duplicates.keep_one(docs.limit(0)).count() == 0
+
+
 def test_large_blocks_lose_no_link(spark, monkeypatch):
     """Near-miss copies in blocks that are compared in groups."""
     import random

@@ -36,6 +36,13 @@ def test_marked_wrappers_hide_no_article():
         assert ("page", "a") in b(hidden) and ("main", "a") not in b(hidden)
 
 
+def test_main_text_with_clashing_columns(spark):
+    names = ["gone", "key", "host", "block", "open", "size", "place", "head", "runs", "run", "shown", "need", "_page", "_key", "text"]
+    df = spark.createDataFrame([(1, "http://a.org/", "<article><p>one</p></article>", *names), (None, None, None, *names)], "page_id long, url string, html string, " + ", ".join(f"`{n}` string" for n in names))
+    got = html_text.main_text(df)
+    assert sorted(got.columns) == sorted(df.columns) and sorted(r["text"] for r in got.collect()) == ["", "one"] and {r["gone"] for r in got.collect()} == {"gone"}
+
+
 def test_repeated_runs_of_a_host_are_removed(spark):
     menu = "home news sport weather travel radio shop help account log in"
     story = ["red foxes cross the frozen lake at dawn every winter without fear", "seven boats returned before noon with nets of silver fish for sale",
