@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bins, document_key, release, small_batches, stored, text_slices
@@ -466,10 +466,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     come last; of equal ids the text's hash decides. Of rows that repeat id and text, one stays. Null, empty and wordless
     texts link with nothing, so all their rows stay, repeated ones too. An empty table gives no rows.
     """
-    key = document_key(id_col, text)
-    mine = docs.select(key.alias("_node"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    listed, label = near_duplicates(mine, "_node", "_text")
-    ids = mine.groupBy("_node").agg(F.first("_id").alias("_id"), F.count("*").alias("_rows"))
+    key, names = document_key(id_col, text), [F.col(f"`{c}`") for c in docs.columns]
+    # an id that stands for one text is the document's name; where texts share one, or there is none, their hashes are
+    ids = docs.select(F.col(id_col).cast("long").alias("_id"), key.alias("_text_key")).groupBy("_id", "_text_key").agg(F.count("*").alias("_rows"))
+    ids = stored(ids, "ids")
+    shared = ids.groupBy("_id").agg(F.count("*").alias("_texts")).filter("_texts > 1 OR _id IS NULL").select(F.col("_id").alias("_keep_one_shared_id"), F.lit(True).alias("_keep_one_shared"))
+    shared = stored(shared, "shared")
+
+    def with_node(df: DataFrame, id_: Column, text_key: Column) -> DataFrame:
+        joined = df.join(shared, id_.eqNullSafe(F.col("_keep_one_shared_id")), "left")
+        return joined.withColumn("_keep_one_key", F.when(F.col("_keep_one_shared"), text_key).otherwise(id_)).drop("_keep_one_shared", "_keep_one_shared_id")
+
+    keyed = with_node(docs.select(*names), F.col(id_col).cast("long"), key)
+    ids = with_node(ids, F.col("_id"), F.col("_text_key")).withColumnRenamed("_keep_one_key", "_node")
+    listed, label = near_duplicates(keyed.select("_keep_one_key", F.col(text).alias("_text")), "_keep_one_key", "_text")
     rank = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("node").alias("node"))
     named = stored(label.join(ids, label["node"] == ids["_node"]).select("node", "component", rank.alias("rank")), "named")
     first = named.groupBy("component").agg(F.min("rank").alias("first"))
@@ -478,8 +488,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     repeated = ids.filter("_rows > 1").join(some, F.col("_node") == F.col("_some"), "left_semi").select(F.col("_node").alias("_keep_one_key"))
     repeated = stored(repeated, "repeated")
 
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.select(*names, key.alias("_keep_one_key")).join(gone, "_keep_one_key", "left_anti")
+    kept = keyed.join(gone, "_keep_one_key", "left_anti")
     once = kept.join(repeated, "_keep_one_key", "left_anti")
     twice = kept.join(repeated, "_keep_one_key", "left_semi")
     order = F.row_number().over(Window.partitionBy("_keep_one_key").orderBy(F.xxhash64(*[F.to_json(F.struct(c)) for c in names])))
