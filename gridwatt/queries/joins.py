@@ -90,11 +90,22 @@ def c8_asof_value(t):
     return R.asof_value(points, t.hist(), ["area"], "day", "day", "actual").withColumnRenamed("asof", "value")
 
 
-@query("""SELECT r.station_key, r.day, r.value, l.day AS from_day FROM v_river r JOIN (SELECT station_key, MAX(day) AS day FROM v_river WHERE data_type = 'actual' AND year(day) < 2000 GROUP BY 1) l
+_ASOF = """SELECT r.* FROM v_river r LEFT JOIN (SELECT station_key, MAX(day) AS top FROM v_river WHERE data_type = 'forecast' GROUP BY 1) t ON t.station_key = r.station_key
+  WHERE data_type = 'forecast' OR top IS NULL OR day < top"""
+
+
+def _river_asof(t):
+    """The station rows as they stood before each station's last forecast day: later observations are not there yet."""
+    r = t.river()
+    top = r.filter("data_type = 'forecast'").groupBy("station_key").agg(F.max("day").alias("_top"))
+    return r.join(top, "station_key", "left").filter("data_type = 'forecast' OR _top IS NULL OR day < _top").drop("_top")
+
+
+@query(f"""SELECT r.station_key, r.day, r.value, l.day AS from_day FROM v_river r JOIN (SELECT station_key, MAX(day) AS day FROM ({_ASOF}) WHERE data_type = 'actual' GROUP BY 1) l
   ON l.station_key = r.station_key AND r.day > l.day AND r.day <= l.day + 7 WHERE data_type = 'forecast'""", f="value", keep="river")
 def c9_forward_window_join(t):
-    r = t.river()
-    latest = r.filter("data_type = 'actual' AND year(day) < 2000").groupBy("station_key").agg(F.max("day").alias("day"))
+    r = _river_asof(t)
+    latest = r.filter("data_type = 'actual'").groupBy("station_key").agg(F.max("day").alias("day"))
     return J.forward_window(latest, r.filter("data_type = 'forecast'"), ["station_key"], 7).select("station_key", "day", "value", "from_day")
 
 
@@ -155,8 +166,8 @@ def _river_normal(t):
 
 
 @query(f"""WITH n AS ({_NORMAL}), l AS (SELECT station_key, day, value, data_type FROM (SELECT *, row_number() OVER (PARTITION BY station_key ORDER BY day DESC,
-    CASE data_type WHEN 'backcast' THEN 0 ELSE 1 END) AS rn FROM v_river WHERE data_type IN ('backcast', 'actual') AND year(day) < 2000) WHERE rn = 1),
-  f AS (SELECT * FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast' AND issued < DATE '2000-01-15') WHERE issued = top),
+    CASE data_type WHEN 'backcast' THEN 0 ELSE 1 END) AS rn FROM ({_ASOF}) WHERE data_type IN ('backcast', 'actual')) WHERE rn = 1),
+  f AS (SELECT * FROM (SELECT *, MAX(issued) OVER (PARTITION BY station_key) AS top FROM v_river WHERE data_type = 'forecast') WHERE issued = top),
   f7 AS (SELECT f.station_key, f.issued AS fc_issued, MAX(f.value) AS fc_max7, MIN(f.value) AS fc_min7, MAX(f.day) AS fc_last_day FROM f JOIN l ON l.station_key = f.station_key
     AND f.day > l.day AND f.day <= l.day + 7 GROUP BY 1, 2),
   fn AS (SELECT l.station_key, AVG(normal) AS fc_normal7 FROM l JOIN n ON n.station_key = l.station_key AND n.day > l.day AND n.day <= l.day + 7 GROUP BY 1)
@@ -164,8 +175,7 @@ def _river_normal(t):
   FROM l LEFT JOIN n ON n.station_key = l.station_key AND n.day = l.day LEFT JOIN f7 ON f7.station_key = l.station_key LEFT JOIN fn ON fn.station_key = l.station_key
   LEFT JOIN v_station s ON s.station_key = l.station_key""", f="value normal anomaly fc_max7 fc_min7 fc_normal7 latitude longitude", keep="river")
 def c16_latest_observation_report(t):
-    r = t.river().filter("(data_type <> 'forecast' AND year(day) < 2000) OR (data_type = 'forecast' AND issued < DATE'2000-01-15')")
-    return J.latest_observation_report(r, t.stations(), _river_normal(t))
+    return J.latest_observation_report(_river_asof(t), t.stations(), _river_normal(t))
 
 
 @query(f"""WITH n AS ({_NORMAL}), l AS (SELECT station_key, day, value FROM (SELECT *, row_number() OVER (PARTITION BY station_key ORDER BY day DESC, data_type) AS rn
