@@ -330,7 +330,7 @@ def m4_fit_weather(t):
 
 def weekly(t):
     w = D.week_of_year_anomaly(t.hydro(), ["area"], "value").select("area", "week", F.col("anomaly").alias("level_anomaly"))
-    s = D.week_of_year_anomaly(t.load().filter("year(day) >= 1997"), ["area"], "temp").select("area", "week", F.col("anomaly").alias("swe_anomaly"))
+    s = D.week_of_year_anomaly(t.load(), ["area"], "temp").select("area", "week", F.col("anomaly").alias("swe_anomaly"))
     return w.join(s, ["area", "week"], "left")
 
 
