@@ -293,7 +293,7 @@ def _meet(offered: DataFrame, dealt: int) -> DataFrame:
         for lo in range(0, len(large), 1000):
             part = large[lo:lo + 1000]
             at = np.concatenate([np.arange(first[g], first[g] + size[g]) for g in part])
-            yield table(_MEMBER, np.repeat(print_of[part], size[part]).view(np.int64), names[node[at]], np.zeros(len(at), np.int64))
+            yield table(_MEMBER, np.repeat(print_of[part], size[part]).view(np.int64), names[node[at]], np.repeat(names[node[first[part]]], size[part]))
 
     return offered.repartitionById(dealt, F.col("bin")).mapInArrow(found, _FOUND)
 
@@ -320,7 +320,22 @@ def _sift(pairs: DataFrame, sketches: DataFrame, which: str) -> DataFrame:
 
 
 #: Blocks of up to so many documents list their pairs; in larger ones, groups of about GROUP documents are compared at a time.
-SMALL, GROUP = 128, 512
+SMALL, GROUP = 16, 512
+
+
+def joined_blocks(member: DataFrame) -> DataFrame:
+    """Blocks as rows (a: block, b: document) from rows (a, b, lead: smallest document); those of one leader as one block where they overlap.
+
+    Documents of a group share up to all their blocks, and each of these would compare them again. Where all blocks of a leader
+    hold at most twice the documents of the largest, their union takes their place: no pair of a block is lost, and a block's
+    documents are compared once. Leaders whose blocks hold different documents keep them apart.
+    """
+    sizes = member.groupBy("lead", "a").agg(F.count("*").alias("n")).groupBy("lead").agg(F.max("n").alias("most"), F.count("*").alias("blocks"))
+    union = member.select("lead", "b").distinct()
+    every = union.groupBy("lead").agg(F.count("*").alias("every"))
+    lead = stored(sizes.join(every, "lead").filter("blocks > 1 AND every <= 2 * most").select("lead"), "leads")
+    apart = member.join(lead, "lead", "left_anti").select("a", "b")
+    return apart.union(union.join(lead, "lead", "left_semi").select(F.xxhash64("lead").alias("a"), "b"))
 
 
 def across_small(member: DataFrame, main: DataFrame) -> DataFrame:
@@ -435,7 +450,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     sketches = found.filter((F.col("kind") == _DOC) & (F.col("n") > 0)).select(F.col("a").alias("id"), "n", "sketch", "tiny").filter("id is not null")
     pairs = found.filter(F.col("kind") == _PAIR).groupBy("a", "b").agg(F.sum("n").alias("n"))
     pairs = stored(sift(pairs, sketches), "pairs")
-    member = stored(found.filter(F.col("kind") == _MEMBER).select("a", "b").distinct(), "members")
+    blocks = stored(found.filter(F.col("kind") == _MEMBER).select("a", "b", F.col("n").alias("lead")).distinct(), "blocks")
+    member = stored(joined_blocks(blocks), "members")
     release(spark)
     links = stored(verify(pairs, docs, id_col, text), "links")
     release(spark)

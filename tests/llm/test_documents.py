@@ -110,6 +110,16 @@ def test_large_blocks_lose_no_link(spark, monkeypatch):
     assert {i: got.get(i, i) for i in sets} == {i: top(i) for i in sets} and len(set(got.values())) > 1
 
 
+def test_blocks_of_a_leader_are_joined_where_they_overlap(spark):
+    rows = [(a, b, lead) for a, lead, docs in [(10, 1, (1, 2, 3)), (11, 1, (1, 2, 4)), (20, 5, (5, 6, 7)), (21, 5, (5, 8, 9)), (22, 5, (5, 10, 11)), (30, 12, (12, 13, 14))] for b in docs]
+    got = {}
+    for r in near_duplicates.joined_blocks(spark.createDataFrame(rows, "a long, b long, lead long")).collect():
+        got.setdefault(r["a"], []).append(r["b"])
+    assert sorted(sorted(d) for d in got.values()) == [[1, 2, 3, 4], [5, 6, 7], [5, 8, 9], [5, 10, 11], [12, 13, 14]]
+    assert {20, 21, 22, 30} < got.keys()
+    assert near_duplicates.joined_blocks(spark.createDataFrame([], "a long, b long, lead long")).count() == 0
+
+
 def test_sketch_distance_never_exceeds_the_symmetric_difference():
     import numpy as np
     r = np.random.default_rng(1)
