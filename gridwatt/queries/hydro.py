@@ -120,18 +120,18 @@ def l7_station_series(t):
 
 
 _PROD = """SELECT area, variable, data_type, pattern, reference_date, day, value * f AS value FROM (
-    SELECT area, 'sa' AS data_type, '' AS pattern, NULL::DATE AS reference_date, day, actual AS value FROM v_hist WHERE day <= DATE '2001-05-31'
+    SELECT area, 'sa' AS data_type, '' AS pattern, NULL::DATE AS reference_date, day, actual AS value FROM v_hist h WHERE day <= (SELECT MAX(reference_date) FROM v_morning m WHERE m.region = h.area) - 15
     UNION ALL SELECT area, 'n', '', NULL, day, temp FROM v_load
-    UNION ALL SELECT region, 'f', pattern, reference_date, day, AVG(value) FROM v_morning WHERE reference_date < DATE '2001-06-15' GROUP BY region, pattern, reference_date, day),
+    UNION ALL SELECT region, 'f', pattern, reference_date, day, AVG(value) FROM v_morning GROUP BY region, pattern, reference_date, day),
   (SELECT unnest(['ror', 'tot', 'rre']) AS variable, unnest([0.3, 1.1, 0.9]) AS f) WHERE NOT (variable = 'ror' AND day(day) = 7)"""
 
 
 def production(t):
     none = F.lit(None).cast("date")
-    sa = t.hist().filter("day <= DATE'2001-05-31'").select("area", F.lit("sa").alias("data_type"), F.lit("").alias("pattern"), none.alias("reference_date"), "day", F.col("actual").alias("value"))
+    last = t.morning().groupBy(F.col("region").alias("area")).agg(F.date_sub(F.max("reference_date"), 15).alias("as_of"))
+    sa = t.hist().join(last, "area").filter("day <= as_of").select("area", F.lit("sa").alias("data_type"), F.lit("").alias("pattern"), none.alias("reference_date"), "day", F.col("actual").alias("value"))
     n = t.load().select("area", F.lit("n").alias("data_type"), F.lit("").alias("pattern"), none.alias("reference_date"), "day", F.col("temp").alias("value"))
-    m = t.morning().filter("reference_date < DATE'2001-06-15'")
-    f = m.groupBy(F.col("region").alias("area"), "pattern", "reference_date", "day").agg(F.avg("value").alias("value")).select(
+    f = t.morning().groupBy(F.col("region").alias("area"), "pattern", "reference_date", "day").agg(F.avg("value").alias("value")).select(
         "area", F.lit("f").alias("data_type"), "pattern", "reference_date", "day", "value")
     x = sa.unionByName(n).unionByName(f)
     v = F.inline(F.array(*[F.struct(F.lit(k).alias("variable"), F.lit(c).alias("c")) for k, c in (("ror", 0.3), ("tot", 1.1), ("rre", 0.9))]))
@@ -171,16 +171,16 @@ def l9_production_summary(t):
     return H.production_summary(H.production_series(production(t)))
 
 
-@query("""WITH v AS (SELECT * FROM v_morning WHERE reference_date < DATE '2001-07-15'), i AS (SELECT family, region, MAX(init_time) AS latest_issue FROM v GROUP BY 1, 2),
+@query("""WITH v AS (SELECT *, MAX(reference_date) OVER (PARTITION BY family, region) AS top FROM v_morning), i AS (SELECT family, region, MAX(init_time) AS latest_issue FROM v GROUP BY 1, 2),
   p AS (SELECT i.family, i.region, latest_issue, COALESCE(MAX(CASE WHEN m.init_time <= latest_issue - INTERVAL 24 HOURS THEN m.init_time END), MAX(CASE WHEN m.init_time < latest_issue THEN m.init_time END)) AS prev_issue
     FROM i JOIN v m ON m.family = i.family AND m.region = i.region GROUP BY 1, 2, 3),
   d AS (SELECT p.family, p.region, latest_issue, prev_issue, day, MAX(CASE WHEN m.init_time = latest_issue THEN value END) AS a, MAX(CASE WHEN m.init_time = prev_issue THEN value END) AS b
-    FROM p JOIN v m ON m.family = p.family AND m.region = p.region WHERE day BETWEEN DATE '2001-07-02' AND DATE '2001-07-20' GROUP BY 1, 2, 3, 4, 5)
+    FROM p JOIN v m ON m.family = p.family AND m.region = p.region WHERE day BETWEEN top - 12 AND top + 6 GROUP BY 1, 2, 3, 4, 5)
   SELECT family, region, latest_issue, prev_issue, SUM(a) AS latest, SUM(CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b END) AS prev, SUM(a - b) AS delta, COUNT(a - b) AS n_days FROM d GROUP BY 1, 2, 3, 4 HAVING COUNT(a - b) > 0""",
        f="latest prev delta", i="n_days", keep="morning")
 def l10_issue_change(t):
-    m = t.morning().filter("reference_date < DATE'2001-07-15'")
-    m = m.withColumn("a", F.lit("2001-07-02").cast("date")).withColumn("b", F.lit("2001-07-20").cast("date"))
+    top = t.morning().groupBy("family", "region").agg(F.max("reference_date").alias("top"))
+    m = t.morning().join(top, ["family", "region"]).withColumn("a", F.date_sub("top", 12)).withColumn("b", F.date_add("top", 6)).drop("top")
     return R.issue_change(m, ["family", "region"], "a", "b")
 
 
