@@ -129,7 +129,8 @@ def op5_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that lie in a repeated string of 400 bytes."""
     r = repeats.repeated_spans(_table(spark, folder, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda acc, s: acc + s["end"] - s["start"])
-    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    return r.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"),
+                    (F.size("spans") > 0).alias("has_repeats"))
 
 
 @query()
