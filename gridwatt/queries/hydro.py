@@ -290,7 +290,7 @@ def m3_outlook_paths(t):
 
 
 @query("""WITH w AS (SELECT area, CAST(date_trunc('week', day) AS DATE) + 6 AS week, arg_max(actual, h.day) AS level, arg_max(temp, h.day) AS snow FROM v_hist h JOIN v_load l USING (area, day) GROUP BY 1, 2),
-  i AS (SELECT area, week AS issue, week AS t0, level AS s0, level AS level0, snow AS snow0 FROM w WHERE year(week) = 2001 AND month(week) IN (2, 5)),
+  i AS (SELECT area, week AS issue, week AS t0, level AS s0, level AS level0, snow AS snow0 FROM w WHERE year(week) = (SELECT MAX(year(x.week)) FROM w x WHERE x.area = w.area) AND month(week) IN (2, 5)),
   d AS (SELECT i.area, t0, year(week) AS year, power((level - level0) / 2.5, 2) + power((snow - snow0) / 3.5, 2) AS d FROM i JOIN w ON w.area = i.area AND abs(weekofyear(week) - weekofyear(t0)) <= 1 AND year(week) < year(t0)),
   k AS (SELECT * FROM (SELECT area, t0, year, row_number() OVER (PARTITION BY area, t0 ORDER BY MIN(d), year) AS rank FROM d GROUP BY 1, 2, 3) WHERE rank <= 2),
   s AS (SELECT k.area, t0 AS issue, year, rank, s0, CAST(h AS INTEGER) AS h, make_date(year, month(t0), day(t0)) AS f, t0 FROM k JOIN i USING (area, t0), (SELECT unnest(range(0, 20)) AS h))
@@ -299,7 +299,8 @@ def m3_outlook_paths(t):
 def m3_analogue_paths(t):
     j = t.hist().join(t.load(), ["area", "day"])
     lib = D.week_last(j, ["area"], ["actual", "temp"]).withColumnsRenamed({"actual": "level", "temp": "snow"})
-    i = lib.filter((F.year("week") == 2001) & F.month("week").isin(2, 5)).select(
+    newest = lib.groupBy("area").agg(F.max(F.year("week")).alias("newest"))
+    i = lib.join(newest, "area").filter((F.year("week") == F.col("newest")) & F.month("week").isin(2, 5)).select(
         "area", F.col("week").alias("issue"), F.col("week").alias("t0"), F.col("level").alias("s0"), F.col("level").alias("level0"), F.col("snow").alias("snow0"))
     return M.analogue_paths(i, lib, t.hist().withColumnRenamed("actual", "value"), 20, 2, F.lit(2.5), F.lit(3.5))
 
