@@ -1,7 +1,7 @@
 """Index correlations, composites and out-of-sample regressions against regional targets.
 
-Series are monthly or quarterly, so a (series, period) group is one value per year. Every
-index meets every target through an equi-join on year and period, never a cross join.
+Series are monthly or quarterly, so a (series, period) group is one value per year. Indices meet
+targets by equi-joins: as blocks of vectors for the correlation grid, by year and period elsewhere.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,9 @@ from . import windows as W
 # Fixed values.
 MIN_YEARS, COVER_INDEX, COVER_TARGET = 10, 0.8, 0.9
 
+#: Series of a block, and tasks over which the targets of a period are dealt.
+BLOCK, DEALS = 256, 8
+
 
 def index_months(monthly: DataFrame, cover: float = COVER_INDEX) -> DataFrame:
     """Months observed well enough, on a running month number."""
@@ -76,30 +80,113 @@ def targets_at_resolution(monthly: DataFrame, keys: Sequence[str], resolution: s
     return g.withColumn("anomaly", a)
 
 
-def paired(z: DataFrame, targets: DataFrame, target_keys: Sequence[str], years: tuple[int, int] | None, detrend: bool) -> DataFrame:
-    """Every index beside every target by year, both detrended over their common years."""
-    j = z.filter("z IS NOT NULL").select("index_name", "year", "period", F.col("z").alias("x")).join(
-        targets.filter("anomaly IS NOT NULL").select(*target_keys, "year", "period", F.col("anomaly").alias("y")), ["year", "period"])
-    if years:
-        j = j.filter(F.col("year").between(*years))
-    keys = ["index_name", *target_keys, "period"]
-    if detrend:
-        j = W.linear_detrend(j, keys, "year", "x", name="_x")
-        j = W.linear_detrend(j, keys, "year", "y", name="_y").select(*keys, "year", F.col("_x").alias("x"), F.col("_y").alias("y"))
-    return j
+def _packed(series: DataFrame, keys: Sequence[str], value: str, deal: Column) -> DataFrame:
+    """Series of a period as blocks: rows (period, deal) with an array of each key, of the years and of the values of up to BLOCK series.
+
+    A series' deal comes from its keys, so a task that runs again sends each series where it was sent before.
+    """
+    rows = series.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, "period").agg(
+        F.collect_list(F.struct("year", F.col(value).cast("double").alias("v"))).alias("_s"))
+    rows = rows.select(F.col("period").cast("int").alias("period"), deal.cast("int").alias("deal"), *keys, F.col("_s.year").cast("array<int>").alias("years"), F.col("_s.v").alias("values"))
+    held = [*keys, "years", "values"]
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(["period int", "deal int", *[f"`{c}` array<{types[c]}>" for c in held]])
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            batch = batch.take(pa.array(np.lexsort((batch.column("deal").to_numpy(), batch.column("period").to_numpy()))))
+            period, deal = batch.column("period").to_numpy(), batch.column("deal").to_numpy()
+            edge = np.flatnonzero(np.append(True, (period[1:] != period[:-1]) | (deal[1:] != deal[:-1])))
+            first = np.concatenate([np.arange(lo, hi, BLOCK) for lo, hi in zip(edge, np.append(edge[1:], len(period)), strict=True)])
+            ends = pa.array(np.append(first, len(period)), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(period[first]), pa.array(deal[first]), *[pa.ListArray.from_arrays(ends, batch.column(c)) for c in held]],
+                                             names=["period", "deal", *held])
+
+    return rows.mapInArrow(pack, schema)
+
+
+def _matrix(years: pa.Array, values: pa.Array, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values about their mean, presence) of a block's series over the years lo to hi, zero where there is none."""
+    row = np.repeat(np.arange(len(years)), np.diff(years.offsets.to_numpy()))
+    at = row, years.flatten().to_numpy() - lo
+    has, out = np.zeros((len(years), hi - lo + 1)), np.zeros((len(years), hi - lo + 1))
+    has[at] = 1
+    out[at] = values.flatten().to_numpy()
+    return np.where(has > 0, out - (out.sum(1) / has.sum(1))[:, None], 0), has
+
+
+def block_correlations(x: np.ndarray, has_x: np.ndarray, y: np.ndarray, has_y: np.ndarray, detrend: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(n, r) of all rows of x with all rows of y over the years that both have, from products of the blocks.
+
+    A sum of squares within rounding of zero, 1e-12 of what it was before its mean or trend was taken off, counts as none:
+    a constant series, or with ``detrend`` a straight line, has no correlation (NaN).
+    """
+    t = np.arange(x.shape[1]) - (x.shape[1] - 1) / 2
+    n = has_x @ has_y.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        def moment(sum_ab, sum_a, sum_b):
+            return sum_ab - sum_a * sum_b / n
+
+        def square(sum_aa, sum_a):
+            out = moment(sum_aa, sum_a, sum_a)
+            return np.where(out > 1e-12 * sum_aa, out, 0)
+
+        sx, sy, st = x @ has_y.T, has_x @ y.T, (has_x * t) @ has_y.T
+        xx, yy, xy = square((x * x) @ has_y.T, sx), square(has_x @ (y * y).T, sy), moment(x @ y.T, sx, sy)
+        if detrend:
+            tt = square((has_x * t * t) @ has_y.T, st)
+            xt, yt = moment((x * t) @ has_y.T, sx, st), moment(has_x @ (y * t).T, sy, st)
+            xy = xy - xt * yt / tt
+            rest_x, rest_y = xx - xt * xt / tt, yy - yt * yt / tt
+            xx, yy = np.where(rest_x > 1e-12 * xx, rest_x, 0), np.where(rest_y > 1e-12 * yy, rest_y, 0)
+        scale = np.sqrt(xx * yy)
+        r = np.where(scale > 0, np.clip(xy / scale, -1, 1), np.nan)
+    return n.astype(np.int64), r
 
 
 def correlation_grid(z: DataFrame, targets: DataFrame, target_keys: Sequence[str] = ("area", "source"), years: tuple[int, int] | None = None,
                      detrend: bool = True, min_years: int = MIN_YEARS) -> DataFrame:
-    """r, p and n of every index against every target in every period."""
-    keys = ["index_name", *target_keys, "period"]
-    g = paired(z, targets, target_keys, years, detrend).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.regr_sxy("y", "x").alias("_xy"), F.regr_sxx("y", "x").alias("_xx"), F.regr_syy("y", "x").alias("_yy"))
-    # from moments: Spark's corr() raises on a constant series, which here has no correlation
-    r = F.when(F.col("n") >= min_years, ratio(F.col("_xy"), F.nullif(F.sqrt(F.col("_xx") * F.col("_yy")), F.lit(0.0))))
-    g = g.withColumn("r", r)
+    """r, p and n of every index against every target in every period, both detrended over their common years.
+
+    The years of a series are one vector, and blocks of index vectors meet blocks of target vectors: no row per index, target
+    and year is made. Targets of a period are dealt over DEALS tasks by their keys, and index blocks go to each of them. A series
+    has one value per year and period; null and NaN values are left out, pairs without a common year have no row, and r and p are
+    NULL below ``min_years`` and where a series is constant (or a straight line that ``detrend`` takes off).
+    """
+    if years:
+        z, targets = (d.filter(F.col("year").between(*years)) for d in (z, targets))
+    keys = list(target_keys)
+    named = targets.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "year", "period", "anomaly")
+    packed_keys = [f"_key_{i}" for i in range(len(keys))]
+    left = _packed(z.select("index_name", "year", "period", "z"), ["index_name"], "z", F.lit(0)).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    right = _packed(named, packed_keys, "anomaly", F.pmod(F.xxhash64(*packed_keys), F.lit(DEALS)))
+    met = left.withColumnsRenamed({"years": "x_years", "values": "x_values"}).join(right, ["period", "deal"])
+    met = met.select("period", "index_name", *packed_keys, "x_years", "x_values", "years", "values")
+    types = {f.name: f.dataType.elementType.simpleString() for f in met.schema if f.name in ("index_name", *packed_keys)}
+    names = ["index_name", *packed_keys]
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in names], "period int", "n long", "r double"])
+
+    def correlate(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {c: batch.column(c)[i] for c in batch.schema.names}
+                every = np.concatenate([cell[c].values.flatten().to_numpy() for c in ("x_years", "years")])
+                lo, hi = int(every.min()), int(every.max())
+                x, has_x = _matrix(cell["x_years"].values, cell["x_values"].values, lo, hi)
+                y, has_y = _matrix(cell["years"].values, cell["values"].values, lo, hi)
+                n, r = block_correlations(x, has_x, y, has_y, detrend)
+                a, b = np.nonzero(n)
+                n, r = n[a, b], r[a, b]
+                yield pa.RecordBatch.from_arrays(
+                    [cell["index_name"].values.take(pa.array(a)), *[cell[c].values.take(pa.array(b)) for c in packed_keys],
+                     pa.array(np.full(len(n), cell["period"].as_py(), np.int32)), pa.array(n), pa.array(r, mask=np.isnan(r) | (n < min_years))],
+                    names=[*names, "period", "n", "r"])
+
+    g = met.mapInArrow(correlate, schema).withColumnsRenamed(dict(zip(packed_keys, keys, strict=True)))
     t = F.col("r") * F.sqrt(ratio(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
-    return g.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double"))).drop("_xy", "_xx", "_yy")
+    return g.withColumn("p", t_two_sided(t, (F.col("n") - 2).cast("double")))
 
 
 def phase_groups(z: DataFrame, threshold: float) -> DataFrame:

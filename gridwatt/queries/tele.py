@@ -83,14 +83,20 @@ def n5_targets_quarterly(t):
     return N.targets_at_resolution(target_months(t), ["area", "source"], "quarter", "pct", COVER)
 
 
-@query(f"""SELECT index_name, area, source, period, COUNT(*) AS n, CASE WHEN COUNT(*) >= {YEARS} THEN corr(x, y) END AS r FROM v_dt GROUP BY 1, 2, 3, 4""", f="r", i="period n", digits=5, views=VIEWS)
+_R = f"SELECT index_name, area, source, period, COUNT(*) AS n, CASE WHEN COUNT(*) >= {YEARS} THEN corr(x, y) END AS r FROM v_dt GROUP BY 1, 2, 3, 4"
+
+
+@query(_R, f="r", i="period n", digits=5, views=VIEWS)
 def n6_correlation_grid(t):
     return N.correlation_grid(z(t), targets(t), min_years=YEARS).drop("p")
 
 
-@query()
+# The t distribution has a finite series for whole degrees of freedom, one for even and one for odd.
+@query(f"""SELECT *, 1 - CASE WHEN n % 2 = 0
+    THEN abs(r) * list_sum(list_transform(range(0, (n - 2) // 2), lambda k: gamma(k + 0.5) / gamma(k + 1) / sqrt(pi()) * pow(1 - r * r, k)))
+    ELSE 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(pi()) / 2 * list_sum(list_transform(range(1, (n - 3) // 2 + 1), lambda k: gamma(k) / gamma(k + 0.5) * pow(1 - r * r, k - 0.5)))) END AS p
+  FROM ({_R})""", f="r p", i="period n", digits=5, views=VIEWS)
 def n6_correlation_grid_p(t):
-    """The same grid with its p-values, which SQL has no function for."""
     return N.correlation_grid(z(t), targets(t), min_years=YEARS)
 
 
