@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time
+from ..operators.daily import attach_normal
 
 
 def parameterised_daily(obs: DataFrame, params: DataFrame, keys: Sequence[str], ts: str = "delivery_start",
@@ -26,3 +27,16 @@ def parameterised_daily(obs: DataFrame, params: DataFrame, keys: Sequence[str],
         F.sum(value).alias("_s"), F.count(value).alias("_n"), F.count("*").alias("n_points"))
     v = F.when(F.col("how") == "sum", F.col("_s")).otherwise(F.try_divide("_s", "_n"))
     return g.select("family", *keys, "day", (v * F.col("scale")).alias("value"), "n_points")
+
+
+def run_daily(obs: DataFrame, params: DataFrame, normals: DataFrame, area: str = "area", ts: str = "delivery_start") -> DataFrame:
+    """Daily values of every family, pattern, run and area with their normal, ensemble and deterministic runs alike.
+
+    ``obs`` has pattern and reference_date beside the points; ``normals`` has one row per family, area and month
+    of the year. A day without a normal stays, with NULL.
+    """
+    d = parameterised_daily(obs, params, ["pattern", "reference_date", area], ts=ts).withColumn("month", F.month("day"))
+    init = F.col("reference_date").cast("timestamp") + time.hours(time.pattern_init_hour(F.col("pattern")))
+    return (attach_normal(d, normals, ["family", area, "month"]).withColumn("init_time", init)
+            .withColumn("run_kind", F.when(F.col("pattern").endswith("ens"), "ensemble").otherwise("deterministic"))
+            .withColumn("lead_day", F.datediff("day", "reference_date")).drop("month", "anomaly_pct"))

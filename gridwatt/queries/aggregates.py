@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import daily as D
 from ..operators import runs as R
 from ..plans import forecast as P
+from ..sources.views import PATTERNS
 from .base import query
 
 _CET = "CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE 'CET' AS DATE)"
@@ -69,6 +70,18 @@ def d5_member_daily(t):
         "pattern", "reference_date", "family", "region", "day", "value", "normal", "anomaly", "lead_day", "init_time")
 
 
+@query("""SELECT area, member, reference_date, day, lead_day, value, normal, value - normal AS anomaly FROM v_member
+  LEFT JOIN (SELECT area, month(day) AS mo, AVG(value) AS normal FROM v_member GROUP BY 1, 2) n USING (area)
+  WHERE mo = month(day) AND (area, reference_date) IN (SELECT (area, reference_date) FROM (
+    SELECT area, reference_date, dense_rank() OVER (PARTITION BY area ORDER BY reference_date DESC) AS r FROM v_member) WHERE r <= 2)""",
+       f="value normal anomaly", i="member lead_day", keep="member")
+def d5_member_daily_members(t):
+    m = t.member()
+    normal = m.groupBy("area", F.month("day").alias("mo")).agg(F.avg("value").alias("normal"))
+    rows = R.last_n_issues(m, ["area"], "reference_date", 2).withColumn("mo", F.month("day"))
+    return D.attach_normal(rows, normal, ["area", "mo"]).select("area", "member", "reference_date", "day", "lead_day", "value", "normal", "anomaly")
+
+
 @query("""WITH c AS (SELECT run, day, round(latitude / 8.1) * 8.1 AS latitude, round(longitude / 13.1) * 13.1 AS longitude, member, AVG(value) AS value FROM v_grid
     WHERE latitude BETWEEN 35 AND 60 AND longitude BETWEEN -15 AND 27 GROUP BY 1, 2, 3, 4, 5)
   SELECT run, day, latitude, longitude, member, value, AVG(value) OVER w AS ens_mean, value - AVG(value) OVER w AS anomaly
@@ -166,13 +179,35 @@ def d12_map_selection(t):
     return D.map_selection(D.monthly_grid_means(t.grid(), ["value"]), (2024, 2024), [1, 2], ["value"])
 
 
+def _params(spark):
+    return spark.createDataFrame([("click", "tt", "avg", 1.0), ("view", "wnd", "avg", 0.001), ("error", "rre", "sum", 1.0)],
+                                 "curve string, family string, how string, scale double")
+
+
 @query(f"""SELECT CASE curve WHEN 'click' THEN 'tt' WHEN 'view' THEN 'wnd' WHEN 'error' THEN 'rre' ELSE curve END AS family, area, {_CET} AS day,
   CASE WHEN curve = 'error' THEN SUM(value) ELSE AVG(value) END * CASE curve WHEN 'view' THEN 0.001 ELSE 1.0 END AS value, COUNT(*) AS n_points
   FROM v_obs GROUP BY curve, 2, 3""", f="value", i="n_points", digits=7)
 def d13_parameterised_daily(t):
-    params = t.spark.createDataFrame([("click", "tt", "avg", 1.0), ("view", "wnd", "avg", 0.001), ("error", "rre", "sum", 1.0)],
-                                     "curve string, family string, how string, scale double")
-    return P.parameterised_daily(t.obs(), params, ["area"], ts="ts")
+    return P.parameterised_daily(t.obs(), _params(t.spark), ["area"], ts="ts")
+
+
+_RUN_OF = f"""list_value({", ".join(repr(p) for p in PATTERNS)})[CAST(user_id % {len(PATTERNS)} AS INTEGER) + 1]"""
+
+
+@query(f"""WITH d AS (SELECT CASE curve WHEN 'click' THEN 'tt' WHEN 'view' THEN 'wnd' WHEN 'error' THEN 'rre' ELSE curve END AS family, {_RUN_OF} AS pattern,
+    CAST(date_trunc('week', ts) AS DATE) AS reference_date, area, {_CET} AS day, CASE WHEN curve = 'error' THEN SUM(value) ELSE AVG(value) END * CASE curve WHEN 'view' THEN 0.001 ELSE 1.0 END AS value, COUNT(*) AS n_points
+    FROM v_obs GROUP BY curve, 2, 3, 4, 5),
+  n AS (SELECT family, area, month(day) AS month, AVG(value) AS normal FROM d WHERE pattern LIKE '%ens' AND family <> 'rre' GROUP BY 1, 2, 3)
+  SELECT d.family, pattern, reference_date, CAST(reference_date AS TIMESTAMP) + CASE WHEN pattern LIKE '%12%' THEN INTERVAL 12 HOURS ELSE INTERVAL 0 HOURS END AS init_time,
+    CASE WHEN pattern LIKE '%ens' THEN 'ensemble' ELSE 'deterministic' END AS run_kind, d.area, day, day - reference_date AS lead_day, value, normal, value - normal AS anomaly, n_points
+  FROM d LEFT JOIN n ON n.family = d.family AND n.area = d.area AND n.month = month(day)""", f="value normal anomaly", i="lead_day n_points", digits=7)
+def d13_run_daily(t):
+    run = F.get(F.array(*[F.lit(p) for p in PATTERNS]), (F.col("user_id") % len(PATTERNS)).cast("int"))
+    obs = t.obs().withColumn("pattern", run).withColumn("reference_date", F.to_date(F.date_trunc("week", "ts")))
+    daily = P.parameterised_daily(obs.filter(F.col("pattern").endswith("ens")), _params(t.spark), ["pattern", "reference_date", "area"], ts="ts")
+    normals = daily.filter("family <> 'rre'").groupBy("family", "area", F.month("day").alias("month")).agg(F.avg("value").alias("normal"))
+    return P.run_daily(obs, _params(t.spark), normals, ts="ts").select(
+        "family", "pattern", "reference_date", "init_time", "run_kind", "area", "day", "lead_day", "value", "normal", "anomaly", "n_points")
 
 
 @query("""WITH v AS (SELECT n_name AS area, CAST(o_orderdate AS DATE) AS day, SUM(o_totalprice) / 99713.1 AS value

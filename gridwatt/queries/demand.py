@@ -87,19 +87,27 @@ def k7_predict_curve(t):
     return x.select("area", "day", G.predict_curve(F.col("temp"), holidays.daytype_gas(F.col("day"))).alias("demand"), G.local_slope(F.col("temp")).alias("slope"))
 
 
+# curves with a slope that depends on the level of the load
+_LEVEL = "(SELECT * REPLACE (b_t + b_intercept * 0.0137 AS b_t) FROM v_curve)"
+
+
+def levelled(t):
+    return curves(t).withColumn("b_t", F.col("b_t") + F.col("b_intercept") * 0.0137)
+
+
 @query(f"""SELECT area, segment, label, {_SLOPE.format(t='mid')} AS slope FROM (SELECT *, 0 AS segment, CASE WHEN k_cold IS NULL THEN 'all temperatures' ELSE 'below 15 °C' END AS label,
-    CASE WHEN k_cold IS NULL THEN 10.0 ELSE 14.0 END AS mid FROM v_curve
-  UNION ALL SELECT *, 1, CASE WHEN k_hot IS NULL THEN 'above 15 °C' ELSE '15–22 °C' END, CASE WHEN k_hot IS NULL THEN 16.0 ELSE 18.5 END FROM v_curve WHERE k_cold IS NOT NULL
-  UNION ALL SELECT *, 2, 'above 22 °C', 23.0 FROM v_curve WHERE k_hot IS NOT NULL)""", f="slope", i="segment", views=VIEWS)
+    CASE WHEN k_cold IS NULL THEN 10.0 ELSE 14.0 END AS mid FROM {_LEVEL}
+  UNION ALL SELECT *, 1, CASE WHEN k_hot IS NULL THEN 'above 15 °C' ELSE '15–22 °C' END, CASE WHEN k_hot IS NULL THEN 16.0 ELSE 18.5 END FROM {_LEVEL} WHERE k_cold IS NOT NULL
+  UNION ALL SELECT *, 2, 'above 22 °C', 23.0 FROM {_LEVEL} WHERE k_hot IS NOT NULL)""", f="slope", i="segment", views=VIEWS)
 def k8_segments(t):
-    return G.segments(curves(t), ["area"])
+    return G.segments(levelled(t), ["area"])
 
 
-@query("""SELECT area, CASE structure WHEN 'linear' THEN 'linear, slope ' || printf('%+.1f', b_t) || '/°C' WHEN 'single' THEN 'heating hinge @ 15°C (slope ' || printf('%+.1f', b_t - b_cold) || ' → ' || printf('%+.1f', b_t) || '/°C)'
+@query(f"""SELECT area, CASE structure WHEN 'linear' THEN 'linear, slope ' || printf('%+.1f', b_t) || '/°C' WHEN 'single' THEN 'heating hinge @ 15°C (slope ' || printf('%+.1f', b_t - b_cold) || ' → ' || printf('%+.1f', b_t) || '/°C)'
   ELSE '3-slope: <15°C (' || printf('%+.1f', b_t - b_cold) || '/°C), 15–22°C (' || printf('%+.1f', b_t) || '/°C), >22°C (' || printf('%+.1f', b_t + b_hot) || '/°C)' END || ' [' ||
-  CASE WHEN half_life_days <= 0 THEN 'raw temp' ELSE '1.5 d thermal-inertia smoothing' END || ']' AS shape FROM (SELECT * REPLACE (b_t + 0.03 AS b_t) FROM v_curve)""", views=VIEWS)
+  CASE WHEN half_life_days <= 0 THEN 'raw temp' ELSE '1.5 d thermal-inertia smoothing' END || ']' AS shape FROM {_LEVEL}""", views=VIEWS)
 def k8_describe_shape(t):
-    return curves(t).withColumn("b_t", F.col("b_t") + 0.03).select("area", G.describe_shape().alias("shape"))
+    return levelled(t).select("area", G.describe_shape().alias("shape"))
 
 
 @query("SELECT pattern, init_time, area, day, temp, teff, demand, filled FROM v_heat WHERE role = 'cur'", f="temp teff demand", views=VIEWS, keep="morning hist")
@@ -175,9 +183,9 @@ def k15_fit_subset(t):
 
 
 @query("SELECT area, at_temp, CASE WHEN at_temp BETWEEN t_min AND t_max THEN " + _SLOPE.format(t="at_temp") + """ END AS slope
-  FROM v_curve, (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0]) AS at_temp)""", f="at_temp slope", views=VIEWS)
+  FROM """ + _LEVEL + """, (SELECT unnest([0.0, 5.0, 10.0, 15.0, 20.0, 25.0]) AS at_temp)""", f="at_temp slope", views=VIEWS)
 def k16_slope_at(t):
-    return G.slope_at(curves(t), [0, 5, 10, 15, 20, 25], ["area"])
+    return G.slope_at(levelled(t), [0, 5, 10, 15, 20, 25], ["area"])
 
 
 def sensitivity(t):

@@ -236,6 +236,20 @@ def b19_bbox_area(t):
     return t.weights().select("area", "latitude", "longitude", geo.bbox_area(lat, lon, BOXES).alias("code"), spot.alias("spot"))
 
 
+# every named region, some of their corners, and points outside all of them
+_SPOTS = "SELECT s_suppkey, 24.5 + (s_suppkey * 7 % 540) * 0.1 AS latitude, -35.5 + (s_suppkey * 13 % 800) * 0.1 AS longitude FROM supplier"
+_REGION = " ".join(f"WHEN latitude BETWEEN {a} AND {b} AND longitude BETWEEN {c} AND {d} THEN '{name}'" for name, a, b, c, d in geo.NAMED_REGIONS)
+
+
+@query(f"""SELECT s_suppkey, latitude, longitude, CASE {_REGION} ELSE CAST(CAST(round_even(abs(latitude), 0) AS INTEGER) AS VARCHAR) || '°' || CASE WHEN latitude >= 0 THEN 'N' ELSE 'S' END || ' ' ||
+  CAST(CAST(round_even(abs(longitude), 0) AS INTEGER) AS VARCHAR) || '°' || CASE WHEN longitude >= 0 THEN 'E' ELSE 'W' END END AS region
+  FROM (SELECT s_suppkey, CAST(latitude AS DOUBLE) AS latitude, CAST(longitude AS DOUBLE) AS longitude FROM ({_SPOTS}))""", f="latitude longitude")
+def b19_named_region(t):
+    x = t.raw("supplier").select("s_suppkey", F.expr("cast(24.5 + (s_suppkey * 7 % 540) * 0.1 as double)").alias("latitude"),
+                                 F.expr("cast(-35.5 + (s_suppkey * 13 % 800) * 0.1 as double)").alias("longitude"))
+    return x.withColumn("region", geo.named_region(F.col("latitude"), F.col("longitude")))
+
+
 @query("""SELECT run, COUNT(*) AS n FROM v_grid WHERE latitude BETWEEN 40 AND 60 AND longitude BETWEEN -10 AND 20 GROUP BY 1""", i="n")
 def b20_in_domain(t):
     return (t.grid().filter(geo.in_box(F.col("latitude"), F.col("longitude"), (40, 60, -10, 20)))
