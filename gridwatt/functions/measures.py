@@ -81,13 +81,18 @@ def regime_threshold(lead: Column) -> Column:
 # Student-t and binomial tails (Spark has no such functions)
 # ---------------------------------------------------------------------------
 
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    """lgamma, once for each distinct value: degrees of freedom repeat over the rows."""
+    values, place = np.unique(x, return_inverse=True)
+    return np.array([math.lgamma(v) for v in values])[place]
+
+
 def _inc_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta function by its continued fraction, element-wise."""
     swap = x > (a + 1) / (a + b + 2)
     p, q, t = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    lg = np.vectorize(math.lgamma, otypes=[float])
     with np.errstate(divide="ignore", invalid="ignore"):
-        front = np.exp(lg(p + q) - lg(p) - lg(q) + p * np.log(t) + q * np.log1p(-t)) / p
+        front = np.exp(_log_gamma(p + q) - _log_gamma(p) - _log_gamma(q) + p * np.log(t) + q * np.log1p(-t)) / p
     tiny = 1e-300
     c = np.ones_like(t)
     d = 1 - (p + q) * t / (p + 1)
